@@ -1,19 +1,18 @@
 """Image grids from pixel columns: normalise, multiply, choose and stack channels.
 
-Pixels stay scalar column expressions until the tensor array is built, so the
-whole preparation is one generated-code projection over the scan.
+The pixel columns of a channel become one array at once. From there every step
+is an array expression, so the plan stays small however many pixels there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halosift.functions.scaling import real, scaled
+from halosift.functions.scaling import scaled
 from halosift.operators.cuts import grid_columns
 from halosift.sources.catalogue import GRID_FORMAT, quoted, require_columns
 
@@ -65,61 +64,76 @@ def pixel_names(channel: str, half: int) -> list[str]:
     ]
 
 
-def normalize_channels(df: DataFrame, channels: Sequence[str], half: int | None = None) -> DataFrame:
-    """Divide the pixels of each channel by their sum over the row. Missing
-    pixels add nothing and stay missing; an image of sum zero becomes all zeros."""
-    half = grid_columns(df)[1] if half is None else half
-    totals, changed = {}, {}
-    for ch in channels:
-        cells = pixel_names(ch, half)
-        require_columns(df, cells, f"normalising channel {ch}")
-        totals[f"_sum_{ch}"] = reduce(
-            Column.__add__, [F.coalesce(real(c), F.lit(0.0)) for c in cells]
-        )
-        for c in cells:
-            share = F.try_divide(real(c), F.col(f"_sum_{ch}"))
-            empty = F.col(f"_sum_{ch}") == 0
-            changed[c] = F.when(real(c).isNotNull() & empty, F.lit(0.0)).otherwise(share)
-    summed = df.select("*", *[e.alias(n) for n, e in totals.items()])
-    return summed.select(*[changed.get(c, F.col(quoted(c))).alias(c) for c in df.columns])
-
-
-def channel_pixels(df: DataFrame, spec: GridSpec, half: int) -> dict[str, list[Column]]:
-    """Pixel expressions of each output channel, i outer and j inner."""
-    plain = {
-        ch: [real(c) for c in pixel_names(ch, half)]
-        for ch in CHANNEL_ORDER
-    }
-    if not spec.products:
-        return {ch: plain[ch] for ch in spec.names}
-    return {
-        a + b: [x * y for x, y in zip(plain[a], plain[b])] for a, b in spec.products_in_order
-    }
-
-
-def channel_ranges(df: DataFrame, pixels: dict[str, list[Column]]) -> DataFrame:
+def pixel_array(channel: str, half: int) -> Column:
+    """Pixels of a channel in one array, i outer and j inner, NaN as NULL."""
+    cells = ", ".join(map(quoted, pixel_names(channel, half)))
+    return F.expr(
+        f"transform(cast(array({cells}) AS array<double>), v -> if(isnan(v), NULL, v))"
+    )
+
+
+def normalized(pixels: Column, total: Column) -> Column:
+    """Pixels divided by their sum over the row. A missing pixel stays missing;
+    an image of sum zero becomes all zeros."""
+    return F.transform(
+        pixels, lambda v: F.when(v.isNotNull() & (total == 0), 0.0).otherwise(F.try_divide(v, total))
+    )
+
+
+def pixel_sum(pixels: Column) -> Column:
+    """Sum of the pixels that are present."""
+    return F.aggregate(pixels, F.lit(0.0), lambda total, v: total + F.coalesce(v, F.lit(0.0)))
+
+
+def channel_arrays(
+    df: DataFrame, spec: GridSpec, keep: Sequence[str] = ()
+) -> tuple[DataFrame, int]:
+    """(table of ``keep`` and one pixel array per output channel, side of the grid)."""
+    columns, half = grid_columns(df)
+    if not columns:
+        raise ValueError("channel_arrays needs pixel columns and finds none")
+    used = {c for p in spec.products_in_order for c in p} if spec.products else set(spec.names)
+    used = [c for c in CHANNEL_ORDER if c in used]
+    for ch in used:
+        require_columns(df, pixel_names(ch, half), f"channel {ch}")
+    kept = [F.col(quoted(c)) for c in keep]
+    out = df.select(*kept, *[pixel_array(ch, half).alias(ch) for ch in used])
+    for ch in (c for c in used if c in spec.normalize):
+        out = out.withColumn("_sum", pixel_sum(F.col(ch)))
+        out = out.withColumn(ch, normalized(F.col(ch), F.col("_sum"))).drop("_sum")
+    if spec.products:
+        out = out.select(*kept, *[
+            F.zip_with(a, b, lambda x, y: x * y).alias(a + b) for a, b in spec.products_in_order
+        ])
+    return out, 2 * half + 1
+
+
+def channel_ranges(arrays: DataFrame, names: Sequence[str]) -> DataFrame:
     """(channel, lo, hi) over all pixels and rows, in one aggregate without exploding."""
-    rows = df.select(*[
-        f(*cells).alias(f"{tag}_{name}")
-        for name, cells in pixels.items()
-        for tag, f in (("lo", F.least), ("hi", F.greatest))
-    ])
-    wide = rows.agg(*[
-        f(f"{tag}_{name}").alias(f"{tag}_{name}")
-        for name in pixels
-        for tag, f in (("lo", F.min), ("hi", F.max))
+    wide = arrays.agg(*[
+        expression.alias(f"{tag}_{n}")
+        for n in names
+        for tag, expression in (("lo", F.min(F.array_min(n))), ("hi", F.max(F.array_max(n))))
     ])
     return wide.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(name).alias("channel"), F.col(f"lo_{name}").alias("lo"), F.col(f"hi_{name}").alias("hi")
-        )
-        for name in pixels
+        F.struct(F.lit(n).alias("channel"), F.col(f"lo_{n}").alias("lo"), F.col(f"hi_{n}").alias("hi"))
+        for n in names
     ])))
 
 
-def stacked(pixels: dict[str, list[Column]]) -> Column:
-    """One array per row, channel varying fastest."""
-    return F.array(*[cell for cells in zip(*pixels.values()) for cell in cells])
+def stacked(names: Sequence[str], ranges: dict[str, tuple[float | None, float | None]]) -> Column:
+    """One array per row, channel varying fastest; scaled where a range is given."""
+
+    def value(name: str, v: Column) -> Column:
+        return scaled(v, *ranges[name]) if name in ranges else v
+
+    if len(names) == 1:
+        return F.transform(names[0], lambda v: value(names[0], v))
+    # Zipped first: a lambda that reads another computed array would compute it
+    # once per pixel.
+    return F.flatten(F.transform(
+        F.arrays_zip(*names), lambda pixel: F.array(*[value(n, pixel[n]) for n in names])
+    ))
 
 
 def build_images(
@@ -134,22 +148,10 @@ def build_images(
     ``scale`` maps each channel to [0, 1] by its global range, fitted on all rows
     or on ``fit_on`` (the training rows).
     """
-    columns, half = grid_columns(df)
-    if not columns:
-        raise ValueError("build_images needs pixel columns and finds none")
-    needed = {c for p in spec.products for c in p} if spec.products else set(spec.channels)
-    for ch in sorted(needed | set(spec.normalize)):
-        require_columns(df, pixel_names(ch, half), f"channel {ch}")
-
-    def prepared(table: DataFrame) -> DataFrame:
-        return normalize_channels(table, spec.normalize, half) if spec.normalize else table
-
-    table = prepared(df)
-    pixels = channel_pixels(table, spec, half)
+    arrays, side = channel_arrays(df, spec, keep)
     ranges = {}
     if scale:
-        source = table if fit_on is None else prepared(fit_on)
-        ranges = {r["channel"]: (r["lo"], r["hi"]) for r in channel_ranges(source, pixels).collect()}
-        pixels = {n: [scaled(x, *ranges[n]) for x in cells] for n, cells in pixels.items()}
-    out = table.select(*[F.col(quoted(c)) for c in keep], stacked(pixels).alias("x"))
-    return Images(out, 2 * half + 1, spec.names, ranges)
+        source = arrays if fit_on is None else channel_arrays(fit_on, spec)[0]
+        ranges = {r["channel"]: (r["lo"], r["hi"]) for r in channel_ranges(source, spec.names).collect()}
+    kept = [F.col(quoted(c)) for c in keep]
+    return Images(arrays.select(*kept, stacked(spec.names, ranges).alias("x")), side, spec.names, ranges)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halosift.functions.grids import Images
@@ -12,32 +12,27 @@ def mean_maps(images: Images) -> DataFrame:
     """(label, channel, i, j, value): sum of the images of a class, divided by its
     own total, so each (label, channel) map sums to 1.
 
-    The pixels are summed side by side in one aggregate per class; only the few
-    class rows are then unfolded. ``i`` is local ieta and ``j`` local iphi.
+    Pixels are summed by (label, position) in each task before anything moves;
+    what moves is one small map per class and task. ``i`` is local ieta and ``j``
+    local iphi.
     """
+    # The outer form, because the inner one adds a size filter that repeats the
+    # whole image expression below it; images are never empty.
     side, _, depth = images.shape
     half = side // 2
-    spots = [
-        (name, i, j, (i * side + j) * depth + c)
-        for c, name in enumerate(images.names)
-        for i in range(side)
-        for j in range(side)
-    ]
-    sums = images.df.groupBy("label").agg(*[
-        F.sum(F.col("x")[at]).alias(f"s{at}") for *_, at in spots
-    ])
-    total = {
-        name: sum((F.coalesce(F.col(f"s{at}"), F.lit(0.0)) for n, _, _, at in spots if n == name), F.lit(0.0))
-        for name in images.names
-    }
-    with_totals = sums.select("*", *[t.alias(f"total_{n}") for n, t in total.items()])
-    cells = F.array(*[
-        F.struct(
-            F.lit(name).alias("channel"),
-            F.lit(i - half).alias("i"),
-            F.lit(j - half).alias("j"),
-            F.try_divide(F.col(f"s{at}"), F.col(f"total_{name}")).alias("value"),
-        )
-        for name, i, j, at in spots
-    ])
-    return with_totals.select("label", F.inline(cells))
+    at = F.col("at")
+    sums = (
+        images.df.select("label", F.posexplode_outer("x").alias("at", "v"))
+        .groupBy("label", "at")
+        .agg(F.sum("v").alias("s"))
+    )
+    whole = Window.partitionBy("label", "channel")
+    return sums.select(
+        "label",
+        F.element_at(F.array(*[F.lit(n) for n in images.names]), at % depth + 1).alias("channel"),
+        (F.floor(at / (depth * side)).cast("int") - half).alias("i"),
+        (F.floor(at / depth).cast("int") % side - half).alias("j"),
+        "s",
+    ).select(
+        "label", "channel", "i", "j", F.try_divide(F.col("s"), F.sum("s").over(whole)).alias("value")
+    )

@@ -100,20 +100,17 @@ def grid_table(
     every thirteenth image's energies to zero; ``unmatched`` makes every 23rd
     row unmatched.
     """
-    v = [F.col("embedding")[k].cast("double") for k in range(64)]
-    row = F.col("vec_id")
-    energy = [F.abs(v[k]) for k in range(CELLS)]
+    row, vector = F.col("vec_id"), F.col("embedding")
+    places = F.sequence(F.lit(0), F.lit(CELLS - 1))
+    energy = F.transform(places, lambda k: F.abs(vector[k].cast("double")))
     if holes:
-        energy = [
-            F.when(row % 13 == 0, F.lit(0.0))
-            .when((row % 11 == 0) & (row % CELLS == k), F.lit(None))
-            .otherwise(e)
-            for k, e in enumerate(energy)
-        ]
+        energy = F.transform(energy, lambda v, k: (
+            F.when(row % 13 == 0, F.lit(0.0)).when((row % 11 == 0) & (row % CELLS == k), F.lit(None)).otherwise(v)
+        ))
     pixels = {
         "E": energy,
-        "t": [v[(k + 7) % 64] for k in range(CELLS)],
-        "r": [F.when(v[k] > 0, F.lit(1.0)).otherwise(F.lit(0.0)) for k in range(CELLS)],
+        "t": F.transform(places, lambda k: vector[(k + 7) % 64].cast("double")),
+        "r": F.transform(places, lambda k: F.when(vector[k] > 0, 1.0).otherwise(0.0)),
     }
     label = F.col("label") % 3 + 1
     if unmatched:
@@ -122,18 +119,17 @@ def grid_table(
         F.when(row % 5 == 0, F.lit("METPD")).when(row % 5 == 1, F.lit("GJets_HT-400To600"))
         .otherwise(F.lit("EGamma"))
     )
+    identity = ["sample", "event", "object", "subcl", "label"]
     return table(spark, sf_dir, "embeddings").select(
         sample.alias("sample"),
         row.alias("event"),
         F.lit(0).cast("bigint").alias("object"),
         (row % 3).alias("subcl"),
         label.cast("bigint").alias("label"),
-        *[
-            cell.alias(name)
-            for ch, cells in pixels.items()
-            for name, cell in zip(pixel_names(ch, HALF), cells)
-        ],
-    )
+        *[cells.alias(f"_{ch}") for ch, cells in pixels.items()],
+    ).selectExpr(*identity, *[
+        f"_{ch}[{k}] AS `{name}`" for ch in pixels for k, name in enumerate(pixel_names(ch, HALF))
+    ])
 
 
 def grids_sql(holes: bool = False, unmatched: bool = False) -> str:

@@ -231,15 +231,13 @@ def grid_column_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel columns found by name, the half width from their number, and their sums."""
     df = grid_table(spark, sf_dir)
     cols, half = cuts.grid_columns(df)
-    sums = df.agg(*[
-        F.struct(F.count(quoted(c)).alias("n"), F.sum(quoted(c)).alias("total")).alias(c) for c in cols
-    ])
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("pixel"), F.col(f"{quoted(c)}.n"), F.col(f"{quoted(c)}.total"))
-        for c in cols
-    ])
-    return sums.select(F.inline(cells)).select(
-        "pixel", F.lit(half).cast("bigint").alias("half_width"), "n", F.round("total", 6).alias("total")
+    names = F.expr(f"array({', '.join(repr(c) for c in cols)})")
+    pixels = df.select(F.posexplode_outer(F.expr(f"array({', '.join(map(quoted, cols))})")).alias("at", "v"))
+    return pixels.groupBy("at").agg(F.count("v").alias("n"), F.sum("v").alias("total")).select(
+        F.element_at(names, F.col("at") + 1).alias("pixel"),
+        F.lit(half).cast("bigint").alias("half_width"),
+        "n",
+        F.round("total", 6).alias("total"),
     )
 
 
