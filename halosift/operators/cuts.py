@@ -132,10 +132,12 @@ def single_subcluster_only(
     object is missing or negative have no parent to share and always stay.
     """
     require_columns(df, list(keys), "single_subcluster_only")
-    numbered = [k for k in keys if k in ("event", "object")]
-    has_parent = F.lit(True)
-    for key in numbered:
-        has_parent = has_parent & _surely(F.col(key) >= 0)
+    has_parent, no_parent = F.lit(True), F.lit(False)
+    for key in (k for k in keys if k in ("event", "object")):
+        # Plain comparisons, so that the scan for the few exempt rows can skip
+        # row groups by their statistics.
+        has_parent = has_parent & (F.col(key) >= 0)
+        no_parent = no_parent | F.col(key).isNull() | (F.col(key) < 0)
     rest = [c for c in df.columns if c not in keys]
     alone = (
         df.filter(has_parent)
@@ -147,7 +149,7 @@ def single_subcluster_only(
         .filter("_rows = 1")
         .select(*[quoted(c) for c in df.columns])
     )
-    return alone.unionByName(df.filter(~has_parent))
+    return alone.unionByName(df.filter(no_parent))
 
 
 def features_only(df: DataFrame) -> DataFrame:

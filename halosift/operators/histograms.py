@@ -14,26 +14,28 @@ BINS = 50
 
 
 def class_ranges(df: DataFrame, features: Sequence[str], labels: Sequence[int]) -> DataFrame:
-    """(feature, label, lo, hi) of the plotted range; at most features x labels rows.
+    """(feature, label, lo, hi) of the plotted range, fitted in one pass.
 
     One wide aggregate by label, so the table is not multiplied by its features.
-    A single-valued feature gets the range one half to either side.
+    The result has at most one row per listed feature and label; it becomes a
+    local table, so that using it does not read the data again. A single-valued
+    feature gets the range one half to either side.
     """
     wide = df.filter(F.col("label").isin(*labels)).groupBy("label").agg(*[
         f(real(c)).alias(f"{tag}{i}")
         for i, c in enumerate(features)
         for tag, f in (("lo", F.min), ("hi", F.max))
     ])
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+    rows = [
+        (c, r["label"], r[f"lo{i}"], r[f"hi{i}"])
+        for r in wide.collect()
         for i, c in enumerate(features)
-    ])
-    flat = F.col("lo") == F.col("hi")
-    return wide.select("label", F.inline(rows)).filter("lo is not null").select(
-        "feature",
-        "label",
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+        if r[f"lo{i}"] is not None
+    ]
+    label_type = df.schema["label"].dataType.simpleString()
+    return df.sparkSession.createDataFrame(
+        [(c, y, lo - 0.5, hi + 0.5) if lo == hi else (c, y, lo, hi) for c, y, lo, hi in rows],
+        f"feature string, label {label_type}, lo double, hi double",
     )
 
 
@@ -74,14 +76,18 @@ def _all_bins(ranges: DataFrame, bins: int) -> DataFrame:
 
 
 def class_histograms(
-    df: DataFrame, features: Sequence[str], labels: Sequence[int], bins: int = BINS
+    df: DataFrame,
+    features: Sequence[str],
+    labels: Sequence[int],
+    bins: int = BINS,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """(feature, label, bin, lo, hi, n) with empty bins; lo and hi are the bin's edges.
 
     The range table has at most features x labels rows, which bounds what is
     broadcast; counts are combined in each task before they move.
     """
-    ranges = class_ranges(df, features, labels)
+    ranges = class_ranges(df, features, labels) if ranges is None else ranges
     values = long_features(df.filter(F.col("label").isin(*labels)), features, ["label"])
     placed = with_bin(values.join(F.broadcast(ranges), ["feature", "label"]), F.col("value"), bins)
     counts = placed.groupBy("feature", "label", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -123,7 +129,7 @@ def closure(
     true/predicted of the (feature, label), an empty predicted bin counting as 1.
     """
     ranges = class_ranges(scored, features, labels)
-    true = class_histograms(scored, features, labels, bins)
+    true = class_histograms(scored, features, labels, bins, ranges)
     pred = predicted_histograms(scored, ranges, features, labels, bins)
     both = true.join(pred, ["feature", "label", "bin"], "left").withColumn(
         "pred", F.coalesce("pred", F.lit(0.0))

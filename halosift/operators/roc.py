@@ -60,7 +60,8 @@ def _counts_in_order(
     parts = placed.groupBy(*by, "part").agg(
         F.sum("pos").alias("part_pos"),
         F.sum("neg").alias("part_neg"),
-        F.max_by(F.struct("pos", "neg"), "score").alias("part_first"),
+        F.max_by("pos", "score").alias("first_pos"),
+        F.max_by("neg", "score").alias("first_neg"),
     )
     down = Window.partitionBy(*by).orderBy(F.desc("part"))
     above = down.rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +70,8 @@ def _counts_in_order(
         *by, "part",
         F.coalesce(F.sum("part_pos").over(above), F.lit(0)).alias("pos_above"),
         F.coalesce(F.sum("part_neg").over(above), F.lit(0)).alias("neg_above"),
-        F.lead("part_first").over(down).alias("below_first"),
+        F.lead(F.struct(F.col("first_pos").alias("pos"), F.col("first_neg").alias("neg")))
+        .over(down).alias("below_first"),
         F.sum("part_pos").over(whole).alias("all_pos"),
         F.sum("part_neg").over(whole).alias("all_neg"),
     )

@@ -64,13 +64,20 @@ def read_csv(
     return append_tables(parts)
 
 
-def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    """Read landed tables; NaN in real columns becomes NULL, the one missing value."""
+def read_parquet(spark: SparkSession, *paths: str, nan_as_missing: bool = False) -> DataFrame:
+    """Read landed tables. ``land`` writes missing values as NULL already, and a
+    plain column keeps its filters in the scan; ``nan_as_missing`` is for tables
+    that come from elsewhere."""
     raw = spark.read.parquet(*paths)
-    return raw.select(*[
+    return nan_to_null(raw) if nan_as_missing else raw
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NULL as the one missing value in all real columns."""
+    return df.select(*[
         F.when(~F.isnan(quoted(f.name)), F.col(quoted(f.name))).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(quoted(f.name))
-        for f in raw.schema.fields
+        for f in df.schema.fields
     ])
 
 
