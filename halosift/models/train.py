@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from halosift.models.nets import Adam, Net
 from halosift.models.score import matrix
-from halosift.session import pin
+from halosift.session import pin_partitions
 from halosift.sources.runs import FIRST_THRESHOLD, RunStore, best_checkpoint
 
 # Batch size, early stopping, and the number of area thresholds while training.
@@ -51,7 +51,7 @@ def pin_shards(
     dealt = rows.repartition(shards, "_place") if key else rows.repartition(shards)
     if key:
         dealt = dealt.sortWithinPartitions("_place")
-    pinned = pin(dealt.drop("_place"))
+    pinned = pin_partitions(dealt.drop("_place"))
     holes = pinned.filter("x IS NULL OR exists(x, v -> v IS NULL OR isnan(v))").limit(1).count()
     if holes:
         raise ValueError("training rows have missing features; drop them first")

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from halosift.models.nets import Net
 from halosift.models.score import matrix
-from halosift.operators.sampling import take_random
+from halosift.operators.sampling import partition_exact, take_random
+from halosift.session import pin
 from halosift.sources.catalogue import quoted
 
 # Rows explained and background rows.
@@ -95,8 +96,10 @@ def importance(values: DataFrame, names: Sequence[str]) -> DataFrame:
 def explain_sample(
     train_rows: DataFrame, net: Net, params: Sequence[float], key: str, class_index: int = 0, seed: int = 43
 ) -> DataFrame:
-    """Attributions of 500 random rows against 100 random background rows."""
+    """Attributions of 500 random rows against 100 other random rows."""
     rows = train_rows.select(quoted(key), "x")
-    background = take_random(rows, BACKGROUND_ROWS, seed, [key])
-    explained = take_random(rows, EXPLAINED_ROWS, seed + 1, [key])
+    chosen = pin(take_random(rows, BACKGROUND_ROWS + EXPLAINED_ROWS, seed, [key]))
+    background, explained = partition_exact(
+        chosen, lambda sizes: {0: min(BACKGROUND_ROWS, sizes.get(0, 0))}, seed, [key]
+    )
     return attributions(explained, background, net, params, key, class_index, seed=seed)

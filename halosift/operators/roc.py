@@ -22,11 +22,14 @@ TARGET_MISS = 0.01
 ZOOM_FPR = (0.0, 0.1)
 ZOOM_MISS = (1e-2, 5e-1)
 
+MOST_RANGES = 2000
+
 
 def score_ranges(df: DataFrame, ranges: int) -> list[float]:
-    """Boundaries that cut ``score`` into about equally full ranges."""
-    steps = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    found = df.agg(F.percentile_approx("score", steps, 20 * ranges).alias("q")).first()["q"]
+    """Boundaries that cut ``score`` into about equally full ranges. The accuracy
+    follows the number of ranges, which keeps the sketches that are merged small."""
+    steps = [k / ranges for k in range(1, ranges)]
+    found = df.agg(F.percentile_approx("score", steps, 4 * ranges).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
@@ -36,7 +39,7 @@ def _counts_in_order(
     """From rows (by..., score, positive): one row per distinct score with its
     counts, the running counts from the highest score down, and the totals."""
     rows = df.select(*by, "score", "positive").filter("score is not null and not isnan(score)")
-    ranges = ranges or parallelism(df.sparkSession)
+    ranges = ranges or min(parallelism(df.sparkSession), MOST_RANGES)
     cuts = score_ranges(rows, ranges) if ranges > 1 else []
     combined = rows.groupBy(*by, "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")

@@ -23,7 +23,7 @@ from halosift.sources.catalogue import quoted
 BALANCE_SEED = 111
 SPLIT_SEED = 43
 
-PREFIX_STEP = 4  # hex digits added per counting round: at most 65,536 counts per stratum
+PREFIX_STEP = 3  # hex digits added per counting round: at most 4,096 counts per stratum
 RANKED_AT_MOST = 2_000_000  # rows of the last prefix that are ranked by their full hash
 HASH_DIGITS = 32
 COPIES_PER_ROW = 1_000_000  # copies of one row that a single task makes
@@ -95,62 +95,74 @@ def partition_exact(
 def _thresholds(hashed: DataFrame, quota: Quota) -> tuple[dict, dict]:
     """Stratum sizes, and for each sampled stratum the hash of its n-th row with
     the number of rows below it and up to it."""
-    digits = PREFIX_STEP
-    counts = _prefix_counts(hashed, digits).persist()
-    totals = {
-        r["_stratum"]: r["n"]
-        for r in counts.filter("_stratum is not null").groupBy("_stratum").agg(F.sum("n").alias("n")).collect()
-    }
+    counted = _prefix_counts(hashed.filter("_stratum is not null"), PREFIX_STEP)
+    totals = {s: sum(n for _, n in counts) for s, counts in counted.items()}
     wanted = {}
     for s, n in quota(totals).items():
         if n > totals.get(s, 0):
             raise ValueError(f"{n} rows wanted of {s!r}, which has {totals.get(s, 0)}")
         if 0 < n < totals[s]:
             wanted[s] = n
-    offsets = {s: 0 for s in wanted}
-    found = _crossing(counts, wanted, offsets, "_prefix") if wanted else {}
-    counts.unpersist()
-
-    while found:
-        largest = max(through - below for _, below, through in found.values())
-        last = largest <= RANKED_AT_MOST or digits + PREFIX_STEP >= HASH_DIGITS
-        inside = reduce(
-            Column.__or__,
-            [
-                (F.col("_stratum") == F.lit(s)) & (F.substring("_hash", 1, digits) == prefix)
-                for s, (prefix, _, _) in found.items()
-            ],
-        )
-        offsets = {s: below for s, (_, below, _) in found.items()}
-        digits = HASH_DIGITS if last else digits + PREFIX_STEP
-        counts = _prefix_counts(hashed.filter(inside), digits)
-        found = _crossing(counts, wanted, offsets, "_prefix")
-        if last:
-            break
-    return totals, found
-
-
-def _prefix_counts(hashed: DataFrame, digits: int) -> DataFrame:
-    return hashed.groupBy("_stratum", F.substring("_hash", 1, digits).alias("_prefix")).agg(
+    if not wanted:
+        return totals, {}
+    found = {s: _crossing(counted[s], 0, n) for s, n in wanted.items()}
+    digits = PREFIX_STEP
+    while digits + PREFIX_STEP < HASH_DIGITS and max(b - a for _, a, b in found.values()) > RANKED_AT_MOST:
+        counted = _prefix_counts(hashed.filter(_inside(found, digits)), digits + PREFIX_STEP)
+        digits += PREFIX_STEP
+        found = {s: _crossing(counted[s], found[s][1], n) for s, n in wanted.items()}
+    return totals, _ranked(hashed.filter(_inside(found, digits)), found, wanted)
+
+
+def _prefix_counts(hashed: DataFrame, digits: int) -> dict:
+    """Per stratum the sorted (prefix, rows). Only the last ``PREFIX_STEP`` digits
+    vary, so a stratum has at most 4,096 entries whatever the size of the table."""
+    counts = hashed.groupBy("_stratum", F.substring("_hash", 1, digits).alias("_prefix")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    found: dict = {}
+    for r in counts.collect():
+        found.setdefault(r["_stratum"], []).append((r["_prefix"], r["n"]))
+    return {s: sorted(pairs) for s, pairs in found.items()}
+
+
+def _crossing(counts: Sequence[tuple[str, int]], below: int, need: int) -> tuple[str, int, int]:
+    """The prefix where the running count reaches ``need``, with the count before
+    and through it."""
+    for prefix, n in counts:
+        if below + n >= need:
+            return prefix, below, below + n
+        below += n
+    raise ValueError("fewer rows than counted before; the table changed between passes")
+
+
+def _inside(found: Mapping, digits: int) -> Column:
+    return reduce(
+        Column.__or__,
+        [
+            (F.col("_stratum") == F.lit(s)) & (F.substring("_hash", 1, digits) == prefix)
+            for s, (prefix, _, _) in found.items()
+        ],
+    )
 
 
-def _crossing(counts: DataFrame, wanted: Mapping, offsets: Mapping, prefix: str) -> dict:
-    """For each stratum the prefix at which the running count reaches its quota."""
-    running = Window.partitionBy("_stratum").orderBy(prefix).rowsBetween(
+def _ranked(inside: DataFrame, found: Mapping, wanted: Mapping) -> dict:
+    """The same for full hashes, among the few rows of the crossing prefixes."""
+    counts = inside.groupBy("_stratum", "_hash").agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("_stratum").orderBy("_hash").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     need, start = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
     for s, n in wanted.items():
-        need = F.when(F.col("_stratum") == F.lit(s), F.lit(n).cast("bigint")).otherwise(need)
-        start = F.when(F.col("_stratum") == F.lit(s), F.lit(offsets[s]).cast("bigint")).otherwise(start)
+        here = F.col("_stratum") == F.lit(s)
+        need = F.when(here, F.lit(n).cast("bigint")).otherwise(need)
+        start = F.when(here, F.lit(found[s][1]).cast("bigint")).otherwise(start)
     rows = (
         counts.withColumn("_through", start + F.sum("n").over(running))
         .filter((F.col("_through") >= need) & (F.col("_through") - F.col("n") < need))
         .collect()
     )
-    return {r["_stratum"]: (r[prefix], r["_through"] - r["n"], r["_through"]) for r in rows}
+    return {r["_stratum"]: (r["_hash"], r["_through"] - r["n"], r["_through"]) for r in rows}
 
 
 def _copies(one: DataFrame, n: int) -> DataFrame:

@@ -138,6 +138,16 @@ def cut_flow(
     first stage it fails, one aggregate counts by tag, and the few tag rows are
     summed into survivors. A table-level stage starts the next pass.
     """
+    return run_steps(df, steps, classes, samples)[1]
+
+
+def run_steps(
+    df: DataFrame,
+    steps: Sequence[Step],
+    classes: Mapping[str, int] = DETECTOR_CLASSES,
+    samples: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(table after all stages, cut flow). Table-level stages are applied once."""
     parts: list[DataFrame] = []
     first, name, run = 0, "input", []
     for step in [*steps, None]:
@@ -145,10 +155,11 @@ def cut_flow(
             run.append(step)
             continue
         parts.append(_one_pass(df, first, name, run, classes, samples))
+        df = apply_steps(df, run)
         if step is not None:
-            df = step.apply(apply_steps(df, run))
+            df = step.apply(df)
             first, name, run = first + len(run) + 1, step.name, []
-    return reduce(DataFrame.unionByName, parts)
+    return df, reduce(DataFrame.unionByName, parts)
 
 
 def _one_pass(

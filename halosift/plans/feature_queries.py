@@ -188,7 +188,7 @@ pred AS (
 def predicted_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored(spark, sf_dir)
     ranges = histograms.class_ranges(df, ["value", "user_id"], CLASSES)
-    out = histograms.predicted_histograms(df, ranges, ["value", "user_id"], CLASSES)
+    out = histograms.predicted_histograms(df, ranges)
     return _rounded(out, "pred")
 
 

@@ -131,8 +131,9 @@ def grid_flow(
         shown = Images(train_rows, images.side, images.names)
         return Result({"input_maps": maps.mean_maps(shown)})
 
-    out = Result({"cut_flow": stats.cut_flow(df, steps)})
-    images = _pinned(build_images(stats.apply_steps(df, steps), spec, keep))
+    rows, flow = stats.run_steps(df, steps)
+    out = Result({"cut_flow": flow})
+    images = _pinned(build_images(rows, spec, keep))
     train_rows, test_rows = sampling.train_test(images.df, key)
     out.tables["input_maps"] = maps.mean_maps(Images(train_rows, images.side, images.names))
     if dry_run or training is None:
@@ -157,14 +158,16 @@ def grid_flow(
 
 def _feature_rows(
     df: DataFrame, features: Sequence[str], key: Sequence[str], fit_on_train: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(train, test) rows with key, label, the plain features and the scaled array ``x``."""
+) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(train rows, test rows, classes). Rows have the key, the label, the plain
+    features and the scaled array ``x``; the scaler is fitted on all rows or on
+    the train rows."""
     wanted = list(dict.fromkeys([*key, "label", *features]))
     plain = pin(df.select(*map(quoted, wanted)))
     train_rows, test_rows = sampling.train_test(plain, key)
     fitted = MinMax.fit(train_rows if fit_on_train else plain, features)
     x = F.array(*[scaled(real(f), *fitted.ranges[f]) for f in features])
-    return train_rows.withColumn("x", x), test_rows.withColumn("x", x)
+    return train_rows.withColumn("x", x), test_rows.withColumn("x", x), stats.class_list(plain)
 
 
 def dense_flow(
@@ -177,6 +180,7 @@ def dense_flow(
     dry_run: bool = False,
     nodes: Sequence[int] = tuple(DENSE_NODES),
     drop_incomplete: bool = False,
+    fit_on_train: bool = False,
     explain: bool = False,
 ) -> Result:
     """Cleaning, optional balance, histograms; then a dense classifier, its curves
@@ -190,14 +194,13 @@ def dense_flow(
         steps.append(
             stats.TableStep("balanced", lambda t: sampling.balance_classes(t, DETECTOR_CLASSES, key))
         )
-    out = Result({"cut_flow": stats.cut_flow(df, steps, samples=False)})
+    rows, flow = stats.run_steps(df, steps, samples=False)
+    out = Result({"cut_flow": flow})
     if dry_run:
         return out
-    rows = stats.apply_steps(df, steps)
     if drop_incomplete:
         rows = rows.dropna(subset=names)
-    train_rows, test_rows = _feature_rows(rows, names, key)
-    classes = stats.class_list(rows)
+    train_rows, test_rows, classes = _feature_rows(rows, names, key, fit_on_train)
     out.tables["histograms"] = histograms.class_histograms(train_rows, names, classes)
     if training is None:
         return out
@@ -233,19 +236,21 @@ def benchmark_flow(
     dry_run: bool = False,
     nodes: Sequence[int] = tuple(DENSE_NODES),
     drop_incomplete: bool = False,
+    fit_on_train: bool = False,
 ) -> Result:
     """Cleaning, halo merged into class 1, object selection, leading photons; then
     a two-class dense classifier with its signal-vs-rest curve and area."""
     names, _ = cuts.feature_columns(features)
     require_columns(df, [*IDENTITY_COLUMNS, "R9", "lead", *names], "benchmark_flow")
     steps = benchmark_steps()
-    out = Result({"cut_flow": stats.cut_flow(df, steps, stats.BENCHMARK_CLASSES)})
+    rows, flow = stats.run_steps(df, steps, stats.BENCHMARK_CLASSES)
+    out = Result({"cut_flow": flow})
     if dry_run or training is None:
         return out
-    rows = stats.apply_steps(df, steps).filter(F.col("label").isin(*BENCHMARK_CLASSES))
+    rows = rows.filter(F.col("label").isin(*BENCHMARK_CLASSES))
     if drop_incomplete:
         rows = rows.dropna(subset=names)
-    train_rows, test_rows = _feature_rows(rows, names, key)
+    train_rows, test_rows, _ = _feature_rows(rows, names, key, fit_on_train)
     net = dense_net(len(names), len(BENCHMARK_CLASSES), nodes)
     model = out.model = _train(train_rows, BENCHMARK_CLASSES, net, training, key)
     out.tables.update(_trained_tables(model))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,11 +48,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder: lineage ends there, so a lost
-    executor costs a re-read, and repeated jobs do not repeat the work before."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Lineage ends there: later passes read only the columns they use, and a lost
+    executor costs a re-read instead of the work before.
+    """
+    path = f"{shared_dir(df.sparkSession)}/pinned/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin_partitions(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the shared folder, keeping its partitions as they are."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(shared_dir(spark), "checkpoints"))
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
     return df.checkpoint(eager=True)
 
 
