@@ -157,17 +157,20 @@ def grid_flow(
 
 
 def _feature_rows(
-    df: DataFrame, features: Sequence[str], key: Sequence[str], fit_on_train: bool = False
-) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(train rows, test rows, classes). Rows have the key, the label, the plain
-    features and the scaled array ``x``; the scaler is fitted on all rows or on
-    the train rows."""
+    df: DataFrame, features: Sequence[str], key: Sequence[str]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all rows, train rows, test rows) with the key, the label and the features,
+    from one pinned table."""
     wanted = list(dict.fromkeys([*key, "label", *features]))
     plain = pin(df.select(*map(quoted, wanted)))
-    train_rows, test_rows = sampling.train_test(plain, key)
-    fitted = MinMax.fit(train_rows if fit_on_train else plain, features)
+    return plain, *sampling.train_test(plain, key)
+
+
+def _with_inputs(features: Sequence[str], fit_on: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """Tables with the scaled feature array ``x``."""
+    fitted = MinMax.fit(fit_on, features)
     x = F.array(*[scaled(real(f), *fitted.ranges[f]) for f in features])
-    return train_rows.withColumn("x", x), test_rows.withColumn("x", x), stats.class_list(plain)
+    return [t.withColumn("x", x) for t in tables]
 
 
 def dense_flow(
@@ -200,11 +203,14 @@ def dense_flow(
         return out
     if drop_incomplete:
         rows = rows.dropna(subset=names)
-    train_rows, test_rows, classes = _feature_rows(rows, names, key, fit_on_train)
+    all_rows, train_rows, test_rows = _feature_rows(rows, names, key)
+    classes = stats.class_list(all_rows)
     out.tables["histograms"] = histograms.class_histograms(train_rows, names, classes)
     if training is None:
         return out
 
+    fit_on = train_rows if fit_on_train else all_rows
+    train_rows, test_rows = _with_inputs(names, fit_on, train_rows, test_rows)
     net = dense_net(len(names), len(classes), nodes)
     model = out.model = _train(train_rows, classes, net, training, key)
     out.tables.update(_trained_tables(model))
@@ -239,7 +245,8 @@ def benchmark_flow(
     fit_on_train: bool = False,
 ) -> Result:
     """Cleaning, halo merged into class 1, object selection, leading photons; then
-    a two-class dense classifier with its signal-vs-rest curve and area."""
+    a two-class dense classifier with its signal-vs-rest curve and area. The scaler
+    is fitted on all rows, or on the train rows with ``fit_on_train``."""
     names, _ = cuts.feature_columns(features)
     require_columns(df, [*IDENTITY_COLUMNS, "R9", "lead", *names], "benchmark_flow")
     steps = benchmark_steps()
@@ -250,7 +257,9 @@ def benchmark_flow(
     rows = rows.filter(F.col("label").isin(*BENCHMARK_CLASSES))
     if drop_incomplete:
         rows = rows.dropna(subset=names)
-    train_rows, test_rows, _ = _feature_rows(rows, names, key, fit_on_train)
+    all_rows, train_rows, test_rows = _feature_rows(rows, names, key)
+    fit_on = train_rows if fit_on_train else all_rows
+    train_rows, test_rows = _with_inputs(names, fit_on, train_rows, test_rows)
     net = dense_net(len(names), len(BENCHMARK_CLASSES), nodes)
     model = out.model = _train(train_rows, BENCHMARK_CLASSES, net, training, key)
     out.tables.update(_trained_tables(model))
