@@ -122,7 +122,7 @@ def _predicted(scored: DataFrame, ranges: Ranges, bins: int) -> DataFrame:
     placed = (
         scored.select("p", _values(ranges.features))
         .filter("value is not null")
-        .select("f", "value", F.posexplode("p").alias("y", "weight"))
+        .select("f", "value", F.posexplode_outer("p").alias("y", "weight"))
         .select("f", "y", "value", "weight", lo.alias("lo"), hi.alias("hi"))
     )
     return with_bin(placed, bins).groupBy("f", "y", "bin").agg(F.sum("weight").alias("pred"))

@@ -3,7 +3,8 @@
 A curve needs running sums over all scores in order. Equal scores are first
 combined, then scores are cut into ranges; sums run inside a range and the totals
 of the ranges above are added from a small table. Range boundaries come from
-approximate quantiles: they spread the work and do not change the result.
+approximate quantiles: they spread the work and do not change the result. The
+boundaries and the curve each read the table, so pin a table that is costly to score.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halosift.functions.labels import pairs_of
@@ -164,21 +165,28 @@ def pair_entries(scored: DataFrame, classes: Sequence[int]) -> DataFrame:
     """Rows (cat1, cat2, scored_by, score, positive): a row enters each pair its
     label belongs to, once with the score of either class."""
     at = {c: k for k, c in enumerate(sorted(classes))}
-    entries = F.array(*[
-        F.struct(
-            F.lit(a).alias("cat1"),
-            F.lit(b).alias("cat2"),
-            F.lit(c).alias("scored_by"),
-            F.col("p")[at[c]].alias("score"),
-            (F.col("label") == c).alias("positive"),
-        )
-        for a, b in pairs_of(classes)
-        for c in (a, b)
-    ])
-    label = F.col("label")
-    return scored.select(label, F.inline(entries)).filter(
-        (label == F.col("cat1")) | (label == F.col("cat2"))
-    ).drop("label")
+
+    def entries(label: int) -> Column:
+        return F.array(*[
+            F.struct(
+                F.lit(a).alias("cat1"),
+                F.lit(b).alias("cat2"),
+                F.lit(c).alias("scored_by"),
+                F.col("p")[at[c]].alias("score"),
+                F.lit(c == label).alias("positive"),
+            )
+            for a, b in pairs_of(classes)
+            if label in (a, b)
+            for c in (a, b)
+        ])
+
+    first, *others = sorted(classes)
+    chosen = F.when(F.col("label") == first, entries(first))
+    for c in others:
+        chosen = chosen.when(F.col("label") == c, entries(c))
+    # The outer form, because the inner one adds a filter that builds the entries
+    # a second time; every row that is left has some.
+    return scored.filter(F.col("label").isin(*classes)).select(F.inline_outer(chosen))
 
 
 PAIR_KEYS = ["cat1", "cat2", "scored_by"]

@@ -50,7 +50,8 @@ def partition_exact(
     """(sampled rows, the other rows).
 
     ``quota`` maps the stratum sizes to the number of rows wanted of each; a
-    stratum it does not name is not sampled. If the key is not unique and copies
+    stratum it does not name is not sampled. The stratum column must be a class
+    column, with few values. If the key is not unique and copies
     straddle the n-th place, those copies are told apart by the whole row, and
     equal rows by count.
     """
@@ -205,13 +206,15 @@ def undersample_larger(
     df: DataFrame, key: Sequence[str] | None = None, seed: int = BALANCE_SEED,
     labels: tuple[int, int] = (0, 1),
 ) -> DataFrame:
-    """Of two classes, cut the larger down to the smaller; other labels stay whole."""
+    """Of two classes, cut the larger down to the smaller; all other rows stay."""
+    listed = F.coalesce(F.col("label").isin(*labels), F.lit(False))
 
-    def quota(totals: dict) -> dict:
+    def smaller(totals: dict) -> dict:
         n = min(totals.get(c, 0) for c in labels)
-        return {c: n if c in labels else size for c, size in totals.items()}
+        return {c: n for c in labels}
 
-    return partition_exact(df, quota, seed, key, "label")[0]
+    sampled, _ = partition_exact(df.filter(listed), smaller, seed, key, "label")
+    return sampled.unionByName(df.filter(~listed))
 
 
 def train_test(

@@ -27,6 +27,17 @@ from halosift.sources.runs import RunStore
 DETECTOR_CLASSES = [1, 2, 3]
 BENCHMARK_CLASSES = [0, 1]
 
+# Fixed values: (epochs, early stopping) of the benchmark feature sets; other flows use 20 and no.
+BENCHMARK_EPOCHS = {
+    "default": (500, True),
+    "clusterShapeOnly": (1500, False),
+    "IsoOnly": (500, True),
+    "subclusterObs": (500, True),
+    "addTimeEtaCov": (500, True),
+    "addTimeEtaCovEtaPhiCov": (500, True),
+    "fourFeature": (2000, False),
+}
+
 CLEANING = [
     stats.Cut("matched", cuts.is_matched),
     stats.Cut("no signal-sample background", cuts.is_not_signal_sample_background),
@@ -63,6 +74,13 @@ class Training:
     seed: int = 43
 
 
+def benchmark_training(store: RunStore, features: str, extra: str = "", shards: int = 8) -> Training:
+    """The usual length of training for a benchmark feature set."""
+    epochs, early_stop = BENCHMARK_EPOCHS[features]
+    name = run_name("benchmark", extra, features, epochs=epochs, early_stop=early_stop)
+    return Training(store, name, epochs, shards, early_stop)
+
+
 def _train(rows: DataFrame, classes: Sequence[int], net: Net, how: Training, key: Sequence[str]) -> Trained:
     fit, validation = sampling.fit_validation(rows, key)
     fit_rows = pin_shards(fit, classes, how.shards, key)

@@ -119,3 +119,9 @@ def test_reports(dense):
 def test_run_name():
     assert flows.run_name("dense", "even", "without_sw+", epochs=20) == "dense_even_without_swp_20epochs"
     assert flows.run_name("dense", "", epochs=5, early_stop=True) == "dense_5epochs_earlyStop"
+
+
+def test_benchmark_training(spark, tmp_path):
+    how = flows.benchmark_training(RunStore(spark, str(tmp_path)), "clusterShapeOnly", "v2")
+    assert (how.epochs, how.early_stop, how.run) == (1500, False, "benchmark_v2_clusterShapeOnly_1500epochs")
+    assert flows.benchmark_training(how.store, "default").run.endswith("500epochs_earlyStop")

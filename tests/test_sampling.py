@@ -45,9 +45,10 @@ def test_absent_class_raises(df):
         sampling.balance_classes(df, [1, 9], ["id"])
 
 
-def test_undersample_larger(df):
-    got = sampling.undersample_larger(df, ["id"], labels=(1, 2)).collect()
-    assert Counter(r["label"] for r in got) == {1: 400, 2: 400, 3: 200}
+def test_undersample_larger(spark, df):
+    more = df.unionByName(spark.createDataFrame([(5000, None)], "id bigint, label int"))
+    got = sampling.undersample_larger(more, ["id"], labels=(1, 2)).collect()
+    assert Counter(r["label"] for r in got) == {1: 400, 2: 400, 3: 200, None: 1}
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 6, 99, 101])
