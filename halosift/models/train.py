@@ -132,6 +132,8 @@ def _total(pieces: DataFrame, tasks: int) -> dict[int, np.ndarray]:
         add, PIECES_SCHEMA
     )
     table = summed.toArrow()
+    if not table.num_rows:
+        raise ValueError("there are no rows to train or evaluate on")
     return {
         piece.as_py(): values.values.to_numpy()
         for piece, values in zip(table.column("piece"), table.column("values"))
@@ -215,6 +217,8 @@ def train(
     Without ``save_best`` only the last state is kept. Early stopping ends at the
     first epoch, from epoch 80 on, that does not improve the validation loss.
     """
+    if epochs < 1:
+        raise ValueError("training needs at least one epoch")
     store.start(run)
     state = Adam.begin(net.initial(seed) if start is None else np.asarray(start, dtype=float))
     best, stop_best, history, done = FIRST_THRESHOLD, float("inf"), [], 0

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +30,31 @@ class RunStore:
     def start(self, run: str) -> None:
         """Empty the tables of this run only; other runs are left alone."""
         for table, schema in (("checkpoints", CHECKPOINT_SCHEMA), ("history", HISTORY_SCHEMA)):
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(
+            nothing = [f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in schema.split(", "))]
+            self.spark.range(0).selectExpr(*nothing).coalesce(1).write.mode("overwrite").parquet(
                 self._path(run, table)
             )
 
-    def save_checkpoint(self, run: str, epoch: int, val_loss: float, params: Iterable[float]):
-        row = [(run, epoch, float(val_loss), [float(v) for v in params])]
-        self.spark.createDataFrame(row, CHECKPOINT_SCHEMA).coalesce(1).write.mode("append").parquet(
-            self._path(run, "checkpoints")
+    def _append(self, run: str, table: str, rows: pa.Table, schema: str) -> None:
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(
+            self._path(run, table)
         )
 
-    def save_history(self, rows: list[tuple]):
-        for run in {r[0] for r in rows}:
-            mine = [r for r in rows if r[0] == run]
-            self.spark.createDataFrame(mine, HISTORY_SCHEMA).coalesce(1).write.mode(
-                "append"
-            ).parquet(self._path(run, "history"))
+    def save_checkpoint(self, run: str, epoch: int, val_loss: float, params: Sequence[float]) -> None:
+        row = pa.table({
+            "run": [run],
+            "epoch": pa.array([epoch], pa.int32()),
+            "val_loss": [float(val_loss)],
+            "params": pa.array([list(params)], pa.list_(pa.float64())),
+        })
+        self._append(run, "checkpoints", row, CHECKPOINT_SCHEMA)
+
+    def save_history(self, rows: list[tuple]) -> None:
+        """Rows (run, epoch, metric, train, val) of one run."""
+        run, epoch, metric, seen, held = map(list, zip(*rows))
+        self._append(run[0], "history", pa.table({
+            "run": run, "epoch": pa.array(epoch, pa.int32()), "metric": metric, "train": seen, "val": held,
+        }), HISTORY_SCHEMA)
 
     def checkpoints(self, run: str) -> DataFrame:
         return self.spark.read.schema(CHECKPOINT_SCHEMA).parquet(self._path(run, "checkpoints"))

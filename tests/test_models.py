@@ -128,6 +128,15 @@ def test_missing_features_are_refused(spark):
         training.pin_shards(df, [1, 2], 1, ["key"])
 
 
+def test_nothing_to_train_on_is_an_error(data, spark, tmp_path):
+    df, _, _ = data
+    rows = training.pin_shards(df.limit(0), [1, 2, 3], 2, ["key"])
+    with pytest.raises(ValueError, match="no rows"):
+        training.evaluate(rows, dense_net(4, 3, (2,)), np.zeros(19))
+    with pytest.raises(ValueError, match="one epoch"):
+        training.train(rows, rows, dense_net(4, 3, (2,)), RunStore(spark, str(tmp_path)), "r", 0)
+
+
 def test_scores_and_missing_inputs(spark):
     net = dense_net(2, 3, (4,))
     df = spark.createDataFrame(
