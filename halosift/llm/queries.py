@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halosift.llm import leaks
+from halosift.llm import leaks, quality
 from halosift.llm.registry import QUERIES, SQL, query
 from halosift.llm.tables import table
 
@@ -41,3 +41,8 @@ FROM dw LEFT JOIN covered ON covered.doc_id = dw.doc_id LEFT JOIN named ON named
 @query(LEAKS_SQL)
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
