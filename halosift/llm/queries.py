@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halosift.llm import leaks, near, passages, quality
+from halosift.llm import leaks, near, passages, pieces, quality
 from halosift.llm.registry import QUERIES, SQL, query
 from halosift.llm.tables import table
 
@@ -56,3 +56,8 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
