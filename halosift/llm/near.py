@@ -38,7 +38,7 @@ from halosift.llm.graph import components
 from halosift.llm.tables import pin, spread
 
 WORDS, PERCENT = 5, 75
-COORDINATES, TREES, SMALL = 40, 10, 128
+COORDINATES, TREES, SMALL = 40, 10, 1024
 #: Fewest equal coordinates of a pair that is confirmed on full sets; 17 of 40 is five
 #: standard deviations below what a pair at the threshold has.
 AGREEING = 17
