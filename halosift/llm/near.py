@@ -8,7 +8,8 @@ a node of more than ``SMALL`` classes is branched again by two tokens, chosen
 by the path that leads there, and so on; nodes of at most ``SMALL`` classes
 are compared exhaustively. A pair at the threshold meets in one tree with a
 probability of about 0.75 or more, so ten independent trees miss it about once
-in a million times. Every link is confirmed on full sets.
+in a million times, and the comparison of signatures about once in a hundred
+thousand times. Every link is confirmed on full sets.
 
 Pairs already known to be connected are never compared again: a node whose
 classes all have one label is done. In a large node pivots are compared with
@@ -38,10 +39,10 @@ from halosift.llm.graph import components
 from halosift.llm.tables import pin, spread
 
 WORDS, PERCENT = 5, 75
-COORDINATES, TREES, SMALL = 40, 10, 1024
-#: Fewest equal coordinates of a pair that is confirmed on full sets; 17 of 40 is five
-#: standard deviations below what a pair at the threshold has.
-AGREEING = 17
+COORDINATES, TREES, SMALL = 64, 10, 8192
+#: Fewest equal coordinates of a pair that is confirmed on full sets; 32 of 64 is four and
+#: a half standard deviations below what a pair at the threshold has.
+AGREEING = 32
 #: At most so many ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 IDS_AT_MOST = 1_000_000
 
@@ -126,24 +127,17 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
 
 
-def _alike(sig: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Matrix of equal coordinates; 0 for pairs with one label."""
-    n = len(sig)
-    same = np.empty((n, n), np.int16)
-    for i in range(n):
-        same[i] = (sig == sig[i]).sum(axis=1)
-    same[label[:, None] == label[None, :]] = 0
-    return same
-
-
 def _with_partner(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (node, id, label, sig): the rows with a partner in their node worth confirming."""
     for table in _runs(stream):
         label, sig = table["label"].to_numpy(), _signatures(table["sig"])
         keep = np.zeros(len(label), bool)
         for a, b in _groups(table):
-            if b - a > 1:
-                keep[a:b] = (_alike(sig[a:b], label[a:b]) >= AGREEING).any(axis=1)
+            for i in range(a, b - 1):
+                close = ((sig[i + 1:b] == sig[i]).sum(axis=1) >= AGREEING) & (label[i + 1:b] != label[i])
+                if close.any():
+                    keep[i] = True
+                    keep[i + 1:b] |= close
         yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
@@ -154,38 +148,50 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets(column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+def shared(one: np.ndarray, every: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with the sets every[at[k]:at[k+1]] for k in ``which``."""
+    size = at[which + 1] - at[which]
+    begin = np.cumsum(size) - size
+    values = every[np.repeat(at[which] - begin, size) + np.arange(size.sum())]
+    place = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    return np.add.reduceat((one[place] == values).astype(np.int64), begin)
 
 
 def _confirm(percent: int):
+    def node(label: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Links (i, j) that join different labels. What is connected already is not compared again."""
+        own = label.copy()
+        every, size = np.concatenate(sets), np.array([len(x) for x in sets])
+        at = np.concatenate([[0], np.cumsum(size)])
+        for i in range(len(own) - 1):
+            equal = (sig[i + 1:] == sig[i]).sum(axis=1)
+            big, less = np.maximum(size[i + 1:], size[i]), np.minimum(size[i + 1:], size[i])
+            j = np.flatnonzero((equal >= AGREEING) & (own[i + 1:] != own[i]) & (100 * less >= percent * big))
+            j = j[np.argsort(-equal[j], kind="stable")] + i + 1
+            step = 2
+            while len(j):
+                now, j = j[:step], j[step:]
+                both = shared(sets[i], every, at, now)
+                for k in now[100 * both >= percent * (size[i] + size[now] - both)].tolist():
+                    if own[k] != own[i]:
+                        x, y = max(own[k], own[i]), min(own[k], own[i])
+                        own[own == x] = y
+                        yield i, k
+                j = j[own[j] != own[i]]
+                step = min(4 * step, 512)
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of (node, id, label, sig, shingles): links that join different labels, fewest that do."""
+        """Of (node, id, label, sig, shingles): links that join different labels."""
         for table in _runs(stream):
-            ids, label, sig = table["id"].to_pylist(), table["label"].to_numpy(), _signatures(table["sig"])
+            ids, label, sig = table["id"].to_numpy(), table["label"].to_numpy(), _signatures(table["sig"])
+            raw = table["shingles"].combine_chunks()
             left, right = [], []
             for a, b in _groups(table):
-                same = np.triu(_alike(sig[a:b], label[a:b]))
-                i, j = np.nonzero(same >= AGREEING)
-                if not len(i):
-                    continue
-                sets = _sets(table["shingles"].slice(a, b - a))
-                order = np.argsort(-same[i, j], kind="stable")
-                root = {x: x for x in label[a:b].tolist()}
-
-                def find(x, root=root):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                own = label[a:b].tolist()
-                for p, q in zip(i[order].tolist(), j[order].tolist()):
-                    x, y = find(own[p]), find(own[q])
-                    if x != y and similar(sets[p], sets[q], percent):
-                        root[max(x, y)] = min(x, y)
-                        left.append(ids[a + p])
-                        right.append(ids[a + q])
+                if b - a > 1:
+                    sets = [np.frombuffer(x.as_py(), np.uint64) for x in raw[a:b]]
+                    for i, j in node(label[a:b], sig[a:b], sets):
+                        left.append(ids[a + i])
+                        right.append(ids[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
     return run
 
