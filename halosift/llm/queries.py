@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halosift.llm import leaks, near, passages, pieces, quality
+from halosift.llm import leaks, licenses, near, passages, pieces, quality, secrets
 from halosift.llm.registry import QUERIES, SQL, query
 from halosift.llm.tables import table
 
@@ -61,3 +61,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
