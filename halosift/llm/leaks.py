@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from halosift.llm import words as W
 from halosift.llm.batches import add_struct, fresh
-from halosift.llm.tables import pin
+from halosift.llm.tables import pin, send
 
 WINDOW = 10  # words
 BLOCK_BYTES = 32 << 20  # of item texts that are broadcast at once
@@ -174,10 +174,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     frame = docs
     for k in range(blocks):
         rows = items.filter(part == k).collect()  # about block_bytes
-        sent = spark.sparkContext.broadcast(compile_items([r.id for r in rows], [r.text for r in rows], size))
+        sent = send(spark, compile_items([r.id for r in rows], [r.text for r in rows], size))
 
         def make(sent=sent, again=k > 0):
-            return _searcher(sent.value, again)()
+            return _searcher(sent(), again)()
 
         inputs = {"text": text} | ({"found": out} if k else {})
         if k:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from halosift.llm import words as W
 from halosift.llm.batches import add_struct, fresh
+from halosift.llm.tables import send
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -305,7 +306,7 @@ def digest(ids: np.ndarray) -> str:
 
 def _shared(docs: DataFrame, model: str):
     """The look-up of all pieces, made once; its size is that of the model."""
-    return docs.sparkSession.sparkContext.broadcast(Pieces(load(model)))
+    return send(docs.sparkSession, Pieces(load(model)))
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> tuple[DataFrame, str]:
@@ -313,7 +314,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> tuple[Dat
     out, sent = fresh(docs, "pieces"), _shared(docs, model)
 
     def make():
-        own = sent.value
+        own = sent()
         return lambda batch: {"ids": pa.array(own.encode(batch["text"]), pa.list_(pa.int32()))}
 
     return add_struct(docs, out, "ids array<int>", make, {"text": text}), out
@@ -324,7 +325,7 @@ def decode(rows: DataFrame, ids: str, model: str = MODEL) -> tuple[DataFrame, st
     out, sent = fresh(rows, "decoded"), _shared(rows, model)
 
     def make():
-        back = sent.value.decoder()
+        back = sent().decoder()
         return lambda batch: {"text": pa.array([back(np.array(x or [], np.int32)) for x in batch["ids"].to_pylist()], pa.string())}
 
     return add_struct(rows, out, "text string", make, {"ids": ids}), out
@@ -339,7 +340,7 @@ def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     sent = _shared(docs, model)
 
     def make():
-        own = sent.value
+        own = sent()
         back = own.decoder()
         is_byte = np.zeros(len(own.table), bool)
         is_byte[list(own.byte.values())] = True

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halosift.llm import leaks, licenses, near, passages, pieces, quality, secrets
+from halosift.llm import langid, leaks, licenses, near, passages, pieces, quality, secrets
 from halosift.llm.registry import QUERIES, SQL, query
 from halosift.llm.tables import table
 
@@ -71,3 +71,8 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from halosift.session import pin
 
 BATCH_ROWS = 1000
 
-__all__ = ["table", "checksum", "spread", "pin", "small_batches"]
+__all__ = ["table", "checksum", "spread", "pin", "small_batches", "send"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -33,3 +37,9 @@ def checksum(key: str | Column, mod: int) -> Column:
 def spread(df: DataFrame) -> int:
     """Partitions for a repartition of work as heavy as reading ``df``."""
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def send(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """A function that gives ``thing`` in a task; its class travels along, so executors need no package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
