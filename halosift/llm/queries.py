@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halosift.llm import langid, leaks, licenses, lm, near, passages, pieces, quality, secrets
+from halosift.llm import html, langid, leaks, licenses, lm, near, passages, pieces, quality, secrets
 from halosift.llm.registry import QUERIES, SQL, query
 from halosift.llm.tables import table
 
@@ -81,3 +81,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(table(spark, sf_dir, "pages"))
