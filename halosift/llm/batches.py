@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from halosift.llm.tables import small_batches
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as make it new in ``df``."""
@@ -27,6 +29,7 @@ def add_struct(df: DataFrame, out: str, ddl: str, make: Callable[[], Callable[[d
     ``{name: array}`` for the columns that ``inputs`` names and returns one
     array for each field. All columns of ``df`` are handed through.
     """
+    small_batches(df.sparkSession)
     kind = T._parse_datatype_string(ddl)
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     place = {name: df.columns.index(column) for name, column in inputs.items()}

@@ -9,11 +9,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halosift.session import pin
+from halosift.session import pin, shared_dir
 
 BATCH_ROWS = 1000
 
-__all__ = ["table", "checksum", "spread", "pin", "small_batches", "send"]
+__all__ = ["table", "checksum", "spread", "pin", "shared_dir", "small_batches", "send"]
 
 
 def small_batches(spark: SparkSession) -> None:
