@@ -29,6 +29,13 @@ class GridSpec:
     normalize: Sequence[str] = ()
     products: Sequence[tuple[str, str]] = ()
 
+    def __post_init__(self):
+        unknown = [c for c in (*self.channels, *self.normalize) if c not in CHANNEL_ORDER]
+        allowed = {frozenset(p) for p in PRODUCT_ORDER}
+        unknown += ["*".join(p) for p in self.products if frozenset(p) not in allowed]
+        if unknown:
+            raise ValueError(f"unknown channels or products: {', '.join(unknown)}")
+
     @property
     def products_in_order(self) -> list[tuple[str, str]]:
         asked = {frozenset(p) for p in self.products}

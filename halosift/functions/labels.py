@@ -29,10 +29,16 @@ def label_name(label: Column, names: Mapping[int, str] = LABEL_NAMES) -> Column:
     return F.try_element_at(F.create_map(*pairs), label.cast("int"))
 
 
+def is_scored(p: Column) -> Column:
+    """Whether all probabilities are there; never NULL."""
+    return F.coalesce(~F.exists(p, lambda v: v.isNull() | F.isnan(v)), F.lit(False))
+
+
 def predicted_label(p: Column, classes: Sequence[int]) -> Column:
-    """Class of the largest probability; the first class on a tie."""
+    """Class of the largest probability; the first class on a tie, NULL where a
+    probability is missing."""
     codes = F.array(*[F.lit(c) for c in sorted(classes)])
-    return F.element_at(codes, F.array_position(p, F.array_max(p)).cast("int"))
+    return F.when(is_scored(p), F.element_at(codes, F.array_position(p, F.array_max(p)).cast("int")))
 
 
 def probability_of(p: Column, label: Column, classes: Sequence[int]) -> Column:

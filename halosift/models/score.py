@@ -35,15 +35,15 @@ def _array_udf(df: DataFrame, net: Net, params: Sequence[float], compute) -> Col
         weights = shared.value
         for batch in batches:
             x = matrix(batch, width)
-            missing = np.isnan(x).any(axis=1)
-            out = compute(weights, np.nan_to_num(x))
+            missing = ~np.isfinite(x).all(axis=1)
+            out = compute(weights, np.where(missing[:, None], 0.0, x))
             yield list_column(out.reshape(len(x), -1), missing)
 
     return run
 
 
 def score(df: DataFrame, net: Net, params: Sequence[float], column: str = "x") -> DataFrame:
-    """Add ``p``, one probability per class; NULL where an input is missing."""
+    """Add ``p``, one probability per class; NULL where an input is missing or infinite."""
     return df.withColumn("p", _array_udf(df, net, params, net.predict)(F.col(column)))
 
 

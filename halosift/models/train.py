@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from halosift.models.nets import Adam, Net
 from halosift.models.score import matrix
 from halosift.session import pin_partitions
+from halosift.sources.catalogue import quoted
 from halosift.sources.runs import FIRST_THRESHOLD, RunStore, best_checkpoint
 
-# Batch size, early stopping, and the number of area thresholds while training.
+# Usual batch size, early stopping, and the number of area thresholds while training.
 BATCH_ROWS = 100
 STOP_MIN_DELTA, STOP_FROM_EPOCH = 1e-6, 80
 AREA_THRESHOLDS = 200
@@ -40,34 +41,43 @@ def pin_shards(
 ) -> DataFrame:
     """Rows (x, y) dealt into ``shards`` partitions and written to the shared folder.
 
-    ``y`` is the index of the label among the sorted classes. With a unique key
-    the deal depends on the rows only; without one it is round-robin.
+    ``y`` is the index of the label among the sorted classes; a row of another
+    label is refused, and so is a missing or infinite input. The deal is by a hash
+    of the key and the whole row, so a key with many rows is spread; rows that are
+    equal in all that are counted first and their copies dealt apart. It depends on
+    the rows only. Without a key it is by the row alone.
     """
     ordered = sorted(classes)
     index = F.array_position(F.array(*[F.lit(c).cast("bigint") for c in ordered]), F.col("label").cast("bigint"))
-    rows = df.filter(F.col("label").isin(*ordered))
-    place = F.xxhash64(*key) if key else F.lit(None)
-    rows = rows.select("x", (index - 1).cast("int").alias("y"), place.alias("_place"))
-    dealt = rows.repartition(shards, "_place") if key else rows.repartition(shards)
-    if key:
-        dealt = dealt.sortWithinPartitions("_place")
-    pinned = pin_partitions(dealt.drop("_place"))
-    holes = pinned.filter("x IS NULL OR exists(x, v -> v IS NULL OR isnan(v))").limit(1).count()
-    if holes:
-        raise ValueError("training rows have missing features; drop them first")
+    named = [F.col(quoted(k)).alias(f"_k{n}") for n, k in enumerate(key or [])]
+    whole = [f"_k{n}" for n in range(len(named))]
+    rows = df.select(*named, "x", (F.nullif(index, F.lit(0)) - 1).cast("int").alias("y"))
+    rows = rows.groupBy(*whole, "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    rows = rows.withColumn("_place", F.xxhash64(*whole, "x", "y", "_copy"))
+    dealt = rows.repartition(shards, "_place").sortWithinPartitions("_place").select("x", "y")
+    pinned = pin_partitions(dealt)
+    bad = pinned.agg(
+        F.count_if(F.col("y").isNull()).alias("other"),
+        F.count_if(F.expr("x IS NULL OR exists(x, v -> v IS NULL OR isnan(v) OR abs(v) = double('Infinity'))")).alias("holes"),
+    ).first()
+    if bad["other"]:
+        raise ValueError(f"{bad['other']} training rows have a label outside {ordered}; select the classes first")
+    if bad["holes"]:
+        raise ValueError(f"{bad['holes']} training rows have missing features; drop them first (or infinite ones)")
     return pinned
 
 
-def _batches(stream: Iterator[pa.RecordBatch], width: int, rng) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _batches(stream: Iterator[pa.RecordBatch], width: int, rng, size: int = BATCH_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Mini-batches in an order shuffled within what arrives together."""
     rest_x, rest_y = np.zeros((0, width)), np.zeros(0, dtype=int)
     for batch in stream:
         x, y = matrix(batch.column(0), width), batch.column(1).to_numpy()
         order = rng.permutation(len(y)) if rng else np.arange(len(y))
         x, y = np.concatenate([rest_x, x[order]]), np.concatenate([rest_y, y[order]])
-        whole = len(y) - len(y) % BATCH_ROWS
-        for at in range(0, whole, BATCH_ROWS):
-            yield x[at:at + BATCH_ROWS], y[at:at + BATCH_ROWS]
+        whole = len(y) - len(y) % size
+        for at in range(0, whole, size):
+            yield x[at:at + size], y[at:at + size]
         rest_x, rest_y = x[whole:], y[whole:]
     if len(rest_y):
         yield rest_x, rest_y
@@ -140,7 +150,9 @@ def _total(pieces: DataFrame, tasks: int) -> dict[int, np.ndarray]:
     }
 
 
-def train_epoch(rows: DataFrame, net: Net, state: Adam, seed: int, epoch: int, shuffle: bool = True):
+def train_epoch(
+    rows: DataFrame, net: Net, state: Adam, seed: int, epoch: int, shuffle: bool = True, batch_rows: int = BATCH_ROWS
+):
     """(next state, train metrics) after one pass of every shard over its rows."""
     vector = np.concatenate([state.params, state.first, state.second, [state.steps]])
     shared = rows.sparkSession.sparkContext.broadcast(vector)
@@ -152,7 +164,7 @@ def train_epoch(rows: DataFrame, net: Net, state: Adam, seed: int, epoch: int, s
         start = shared.value
         mine = Adam(start[:n].copy(), start[n:2 * n].copy(), start[2 * n:3 * n].copy(), float(start[-1]))
         sums = 0.0
-        for x, y in _batches(stream, width, rng):
+        for x, y in _batches(stream, width, rng, batch_rows):
             p, grad = net.gradient(mine.params, x, y)
             sums = sums + metric_sums(p, y)
             mine.step(grad)
@@ -166,7 +178,7 @@ def train_epoch(rows: DataFrame, net: Net, state: Adam, seed: int, epoch: int, s
     pieces = rows.mapInArrow(run, PIECES_SCHEMA)
     count = -(-len(vector) // PIECE)
     total = _total(pieces, min(count + 1, 64))
-    shared.unpersist()
+    shared.destroy()
     sums = total[METRICS]
     out = np.concatenate([total[k] for k in range(count)]) / sums[0]
     after = Adam(out[:n].copy(), out[n:2 * n].copy(), out[2 * n:3 * n].copy(), float(out[-1]))
@@ -187,7 +199,7 @@ def evaluate(rows: DataFrame, net: Net, params: np.ndarray) -> dict[str, float]:
             yield _pieces(METRICS, TaskContext.get().partitionId(), sums)
 
     total = _total(rows.mapInArrow(run, PIECES_SCHEMA), 1)
-    shared.unpersist()
+    shared.destroy()
     return metrics_from(total[METRICS])
 
 
@@ -211,32 +223,44 @@ def train(
     save_best: bool = True,
     early_stop: bool = False,
     start: np.ndarray | None = None,
+    batch_rows: int = BATCH_ROWS,
+    resume: bool = False,
 ) -> Trained:
     """Train on pinned (x, y) rows and keep history and improving checkpoints.
 
     Without ``save_best`` only the last state is kept. Early stopping ends at the
     first epoch, from epoch 80 on, that does not improve the validation loss.
+    History and state are saved with every epoch; ``resume`` goes on after the
+    last one that the run's tables hold.
     """
     if epochs < 1:
         raise ValueError("training needs at least one epoch")
-    store.start(run)
     state = Adam.begin(net.initial(seed) if start is None else np.asarray(start, dtype=float))
-    best, stop_best, history, done = FIRST_THRESHOLD, float("inf"), [], 0
-    for epoch in range(epochs):
-        state, seen = train_epoch(fit_rows, net, state, seed, epoch)
+    best, stop_best, done, held = FIRST_THRESHOLD, float("inf"), 0, {"loss": float("inf")}
+    before = store.state(run) if resume else None
+    if before:
+        done, best, stop_best, n = before["epoch"], before["best"], before["stop_best"], net.n_params
+        vector = np.array(before["vector"])
+        state, held = Adam(vector[:n], vector[n:2 * n], vector[2 * n:3 * n], float(vector[-1])), {"loss": before["val_loss"]}
+    else:
+        store.start(run)
+    for epoch in range(done, epochs):
+        state, seen = train_epoch(fit_rows, net, state, seed, epoch, batch_rows=batch_rows)
         held = evaluate(validation_rows, net, state.params)
-        history += [(run, epoch + 1, m, float(seen[m]), float(held[m])) for m in seen]
         done = epoch + 1
         if save_best and held["loss"] < best:
             best = held["loss"]
             store.save_checkpoint(run, done, best, state.params)
-        if early_stop and epoch >= STOP_FROM_EPOCH:
-            if held["loss"] >= stop_best - STOP_MIN_DELTA:
-                break
+        stop = early_stop and epoch >= STOP_FROM_EPOCH and held["loss"] >= stop_best - STOP_MIN_DELTA
+        if early_stop and epoch >= STOP_FROM_EPOCH and not stop:
             stop_best = held["loss"]
+        store.save_history([(run, done, m, float(seen[m]), float(held[m])) for m in seen])
+        vector = np.concatenate([state.params, state.first, state.second, [state.steps]])
+        store.save_state(run, done, best, stop_best, held["loss"], vector)
+        if stop:
+            break
     if not save_best:
         store.save_checkpoint(run, done, held["loss"], state.params)
-    store.save_history(history)
     chosen = best_checkpoint(store.checkpoints(run)).first()
     if chosen is None:
         raise RuntimeError(f"no epoch of {run} brought the validation loss below {FIRST_THRESHOLD}")

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from halosift.models.nets import Net
 from halosift.models.score import matrix
-from halosift.operators.sampling import partition_exact, take_random
+from halosift.operators.sampling import take_random
 from halosift.session import pin
 from halosift.sources.catalogue import quoted
 
-# Rows explained and background rows.
+# Rows explained and background rows, unless the caller names others.
 EXPLAINED_ROWS, BACKGROUND_ROWS = 500, 100
-BACKGROUND_AT_MOST = 10_000
+BACKGROUND_AT_MOST = 10_000  # rows that are broadcast, unless the caller names another bound
 WALKS_AT_ONCE = 64  # walks scored together in a task
 
 
@@ -33,56 +33,61 @@ def attributions(
     background: DataFrame,
     net: Net,
     params: Sequence[float],
-    key: str,
+    key: str | Sequence[str],
     class_index: int = 0,
     walks_per_background: int = 1,
     seed: int = 43,
+    background_at_most: int = BACKGROUND_AT_MOST,
 ) -> DataFrame:
-    """(key, feature, value) for every row of ``explained``, ``feature`` being the
-    position in ``x``. ``background`` is a small sample and is checked to be one."""
+    """(key..., feature, value) for every row of ``explained``, ``feature`` being the
+    position in ``x``. ``background`` is a small sample and is checked to be one.
+
+    A row's walks are made and averaged where the row is, so rows with one key
+    stay apart; walks are drawn by the key's text and the row's inputs.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     spark = explained.sparkSession
-    base = [r["x"] for r in background.select("x").limit(BACKGROUND_AT_MOST + 1).collect()]
-    if not 0 < len(base) <= BACKGROUND_AT_MOST:
-        raise ValueError(f"background must have 1 to {BACKGROUND_AT_MOST} rows")
+    base = [r["x"] for r in background.select("x").limit(background_at_most + 1).collect()]
+    if not 0 < len(base) <= background_at_most:
+        raise ValueError(f"background must have 1 to {background_at_most} rows")
     shared = spark.sparkContext.broadcast((np.array(base, dtype=float), np.asarray(params, dtype=float)))
     width, n_walks = net.n_inputs, len(base) * walks_per_background
-    key_type = explained.schema[key].dataType.simpleString()
 
     def walk(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, weights = shared.value
-        for arrived in stream:
-            for at in range(0, arrived.num_rows, WALKS_AT_ONCE):
-                batch = arrived.slice(at, WALKS_AT_ONCE)
-                x = matrix(batch.column(1), width)
-                numbers = batch.column(2).to_numpy()
-                tokens = batch.column(3).to_pylist()
-                order = np.array([
-                    np.random.default_rng([seed, int(t, 16), int(n)]).permutation(width)
-                    for t, n in zip(tokens, numbers)
-                ])
-                place = np.argsort(order, axis=1)
-                switched = np.arange(width + 1)[None, :, None] > place[:, None, :]
-                base = start[numbers % len(start)]
-                path = np.where(switched, x[:, None, :], base[:, None, :])
-                p = net.predict(weights, path.reshape(-1, width))[:, class_index]
-                deltas = np.diff(p.reshape(len(x), width + 1), axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), width))),
-                        pa.array(order.ravel().astype(np.int32)),
-                        pa.array(deltas.ravel()),
-                    ],
-                    names=[key, "feature", "value"],
-                )
+        for batch in stream:
+            x = matrix(batch.column(batch.num_columns - 2), width)
+            tokens = batch.column(batch.num_columns - 1).to_pylist()
+            total = np.zeros((len(x), width))
+            for r, token in enumerate(tokens):
+                for first in range(0, n_walks, WALKS_AT_ONCE):
+                    numbers = np.arange(first, min(first + WALKS_AT_ONCE, n_walks))
+                    order = np.array([
+                        np.random.default_rng([seed, int(token, 16), int(n)]).permutation(width) for n in numbers
+                    ])
+                    place = np.argsort(order, axis=1)
+                    switched = np.arange(width + 1)[None, :, None] > place[:, None, :]
+                    path = np.where(switched, x[r], start[numbers % len(start)][:, None, :])
+                    p = net.predict(weights, path.reshape(-1, width))[:, class_index]
+                    np.add.at(total[r], order.ravel(), np.diff(p.reshape(len(numbers), width + 1), axis=1).ravel())
+            names = [batch.schema.field(k).name for k in range(len(keys))]
+            repeated = pa.array(np.repeat(np.arange(len(x)), width))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(k).take(repeated) for k in range(len(keys))],
+                    pa.array(np.tile(np.arange(width, dtype=np.int32), len(x))),
+                    pa.array((total / n_walks).ravel()),
+                ],
+                names=[*names, "feature", "value"],
+            )
 
-    walks = explained.select(
-        F.col(quoted(key)),
-        "x",
-        F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"),
-        F.md5(F.col(quoted(key)).cast("string")).substr(1, 8).alias("token"),
-    ).repartition(spark.sparkContext.defaultParallelism)
-    deltas = walks.mapInArrow(walk, f"{quoted(key)} {key_type}, feature int, value double")
-    return deltas.groupBy(quoted(key), "feature").agg(F.avg("value").alias("value"))
+    texts = [F.coalesce(F.col(quoted(k)).cast("string"), F.lit("")) for k in keys]
+    token = F.md5(F.concat_ws("|", *texts)).substr(1, 8) if len(keys) == 1 else F.md5(
+        F.concat_ws("|", *texts, F.xxhash64("x"))).substr(1, 8)
+    rows = explained.select(*[F.col(quoted(k)) for k in keys], "x", token.alias("token"))
+    kinds = [f"{quoted(k)} {explained.schema[k].dataType.simpleString()}" for k in keys]
+    spread = rows.repartition(spark.sparkContext.defaultParallelism)
+    return spread.mapInArrow(walk, ", ".join([*kinds, "feature int", "value double"]))
 
 
 def importance(values: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -94,12 +99,19 @@ def importance(values: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def explain_sample(
-    train_rows: DataFrame, net: Net, params: Sequence[float], key: str, class_index: int = 0, seed: int = 43
+    train_rows: DataFrame,
+    net: Net,
+    params: Sequence[float],
+    key: str | Sequence[str],
+    class_index: int = 0,
+    seed: int = 43,
+    explained_rows: int = EXPLAINED_ROWS,
+    background_rows: int = BACKGROUND_ROWS,
 ) -> DataFrame:
-    """Attributions of 500 random rows against 100 other random rows."""
-    rows = train_rows.select(quoted(key), "x")
-    chosen = pin(take_random(rows, BACKGROUND_ROWS + EXPLAINED_ROWS, seed, [key]))
-    background, explained = partition_exact(
-        chosen, lambda sizes: {0: min(BACKGROUND_ROWS, sizes.get(0, 0))}, seed, [key]
-    )
-    return attributions(explained, background, net, params, key, class_index, seed=seed)
+    """Attributions of random rows against random background rows, drawn
+    independently of each other (all rows, if there are fewer)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = train_rows.select(*map(quoted, keys), "x")
+    background = take_random(rows, background_rows, seed, keys)
+    explained = pin(take_random(rows, explained_rows, seed + 1, keys))
+    return attributions(explained, background, net, params, keys, class_index, seed=seed)

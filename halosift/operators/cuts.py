@@ -129,19 +129,17 @@ def single_subcluster_only(
     A group that survives has one row, so the row itself is the aggregate: one
     shuffle with map-side combining, and a parent holding a large share of all
     rows shrinks to one record per task before it moves. Rows whose event or
-    object is missing or negative have no parent to share and always stay.
+    object is missing or negative have no parent to share and always stay; in the
+    same pass each of them is a group of its own.
     """
     require_columns(df, list(keys), "single_subcluster_only")
-    has_parent, no_parent = F.lit(True), F.lit(False)
+    no_parent = F.lit(False)
     for key in (k for k in keys if k in ("event", "object")):
-        # Plain comparisons, so that the scan for the few exempt rows can skip
-        # row groups by their statistics.
-        has_parent = has_parent & (F.col(key) >= 0)
         no_parent = no_parent | F.col(key).isNull() | (F.col(key) < 0)
     rest = [c for c in df.columns if c not in keys]
-    alone = (
-        df.filter(has_parent)
-        .groupBy(*keys)
+    return (
+        df.withColumn("_own", F.when(no_parent, F.monotonically_increasing_id()))
+        .groupBy(*keys, "_own")
         .agg(
             F.count(F.lit(1)).alias("_rows"),
             *[F.any_value(quoted(c)).alias(c) for c in rest],
@@ -149,7 +147,6 @@ def single_subcluster_only(
         .filter("_rows = 1")
         .select(*[quoted(c) for c in df.columns])
     )
-    return alone.unionByName(df.filter(no_parent))
 
 
 def features_only(df: DataFrame) -> DataFrame:

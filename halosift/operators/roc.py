@@ -4,7 +4,9 @@ A curve needs running sums over all scores in order. Equal scores are first
 combined, then scores are cut into ranges; sums run inside a range and the totals
 of the ranges above are added from a small table. Range boundaries come from
 approximate quantiles: they spread the work and do not change the result. The
-boundaries and the curve each read the table, so pin a table that is costly to score.
+combined counts are written once; boundaries, sums and offsets read those, and
+their number sets the number of ranges. Rows without a score are refused, unless
+``unscored="skip"`` asks to leave them out.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halosift.functions.labels import pairs_of
-from halosift.session import parallelism
+from halosift.session import parallelism, pin
 
 # Misidentification target of the working point, and the zoomed plot range.
 TARGET_MISS = 0.01
 ZOOM_FPR = (0.0, 0.1)
 ZOOM_MISS = (1e-2, 5e-1)
 
-MOST_RANGES = 2000
+SCORES_PER_RANGE = 5_000_000  # distinct scores that one task sorts, about
 
 
 def score_ranges(df: DataFrame, ranges: int) -> list[float]:
@@ -35,16 +37,24 @@ def score_ranges(df: DataFrame, ranges: int) -> list[float]:
 
 
 def _counts_in_order(
-    df: DataFrame, by: Sequence[str], ranges: int | None = None
+    df: DataFrame, by: Sequence[str], ranges: int | None = None, unscored: str = "refuse"
 ) -> DataFrame:
     """From rows (by..., score, positive): one row per distinct score with its
     counts, the running counts from the highest score down, and the totals."""
-    rows = df.select(*by, "score", "positive").filter("score is not null and not isnan(score)")
-    ranges = ranges or min(parallelism(df.sparkSession), MOST_RANGES)
-    cuts = score_ranges(rows, ranges) if ranges > 1 else []
-    combined = rows.groupBy(*by, "score").agg(
-        F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
-    )
+    if unscored not in ("refuse", "skip"):
+        raise ValueError(f"unscored is 'refuse' or 'skip', not {unscored!r}")
+    combined = pin(df.groupBy(*by, F.nanvl("score", F.lit(None)).alias("score")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"),
+    ))
+    size = combined.agg(
+        F.count("score").alias("scores"), F.sum(F.when(F.col("score").isNull(), F.col("n"))).alias("without")
+    ).first()
+    if size["without"] and unscored == "refuse":
+        raise ValueError(f"{size['without']} rows of a curve have no score; drop them first or ask to skip them")
+    combined = combined.filter("score is not null").drop("n")
+    ranges = ranges or max(parallelism(df.sparkSession), -(-size["scores"] // SCORES_PER_RANGE))
+    cuts = score_ranges(combined, ranges) if ranges > 1 else []
     edges = [float("-inf"), *cuts, float("inf")]
     if len(edges) > 2:
         placed = Bucketizer(splits=edges, inputCol="score", outputCol="part").transform(combined)
@@ -93,6 +103,7 @@ def roc_points(
     by: Sequence[str] = (),
     drop_collinear: bool = True,
     ranges: int | None = None,
+    unscored: str = "refuse",
 ) -> DataFrame:
     """Curve (by..., threshold, fpr, tpr, miss) of rows (by..., score, positive).
 
@@ -100,7 +111,7 @@ def roc_points(
     leaves out inner points that continue the step before them. A rate whose
     class has no rows is NULL.
     """
-    points = _counts_in_order(df, by, ranges)
+    points = _counts_in_order(df, by, ranges, unscored)
     is_first = (F.col("cum_pos") + F.col("cum_neg")) == (F.col("pos") + F.col("neg"))
     if drop_collinear:
         bends = (F.col("next.pos") != F.col("pos")) | (F.col("next.neg") != F.col("neg"))
@@ -127,9 +138,11 @@ def roc_points(
     )
 
 
-def auc(df: DataFrame, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+def auc(
+    df: DataFrame, by: Sequence[str] = (), ranges: int | None = None, unscored: str = "refuse"
+) -> DataFrame:
     """Area under each curve of rows (by..., score, positive), by the trapezoid rule."""
-    points = _counts_in_order(df, by, ranges)
+    points = _counts_in_order(df, by, ranges, unscored)
     strip = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)
     return points.groupBy(*by).agg(
         F.sum(strip).alias("_area"), F.max("all_pos").alias("_p"), F.max("all_neg").alias("_n")
@@ -161,9 +174,9 @@ def every_class_against_rest(scored: DataFrame, classes: Sequence[int]) -> DataF
     return scored.select(F.inline(entries))
 
 
-def pair_entries(scored: DataFrame, classes: Sequence[int]) -> DataFrame:
+def pair_entries(scored: DataFrame, classes: Sequence[int], first_only: bool = False) -> DataFrame:
     """Rows (cat1, cat2, scored_by, score, positive): a row enters each pair its
-    label belongs to, once with the score of either class."""
+    label belongs to, once with the score of either class, or only of the first."""
     at = {c: k for k, c in enumerate(sorted(classes))}
 
     def entries(label: int) -> Column:
@@ -177,7 +190,7 @@ def pair_entries(scored: DataFrame, classes: Sequence[int]) -> DataFrame:
             )
             for a, b in pairs_of(classes)
             if label in (a, b)
-            for c in (a, b)
+            for c in ((a,) if first_only else (a, b))
         ])
 
     first, *others = sorted(classes)
@@ -192,9 +205,9 @@ def pair_entries(scored: DataFrame, classes: Sequence[int]) -> DataFrame:
 PAIR_KEYS = ["cat1", "cat2", "scored_by"]
 
 
-def pair_curves(scored: DataFrame, classes: Sequence[int], **options) -> DataFrame:
-    """One-vs-one curves of all pairs, in both directions."""
-    return roc_points(pair_entries(scored, classes), PAIR_KEYS, **options)
+def pair_curves(scored: DataFrame, classes: Sequence[int], first_only: bool = False, **options) -> DataFrame:
+    """One-vs-one curves of all pairs, in both directions or scored by the first class only."""
+    return roc_points(pair_entries(scored, classes, first_only), PAIR_KEYS, **options)
 
 
 def zoom(

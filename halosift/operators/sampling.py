@@ -36,8 +36,10 @@ def row_hash(seed: int, key: Sequence[str] | None, columns: Sequence[str]) -> Co
     key the whole row is hashed, and equal rows are interchangeable."""
     if key:
         return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(quoted(k)).cast("string") for k in key]))
-    whole = F.to_json(F.struct(*[quoted(c) for c in columns]))
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), whole))
+    whole = F.struct(*[quoted(c) for c in columns])
+    # The text form orders the rows but shortens some types (timestamps); two hashes
+    # of the values themselves tell rows apart whose texts are equal.
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.to_json(whole), F.xxhash64(whole), F.hash(whole)))
 
 
 def partition_exact(

@@ -110,7 +110,7 @@ def grid_table(
     pixels = {
         "E": energy,
         "t": F.transform(places, lambda k: vector[(k + 7) % 64].cast("double")),
-        "r": F.transform(places, lambda k: F.when(vector[k] > 0, 1.0).otherwise(0.0)),
+        "r": F.transform(places, lambda k: F.when(vector[(k + 15) % 64] > 0, 1.0).otherwise(0.0)),
     }
     label = F.col("label") % 3 + 1
     if unmatched:
@@ -149,7 +149,7 @@ def grids_sql(holes: bool = False, unmatched: bool = False) -> str:
          list_transform(range(0, 49), lambda k: {energy}) AS e,
          list_transform(range(0, 49), lambda k: CAST(embedding[(k + 7) % 64 + 1] AS DOUBLE)) AS t,
          list_transform(range(0, 49),
-           lambda k: CASE WHEN embedding[k + 1] > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r
+           lambda k: CASE WHEN embedding[(k + 15) % 64 + 1] > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r
   FROM embeddings)"""
 
 

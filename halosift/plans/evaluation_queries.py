@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halosift.functions.labels import predicted_label
 from halosift.operators import metrics, roc
 from halosift.plans.driver_views import CLASSES, SCORED_SQL, scored, table
 from halosift.plans.registry import query
@@ -124,7 +125,7 @@ SELECT cat1, cat2, round(fpr, 9) AS fpr, round(miss, 9) AS miss, round(threshold
 FROM near WHERE place = 1"""
 )
 def working_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curves = roc.first_direction(roc.pair_curves(scored(spark, sf_dir), CLASSES))
+    curves = roc.pair_curves(scored(spark, sf_dir), CLASSES, first_only=True)
     return _rounded(roc.working_points(curves))
 
 
@@ -180,6 +181,42 @@ def accuracy_and_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("accuracy", 8).alias("accuracy"), F.round("loss", 8).alias("loss"))
 
 
+# --- scores with holes: no probabilities, one missing, or not a number ------------------
+
+_HOLES_SQL = """holed AS (SELECT key, label,
+  CASE WHEN key % 7 = 0 THEN NULL WHEN key % 11 = 0 THEN [NULL, p[2], p[3]]
+       WHEN key % 13 = 0 THEN [p[1], 'NaN'::DOUBLE, p[3]] ELSE p END AS p,
+  key % 7 <> 0 AND key % 11 <> 0 AND key % 13 <> 0 AS whole FROM scored)"""
+
+
+def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nothing = F.lit(None).cast("double")
+    key, p = F.col("key"), F.col("p")
+    return scored(spark, sf_dir).withColumn(
+        "p",
+        F.when(key % 7 == 0, None)
+        .when(key % 11 == 0, F.array(nothing, p[1], p[2]))
+        .when(key % 13 == 0, F.array(p[0], F.lit(float("nan")), p[2]))
+        .otherwise(p),
+    )
+
+
+@query(
+    f"""WITH {SCORED_SQL}, {_HOLES_SQL} SELECT count(*) AS n, count(CASE WHEN whole THEN 1 END) AS n_scored,
+        round(avg(CASE WHEN whole THEN CASE WHEN list_position(p, list_max(p)) = label THEN 1 ELSE 0 END END), 8) AS accuracy,
+        round(avg(CASE WHEN whole THEN -ln(greatest(p[label], 1e-7)) END), 8) AS loss FROM holed"""
+)
+def accuracy_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.accuracy_and_loss(_holed(spark, sf_dir), CLASSES)
+    return out.select("n", "n_scored", F.round("accuracy", 8).alias("accuracy"), F.round("loss", 8).alias("loss"))
+
+
+@query(f"""WITH {SCORED_SQL}, {_HOLES_SQL}
+SELECT key, CASE WHEN whole THEN CAST(list_position(p, list_max(p)) AS BIGINT) END AS predicted FROM holed""")
+def predicted_class_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _holed(spark, sf_dir).select("key", predicted_label(F.col("p"), CLASSES).cast("bigint").alias("predicted"))
+
+
 # --- run tables: a run per event type, an epoch per user, the mean value as its loss ----
 
 LOSSES_SQL = """losses AS (

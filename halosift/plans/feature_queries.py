@@ -79,8 +79,9 @@ def predicted_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.label AS cat1, b.label AS cat2 FROM c a JOIN c b ON a.label < b.label"""
 )
 def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.class_list(subclusters(spark, sf_dir).filter("label >= 0"))
-    return spark.createDataFrame(labels.pairs_of(found), "cat1 bigint, cat2 bigint")
+    found = stats.distinct_labels(subclusters(spark, sf_dir).filter("label >= 0"))
+    first, second = found.select(F.col("label").alias("cat1")), found.select(F.col("label").alias("cat2"))
+    return first.join(second, F.col("cat1") < F.col("cat2"))
 
 
 # --- scaling ---------------------------------------------------------------------------

@@ -7,25 +7,25 @@ the shared folder once.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halosift.functions.grids import GridSpec, Images, build_images
 from halosift.functions.scaling import MinMax, real, scaled
 from halosift.models import score as scoring
 from halosift.models.nets import ARCHS, DENSE_NODES, Net, dense_net, grid_net
-from halosift.models.train import Trained, pin_shards, train
+from halosift.models.train import BATCH_ROWS, Trained, pin_shards, train
 from halosift.operators import attribution, cuts, histograms, maps, metrics, roc, sampling, stats
 from halosift.session import pin
-from halosift.sources.catalogue import IDENTITY_COLUMNS, quoted, require_columns
+from halosift.sources.catalogue import GRID_PATTERN, IDENTITY_COLUMNS, quoted, require_columns
 from halosift.sources.runs import RunStore
 
-# Classes of the detector flows and of the benchmark flow.
+# Classes of the detector flows.
 DETECTOR_CLASSES = [1, 2, 3]
-BENCHMARK_CLASSES = [0, 1]
 
 # Fixed values: (epochs, early stopping) of the benchmark feature sets; other flows use 20 and no.
 BENCHMARK_EPOCHS = {
@@ -69,30 +69,36 @@ class Training:
     store: RunStore
     run: str
     epochs: int = 20
-    shards: int = 8
+    shards: int = field(kw_only=True)
     early_stop: bool = False
     seed: int = 43
+    batch_rows: int = BATCH_ROWS
+    save_best: bool = True
+    resume: bool = False
 
 
-def benchmark_training(store: RunStore, features: str, extra: str = "", shards: int = 8) -> Training:
+def benchmark_training(store: RunStore, features: str, extra: str = "", *, shards: int) -> Training:
     """The usual length of training for a benchmark feature set."""
     epochs, early_stop = BENCHMARK_EPOCHS[features]
     name = run_name("benchmark", extra, features, epochs=epochs, early_stop=early_stop)
-    return Training(store, name, epochs, shards, early_stop)
+    return Training(store, name, epochs, shards=shards, early_stop=early_stop)
 
 
 def _train(rows: DataFrame, classes: Sequence[int], net: Net, how: Training, key: Sequence[str]) -> Trained:
     fit, validation = sampling.fit_validation(rows, key)
     fit_rows = pin_shards(fit, classes, how.shards, key)
     held_rows = pin_shards(validation, classes, how.shards, key)
-    return train(fit_rows, held_rows, net, how.store, how.run, how.epochs, how.seed, True, how.early_stop)
+    return train(
+        fit_rows, held_rows, net, how.store, how.run, how.epochs, how.seed, how.save_best, how.early_stop,
+        batch_rows=how.batch_rows, resume=how.resume,
+    )
 
 
 def _multiclass_tables(scored: DataFrame, classes: Sequence[int], against: int) -> dict[str, DataFrame]:
     """The class-against-rest and one-vs-one views of a scored test table."""
     rest = roc.roc_points(roc.against_rest(scored, against, classes))
     pairs = roc.pair_curves(scored, classes)
-    first = roc.first_direction(pairs)
+    first = roc.pair_curves(scored, classes, first_only=True)
     return {
         "class_curve": rest,
         "pair_curves": pairs,
@@ -122,6 +128,27 @@ def grid_steps(key: Sequence[str], classes: Sequence[int] = DETECTOR_CLASSES) ->
     ]
 
 
+def _complete(columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(quoted(c)).isNotNull() & ~F.isnan(quoted(c)) for c in columns], F.lit(True))
+
+
+def _pinned_steps(
+    df: DataFrame, steps: Sequence[stats.Step], keep: Sequence[str], **options
+) -> tuple[DataFrame, DataFrame]:
+    """`stats.run_steps` with the rows left by the row-level stages pinned, narrow,
+    before the first stage that needs the whole table: the input is read twice at
+    most, for the cut flow and for the pin. ``keep`` names the columns that go on."""
+    first = next((n for n, s in enumerate(steps) if isinstance(s, stats.TableStep)), len(steps))
+    rows, flow = stats.run_steps(df, steps[:first], **options)
+    wanted = list(dict.fromkeys([*[c for c in ("sample", "label") if c in df.columns], *keep]))
+    rows = pin(rows.select(*map(quoted, wanted)))
+    if first == len(steps):
+        return rows, flow
+    rows, rest = stats.run_steps(rows, steps[first:], **options)
+    later = rest.filter("stage > 0").withColumn("stage", F.col("stage") + first)
+    return rows, flow.unionByName(later)
+
+
 def _pinned(images: Images) -> Images:
     return Images(pin(images.df), images.side, images.names, images.ranges)
 
@@ -130,15 +157,21 @@ def grid_flow(
     df: DataFrame,
     key: Sequence[str],
     spec: GridSpec = GridSpec(products=(("E", "r"),)),
-    arch: str = "default",
+    arch: str | Callable[[tuple[int, int, int], int], Net] = "default",
     training: Training | None = None,
     dry_run: bool = False,
+    drop_incomplete: bool = False,
+    fit_on_train: bool = False,
 ) -> Result:
     """Cuts, balance, images and input maps; then a grid classifier and its curves.
 
-    ``arch="sublead"`` gives the input maps of the subleading rows only.
+    ``arch="sublead"`` gives the input maps of the subleading rows only. ``arch``
+    may also be a function of the image shape and the number of classes that gives
+    the net, for filters and masks of one's own. ``drop_incomplete`` leaves out
+    images with a missing pixel before balancing; ``fit_on_train`` takes the ranges
+    of the channels from the training rows.
     """
-    if arch not in ARCHS:
+    if isinstance(arch, str) and arch not in ARCHS:
         raise ValueError(f"unknown architecture {arch!r}; one of {sorted(ARCHS)}")
     require_columns(df, IDENTITY_COLUMNS, "grid_flow")
     steps, keep = grid_steps(key), [*key, "label"]
@@ -149,15 +182,21 @@ def grid_flow(
         shown = Images(train_rows, images.side, images.names)
         return Result({"input_maps": maps.mean_maps(shown)})
 
-    rows, flow = stats.run_steps(df, steps)
+    pixels = [c for c in df.columns if GRID_PATTERN.fullmatch(c)]
+    if drop_incomplete:
+        steps.insert(-1, stats.Cut("complete", lambda label: _complete(pixels)))
+    rows, flow = _pinned_steps(df, steps, [*keep, *pixels])
     out = Result({"cut_flow": flow})
-    images = _pinned(build_images(rows, spec, keep))
+    rows = pin(rows)
+    fit_on = sampling.train_test(rows, key)[0] if fit_on_train else None
+    images = _pinned(build_images(rows, spec, keep, fit_on=fit_on))
     train_rows, test_rows = sampling.train_test(images.df, key)
     out.tables["input_maps"] = maps.mean_maps(Images(train_rows, images.side, images.names))
     if dry_run or training is None:
         return out
 
-    net = grid_net(arch, images.shape, len(DETECTOR_CLASSES))
+    make = arch if callable(arch) else lambda shape, n: grid_net(arch, shape, n)
+    net = make(images.shape, len(DETECTOR_CLASSES))
     model = out.model = _train(train_rows, DETECTOR_CLASSES, net, training, key)
     out.tables.update(_trained_tables(model))
     one = sampling.take_random(test_rows, 1, sampling.SPLIT_SEED, key)
@@ -215,7 +254,7 @@ def dense_flow(
         steps.append(
             stats.TableStep("balanced", lambda t: sampling.balance_classes(t, DETECTOR_CLASSES, key))
         )
-    rows, flow = stats.run_steps(df, steps, samples=False)
+    rows, flow = _pinned_steps(df, steps, [*key, *names], samples=False)
     out = Result({"cut_flow": flow})
     if dry_run:
         return out
@@ -238,17 +277,20 @@ def dense_flow(
         pin(scoring.score(train_rows, net, model.params).drop("x")), names, classes
     )
     if explain:
-        values = attribution.explain_sample(train_rows, net, model.params, key[0])
+        values = attribution.explain_sample(train_rows, net, model.params, key)
         out.tables["importance"] = attribution.importance(values, names)
     return out
 
 
-def benchmark_steps() -> list[stats.Step]:
+def benchmark_steps(classes: Sequence[int] | None = None) -> list[stats.Step]:
+    """The stages; with ``classes`` the last one keeps those classes only."""
+    chosen = [stats.Cut("classes", lambda label: F.coalesce(label.isin(*classes), F.lit(False)))] if classes else []
     return [
         *CLEANING,
         stats.Relabel("halo as background", {2: 1}),
         stats.Cut("object selection", lambda label: cuts.is_not_sentinel("R9")),
         stats.Cut("leading photon", lambda label: cuts.is_lead_photon()),
+        *chosen,
     ]
 
 
@@ -261,28 +303,36 @@ def benchmark_flow(
     nodes: Sequence[int] = tuple(DENSE_NODES),
     drop_incomplete: bool = False,
     fit_on_train: bool = False,
+    classes: Sequence[int] | None = None,
 ) -> Result:
     """Cleaning, halo merged into class 1, object selection, leading photons; then
-    a two-class dense classifier with its signal-vs-rest curve and area. The scaler
-    is fitted on all rows, or on the train rows with ``fit_on_train``."""
+    a dense classifier with the curve and area of class 1 against the rest.
+
+    All rows that the cuts leave are trained on, and the classes are those found
+    there; ``classes`` selects some, as a last stage of the cut flow. The scaler is
+    fitted on all rows, or on the train rows with ``fit_on_train``."""
     names, _ = cuts.feature_columns(features)
     require_columns(df, [*IDENTITY_COLUMNS, "R9", "lead", *names], "benchmark_flow")
-    steps = benchmark_steps()
+    steps = benchmark_steps(classes)
+    if drop_incomplete:
+        steps.append(stats.Cut("complete", lambda label: _complete(names)))
     rows, flow = stats.run_steps(df, steps, stats.BENCHMARK_CLASSES)
     out = Result({"cut_flow": flow})
-    if dry_run or training is None:
+    if dry_run:
         return out
-    rows = rows.filter(F.col("label").isin(*BENCHMARK_CLASSES))
-    if drop_incomplete:
-        rows = rows.dropna(subset=names)
     all_rows, train_rows, test_rows = _feature_rows(rows, names, key)
+    parts = train_rows.select("label", F.lit("train").alias("part")).unionByName(test_rows.select("label", F.lit("test").alias("part")))
+    out.tables["rows"] = parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+    if training is None:
+        return out
+    found = stats.class_list(all_rows)
     fit_on = train_rows if fit_on_train else all_rows
     train_rows, test_rows = _with_inputs(names, fit_on, train_rows, test_rows)
-    net = dense_net(len(names), len(BENCHMARK_CLASSES), nodes)
-    model = out.model = _train(train_rows, BENCHMARK_CLASSES, net, training, key)
+    net = dense_net(len(names), len(found), nodes)
+    model = out.model = _train(train_rows, found, net, training, key)
     out.tables.update(_trained_tables(model))
     scored = out.tables["scored"] = pin(scoring.score(test_rows, net, model.params).drop("x"))
-    entries = roc.against_rest(scored, 1, BENCHMARK_CLASSES)
+    entries = roc.against_rest(scored, 1, found)
     out.tables["curve"] = roc.roc_points(entries)
     out.tables["area"] = roc.auc(entries)
     return out

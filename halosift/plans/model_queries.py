@@ -191,7 +191,7 @@ def _run_id(name: str) -> str:
 
 
 def _how(spark: SparkSession, name: str) -> flows.Training:
-    return flows.Training(RunStore(spark), _run_id(name), EPOCHS, SHARDS)
+    return flows.Training(RunStore(spark), _run_id(name), EPOCHS, shards=SHARDS)
 
 
 def _trained(spark: SparkSession, df: DataFrame, net: Net, name: str) -> Trained:
@@ -253,6 +253,25 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(attribution.importance(values, names), "importance")
 
 
+def _sums_sql() -> str:
+    """The first class's probability minus its mean over the background rows."""
+    own = f"""keyed AS (SELECT *, concat_ws('-', event, "object", tower, crystal) AS key FROM predicted),
+drawn AS ({ranked_sql("(SELECT key, p[1] AS p FROM keyed)", "key", 43)}),
+explained AS ({ranked_sql("(SELECT key, p[1] AS p FROM keyed)", "key", 44)})"""
+    return f"""WITH {SUBCLUSTERS_SQL}, {_dense_source}, {net_sql(DENSE, "inputs")}, {own}
+SELECT key, round(p - (SELECT avg(p) FROM drawn WHERE place <= 100), 6) AS total FROM explained WHERE place <= 500"""
+
+
+@query(_sums_sql())
+def attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions of an explained row add up to its probability minus that of the background."""
+    df = subclusters(spark, sf_dir).select(
+        F.concat_ws("-", *ROW_KEY).alias("key"), F.expr(f"array({', '.join(DENSE_X)})").alias("x")
+    )
+    values = attribution.explain_sample(df, DENSE, rule_params(DENSE), "key")
+    return values.groupBy("key").agg(F.round(F.sum("value"), 6).alias("total"))
+
+
 # --- flows -----------------------------------------------------------------------------
 
 _GRID_KEPT = f"{CLEAN} AND {class_from_sql(1, 'EGamma')} AND subcl IS NOT DISTINCT FROM 0"
@@ -323,7 +342,7 @@ def grid_flow_subleading_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_flow_working_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid flow end to end: cuts, balance, images, training, scoring, curves."""
     flow = flows.grid_flow(
-        grid_table(spark, sf_dir, unmatched=True), ["event"], arch="small3", training=_how(spark, "grid-flow")
+        grid_table(spark, sf_dir, unmatched=True), ["event"], training=_how(spark, "grid-flow")
     )
     return _rounded(flow["working_points"], "fpr", "miss", "threshold")
 
@@ -371,7 +390,6 @@ def dense_flow_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense flow end to end on balanced rows, with its closure test."""
     flow = flows.dense_flow(
         subclusters(spark, sf_dir), ROW_KEY, exclude="sw+", even=True, training=_how(spark, "dense-flow"),
-        nodes=(16, 16),
     )
     return _rounded(flow["closure"], "lo", "hi", "pred", "ratio", "ymax")
 
@@ -393,11 +411,24 @@ def benchmark_flow_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.benchmark_flow(subclusters(spark, sf_dir), ROW_KEY, dry_run=True)["cut_flow"]
 
 
+_BENCHMARK_LEFT = f"""left_over AS (
+  SELECT * REPLACE (CASE WHEN label = 2 THEN 1 ELSE label END AS label) FROM subclusters
+  WHERE {CLEAN} AND R9 IS DISTINCT FROM -999 AND lead = 1),
+split AS ({ranked_sql("left_over", 'event, "object", tower, crystal', 43)})"""
+
+
+@query(f"""WITH {SUBCLUSTERS_SQL}, {_BENCHMARK_LEFT}
+SELECT label, CASE WHEN place <= (size + 4) // 5 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM split GROUP BY ALL""")
+def benchmark_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows that the cuts leave, by label and part: nothing is lost before training."""
+    return flows.benchmark_flow(subclusters(spark, sf_dir), ROW_KEY)["rows"]
+
+
 @query()
 def benchmark_flow_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark flow end to end, ending in the signal-vs-rest curve."""
     flow = flows.benchmark_flow(
-        subclusters(spark, sf_dir), ROW_KEY, training=_how(spark, "benchmark"), nodes=(16, 16)
+        subclusters(spark, sf_dir), ROW_KEY, training=_how(spark, "benchmark")
     )
     return _rounded(flow["curve"], "threshold", "fpr", "tpr", "miss")
 
@@ -405,7 +436,7 @@ def benchmark_flow_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def four_feature_flow_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = flows.benchmark_flow(
-        subclusters(spark, sf_dir), ROW_KEY, "fourFeature", training=_how(spark, "four"), nodes=(16, 16)
+        subclusters(spark, sf_dir), ROW_KEY, "fourFeature", training=_how(spark, "four")
     )
     return _rounded(flow["area"], "auc")
 

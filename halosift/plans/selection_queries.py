@@ -98,6 +98,14 @@ def csv_append_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("sample", "event", "object", "subcl", "label", "eta_sig", "R9")
 
 
+@query(CSV_SQL + 'SELECT sample, event, "object", subcl, label, eta_sig, R9 FROM read_back')
+def csv_mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files by one glob over all layouts."""
+    folder = _written_csv(spark, sf_dir)[0].rpartition("/")[0]
+    df = tables.read_csv(spark, f"{folder}/*/*.csv")
+    return df.select("sample", "event", "object", "subcl", "label", "eta_sig", "R9")
+
+
 @query(
     CSV_SQL
     + """SELECT CASE WHEN sample LIKE 'G%' OR sample LIKE 'Q%' THEN 'background' ELSE 'data' END AS dataset,

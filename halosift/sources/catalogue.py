@@ -32,34 +32,32 @@ FEATURE_SETS = {
                                "hcalPFClusterIsoOvPt", "trkSumPtHollowConeDR03OvPt",
                                "timeeta_cov", "etaphi_cov"],
     "detector": ["eta_sig", "phi_sig", "etaphi_cov", "timeeta_cov", "sw+", "energy"],
-    "even": ["eta_sig", "phi_sig", "etaphi_cov", "timeeta_cov", "sw+", "energy"],
     "fourFeature": ["eta_sig", "phi_sig", "etaphi_cov", "timeeta_cov"],
 }
 
+FEATURE_SETS["even"] = FEATURE_SETS["detector"]
+
 # Pixel column format of the grid tables.
 GRID_FORMAT = "CNNgrid_{channel}_cell{i}_{j}"
 GRID_PATTERN = re.compile(r"CNNgrid_([A-Za-z])_cell(-?\d+)_(-?\d+)")
 
-TEXT_COLUMNS = {"sample"}
+# Columns that hold whole numbers, and real ones that are in no feature set.
 WHOLE_NUMBER_COLUMNS = {"event", "object", "subcl", "label", "lead"}
-REAL_COLUMNS = {
-    "eta_center", "phi_center", "time_center", "eta_sig", "phi_sig", "etaphi_cov", "timeeta_cov",
-    "sw+", "energy", "R9", "Sietaieta", "Smajor", "Sminor", "ecalPFClusterIsoOvPt",
-    "hcalPFClusterIsoOvPt", "trkSumPtHollowConeDR03OvPt", "major_length", "minor_length",
-}
-
+CENTRE_COLUMNS = {"eta_center", "phi_center", "time_center"}
+REAL_COLUMNS = CENTRE_COLUMNS.union(*FEATURE_SETS.values())
 
-def column_kind(name: str) -> str:
-    """``text``, ``whole`` or ``real`` for a column name, ignoring case.
 
-    A column outside the catalogue stays text; the caller may name its kind.
-    """
+def column_kind(name: str) -> str | None:
+    """``text``, ``whole`` or ``real`` for a column of the catalogue, ignoring case;
+    None for any other."""
     low = name.lower()
+    if low == "sample":
+        return "text"
     if low in {c.lower() for c in WHOLE_NUMBER_COLUMNS}:
         return "whole"
     if low in {c.lower() for c in REAL_COLUMNS} or GRID_PATTERN.fullmatch(name):
         return "real"
-    return "text"
+    return None
 
 
 def quoted(name: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +13,15 @@ from halosift.session import shared_dir
 
 CHECKPOINT_SCHEMA = "run string, epoch int, val_loss double, params array<double>"
 HISTORY_SCHEMA = "run string, epoch int, metric string, train double, val double"
+STATE_SCHEMA = "epoch int, best double, stop_best double, val_loss double, vector array<double>"
+STATES = 2  # the last state stays whole while the next is written
 
 # Fixed value: a checkpoint is kept only when its validation loss is below this start value.
 FIRST_THRESHOLD = 999.0
 
 
 class RunStore:
-    """Parquet folders ``<root>/<run>/checkpoints`` and ``<root>/<run>/history``."""
+    """Parquet folders ``<root>/<run>/checkpoints``, ``history`` and ``state0``, ``state1``."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
@@ -34,6 +37,30 @@ class RunStore:
             self.spark.range(0).selectExpr(*nothing).coalesce(1).write.mode("overwrite").parquet(
                 self._path(run, table)
             )
+        for n in range(STATES):
+            self._write_state(run, n, [])
+
+    def _write_state(self, run: str, n: int, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+            self._path(run, f"state{n}")
+        )
+
+    def save_state(
+        self, run: str, epoch: int, best: float, stop_best: float, val_loss: float, vector: Sequence[float]
+    ) -> None:
+        """What training needs to go on after ``epoch``."""
+        row = (epoch, float(best), float(stop_best), float(val_loss), [float(v) for v in vector])
+        self._write_state(run, epoch % STATES, [row])
+
+    def state(self, run: str) -> dict | None:
+        """The last saved state, or None. A state that was being written is passed over."""
+        found = []
+        for n in range(STATES):
+            try:
+                found += self.spark.read.schema(STATE_SCHEMA).parquet(self._path(run, f"state{n}")).collect()
+            except AnalysisException:  # this run has no such state
+                continue
+        return max((r.asDict() for r in found), key=lambda r: r["epoch"], default=None)
 
     def _append(self, run: str, table: str, rows: pa.Table, schema: str) -> None:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(

@@ -14,9 +14,14 @@ from pyspark.sql import types as T
 from halosift.sources.catalogue import MISSING_TEXTS, column_kind, quoted
 
 
+def present_text(text: Column) -> Column:
+    return F.when(~text.isin(MISSING_TEXTS), text)
+
+
 def typed_cell(text: Column, kind: str) -> Column:
-    """Turn CSV text into a typed value; missing texts and NaN become NULL."""
-    present = F.when(~text.isin(MISSING_TEXTS), text)
+    """Turn CSV text into a typed value; missing texts, NaN and what is no such
+    value become NULL."""
+    present = present_text(text)
     if kind == "text":
         return present
     real = present.try_cast("double")
@@ -29,37 +34,103 @@ def typed_cell(text: Column, kind: str) -> Column:
     )
 
 
+def checked_cell(text: Column, kind: str, name: str) -> Column:
+    """`typed_cell` that fails on a present text which is no value of its kind."""
+    value = typed_cell(text, kind)
+    if kind == "text":
+        return value
+    bad = present_text(text).isNotNull() & value.isNull() & ~F.coalesce(F.isnan(text.try_cast("double")), F.lit(False))
+    said = F.concat(F.lit(f"column {name} holds no {kind} number: "), text)
+    return F.when(bad, F.raise_error(said).cast(value_type(kind))).otherwise(value)
+
+
+def value_type(kind: str) -> str:
+    return {"text": "string", "real": "double", "whole": "bigint"}[kind]
+
+
+def found_kinds(raws: Iterable[DataFrame], names: Iterable[str]) -> dict[str, str]:
+    """Kinds of columns outside the catalogue, from one pass over all their cells:
+    whole if every present cell is a whole number, else real if every one is a
+    number, else text. A column without any present cell is real."""
+    not_real, not_whole, kinds = {}, {}, {}
+    for raw in raws:
+        own = [n for n in names if n in raw.columns]
+        if not own:
+            continue
+        def counts(n: str) -> list[Column]:
+            there, number = present_text(F.col(quoted(n))), F.col(quoted(n)).try_cast("double")
+            some = F.count_if(there.isNotNull())
+            return [F.count_if(there.isNotNull() & number.isNull()), F.count_if(there.isNotNull() & typed_cell(there, "whole").isNull()), some]
+        row = raw.agg(*[c.alias(f"{k}_{n}") for n, name in enumerate(own) for k, c in enumerate(counts(name))]).first()
+        for n, name in enumerate(own):
+            not_real[name] = not_real.get(name, 0) + row[f"0_{n}"]
+            # a column that holds nothing is no sign of whole numbers
+            not_whole[name] = not_whole.get(name, 0) + (row[f"1_{n}"] if row[f"2_{n}"] else 0)
+            kinds[name] = kinds.get(name, 0) + row[f"2_{n}"]
+    return {
+        name: "text" if not_real[name] else "real" if not_whole[name] or not some else "whole"
+        for name, some in kinds.items()
+    }
+
+
+CORRUPT = "_corrupt_record"
+
+
 def read_csv(
     spark: SparkSession,
     paths: str | Iterable[str],
     kinds: Mapping[str, str] | None = None,
     with_source: bool = False,
+    bad: str = "raise",
 ) -> DataFrame:
     """Read CSV files with headers into one table, columns matched by name.
 
-    A path may be a file, a folder or a glob whose files share one header.
-    Paths with the same header become a single scan, so the plan grows with the
-    number of layouts and not with the number of files. Files that break the
-    header of their path are rejected by Spark (``enforceSchema=False``).
+    A path may be a file, a folder or a glob; its files may differ in their
+    headers. Files with the same header become a single scan, so the plan grows
+    with the number of layouts and not with the number of files.
+
+    Columns of the catalogue have the catalogue's kind. Others have the kind that
+    ``kinds`` names, or the one that a pass over all their cells finds. A cell that
+    is no value of its column's kind, and a line with more or fewer fields than the
+    header, fail the read; with ``bad="null"`` such cells are missing, and fields
+    beyond the header are left out.
     """
+    if bad not in ("raise", "null"):
+        raise ValueError(f"bad is 'raise' or 'null', not {bad!r}")
     paths = [paths] if isinstance(paths, str) else list(paths)
     kinds = dict(kinds or {})
     plain = spark.read.option("header", True)
+    files = list(dict.fromkeys(f for p in paths for f in spark.read.text(p).inputFiles()))
     with ThreadPoolExecutor(8) as pool:
-        headers = list(pool.map(lambda p: tuple(plain.csv(p).columns), paths))
+        headers = list(pool.map(lambda p: tuple(plain.csv(p).columns), files))
     layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in zip(paths, headers):
+    for path, header in zip(files, headers):
         layouts[header].append(path)
 
-    parts = []
+    raws = []
     for header, group in layouts.items():
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        raw = spark.read.csv(group, schema=schema, header=True, enforceSchema=False)
-        cells = [
-            typed_cell(F.col(quoted(n)), kinds.get(n, column_kind(n))).alias(n) for n in header
-        ]
+        reader = spark.read.option("header", True).option("enforceSchema", False)
+        if bad == "raise":  # whole lines are parsed, so their fields can be counted
+            schema = schema.add(CORRUPT, T.StringType())
+            reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT)
+        raws.append((header, reader.schema(schema).csv(group)))
+
+    unknown = list(dict.fromkeys(n for header in layouts for n in header if n not in kinds and column_kind(n) is None))
+    kinds |= found_kinds([raw for _, raw in raws], unknown)
+    parts = []
+    for header, raw in raws:
+        cell = typed_cell if bad == "null" else checked_cell
+        cells = []
+        for n in header:
+            kind = kinds.get(n) or column_kind(n) or "text"
+            text = F.col(quoted(n))
+            cells.append((cell(text, kind) if bad == "null" else cell(text, kind, n)).alias(n))
         if with_source:
             cells.append(F.col("_metadata.file_path").alias("source_file"))
+        if bad == "raise":
+            said = F.concat(F.lit("a line has more or fewer fields than its header: "), F.col(CORRUPT))
+            raw = raw.filter(F.when(F.col(CORRUPT).isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True))
         parts.append(raw.select(*cells))
     return append_tables(parts)
 

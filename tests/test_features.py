@@ -118,3 +118,11 @@ def test_mean_maps_sum_to_one_and_put_eta_first(spark):
         (r["channel"], r["i"], r["j"]): r["value"] for r in mean_maps(Images(df, 3, ["a", "b"])).collect()
     }
     assert len(got) == 18 and got["b", -1, 1] == 0.25 and got["b", 1, -1] == 0.75 and got["a", -1, -1] == 1.0
+
+
+def test_unknown_channels_are_refused():
+    from halosift.functions.grids import GridSpec
+
+    for wrong in ({"channels": ("E", "q")}, {"products": (("E", "E"),)}, {"normalize": ("x",)}):
+        with pytest.raises(ValueError, match="unknown channels"):
+            GridSpec(**wrong)

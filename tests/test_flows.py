@@ -57,7 +57,11 @@ def test_dense_flow_keeps_the_default_unbalanced_classes(dense):
 
 
 def test_benchmark_flow_has_two_classes_that_can_be_told_apart(spark, dense, tmp_path):
-    flow = flows.benchmark_flow(dense, ["event"], "clusterShapeOnly", training=how(spark, tmp_path, "b", 8))
+    flow = flows.benchmark_flow(
+        dense, ["event"], "clusterShapeOnly", training=how(spark, tmp_path, "b", 8), classes=(0, 1)
+    )
+    stages = {r["cut"]: r["total"] for r in flow["cut_flow"].collect()}
+    assert stages["classes"] == sum(r["n"] for r in flow["rows"].collect()) < stages["leading photon"]
     assert flow.model.net.classes == 2
     assert flow["area"].first()["auc"] > 0.6
     curve = flow["curve"].orderBy("threshold").collect()
@@ -122,6 +126,51 @@ def test_run_name():
 
 
 def test_benchmark_training(spark, tmp_path):
-    how = flows.benchmark_training(RunStore(spark, str(tmp_path)), "clusterShapeOnly", "v2")
+    how = flows.benchmark_training(RunStore(spark, str(tmp_path)), "clusterShapeOnly", "v2", shards=2)
     assert (how.epochs, how.early_stop, how.run) == (1500, False, "benchmark_v2_clusterShapeOnly_1500epochs")
-    assert flows.benchmark_training(how.store, "default").run.endswith("500epochs_earlyStop")
+    assert flows.benchmark_training(how.store, "default", shards=2).run.endswith("500epochs_earlyStop")
+
+
+def test_benchmark_flow_keeps_all_rows_that_the_cuts_leave(spark, dense):
+    flow = flows.benchmark_flow(dense, ["event"], "clusterShapeOnly")
+    left = flow["cut_flow"].orderBy("stage").collect()[-1]
+    assert left["cut"] == "leading photon" and left["total"] == sum(r["n"] for r in flow["rows"].collect())
+    assert {r["label"] for r in flow["rows"].select("label").collect()} == {0, 1, 3}
+
+
+def reads_of(df, run) -> int:
+    """How often ``run`` reads ``df``, counted by rows that pass an accumulator."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def mark(stream):
+        for batch in stream:
+            seen.add(batch.num_rows)
+            yield batch
+
+    run(df.mapInArrow(mark, df.schema))
+    return seen.value / df.count()
+
+
+def test_flows_read_their_input_twice_at_most(spark, dense, grid):
+    dense_reads = reads_of(dense, lambda df: [t.count() for t in flows.dense_flow(df, ["event"], even=True).tables.values()])
+    assert dense_reads <= 2
+    assert reads_of(grid, lambda df: [t.count() for t in flows.grid_flow(df, ["event"], dry_run=True).tables.values()]) <= 2
+
+
+def test_explained_flow_with_a_composite_key(spark, dense, tmp_path):
+    flow = flows.dense_flow(dense, ["event", "object"], training=how(spark, tmp_path, "x", 1), explain=True)
+    assert flow["importance"].count() == 6
+    assert all(r["importance"] >= 0 for r in flow["importance"].collect())
+
+
+def test_grid_flow_with_missing_pixels_and_an_own_net(spark, grid, tmp_path):
+    from pyspark.sql import functions as F
+    from halosift.models.nets import grid_net
+
+    pixel = next(c for c in grid.columns if c.startswith("CNNgrid_E"))
+    holed = grid.withColumn(pixel, F.when(F.col("event") % 10 == 0, None).otherwise(F.col(pixel)))
+    flow = flows.grid_flow(
+        holed, ["event"], arch=lambda shape, n: grid_net("xsmall3", shape, n), training=how(spark, tmp_path, "own", 1),
+        drop_incomplete=True, fit_on_train=True,
+    )
+    assert "complete" in {r["cut"] for r in flow["cut_flow"].collect()} and flow["working_points"].count() == 3

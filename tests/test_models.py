@@ -186,3 +186,63 @@ def test_attributions_add_up(spark):
     assert np.allclose(values, 0.25 * np.array([0.01, -0.02, 0.0]) * (x[:5] - x[5:].mean(axis=0)), atol=2e-4)
     summary = {r["feature"]: r["importance"] for r in attribution.importance(got, ["a", "b", "c"]).collect()}
     assert summary["c"] == 0 and summary["b"] > 0
+
+
+def test_rows_with_one_key_keep_their_own_attributions(spark):
+    rng = np.random.default_rng(3)
+    net, params = linear_net([0.4, -0.3])
+    x = rng.normal(size=(8, 2))
+    df = spark.createDataFrame([(k // 2, k % 2, [float(v) for v in x[k]]) for k in range(8)], "event int, part int, x array<double>")
+    got = attribution.attributions(df, df, net, params, ["event", "part"]).collect()
+    total = {}
+    for r in got:
+        total[r["event"], r["part"]] = total.get((r["event"], r["part"]), 0) + r["value"]
+    p = net.predict(params, x)[:, 0]
+    assert all(total[k // 2, k % 2] == pytest.approx(p[k] - p.mean()) for k in range(8))
+    assert len(attribution.attributions(df, df, net, params, "event").collect()) == 16  # not merged by a shared key
+
+
+def test_a_small_table_is_explained_whole(spark):
+    net, params = linear_net([0.4, -0.3])
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(30)], "key int, x array<double>")
+    assert attribution.explain_sample(df, net, params, "key").select("key").distinct().count() == 30
+    some = attribution.explain_sample(df, net, params, "key", explained_rows=5, background_rows=3)
+    assert some.select("key").distinct().count() == 5
+
+
+def test_a_hot_key_and_equal_rows_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), (F.col("id") % 2 + 1).alias("label"),
+        F.array(F.when(F.col("id") % 3 == 0, F.col("id") % 6).otherwise(F.col("id")).cast("double")).alias("x"))
+    shards = training.pin_shards(rows, [1, 2], 8, ["key"])
+    sizes = [r["n"] for r in shards.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1.3 * 6000 / 8
+
+
+def test_training_refuses_other_labels_and_infinite_inputs(spark):
+    df = spark.createDataFrame([(1, 1, [1.0]), (2, 4, [2.0])], "key int, label int, x array<double>")
+    with pytest.raises(ValueError, match="1 training rows have a label outside"):
+        training.pin_shards(df, [1, 2], 1, ["key"])
+    df = spark.createDataFrame([(1, 1, [float("inf")])], "key int, label int, x array<double>")
+    with pytest.raises(ValueError, match="infinite"):
+        training.pin_shards(df, [1, 2], 1, ["key"])
+
+
+def test_infinite_inputs_have_no_score(spark):
+    net, params = linear_net([0.4, -0.3])
+    df = spark.createDataFrame([([1.0, 2.0],), ([float("inf"), 1.0],), ([float("nan"), 1.0],)], "x array<double>")
+    assert [r["p"] is None for r in scoring.score(df, net, params).collect()] == [False, True, True]
+
+
+def test_training_goes_on_after_its_last_epoch(spark, tmp_path):
+    df = spark.createDataFrame([(k, k % 2 + 1, [float(k % 7), float(k % 2)]) for k in range(60)], "key int, label int, x array<double>")
+    fit, held = (training.pin_shards(df.filter(f"key % 5 {o} 0"), [1, 2], 2, ["key"]) for o in (">", "="))
+    net, store = dense_net(2, 2, (3,)), RunStore(spark, str(tmp_path))
+    whole = training.train(fit, held, net, store, "whole", 4, batch_rows=10)
+    training.train(fit, held, net, store, "parts", 2, batch_rows=10)
+    parts = training.train(fit, held, net, store, "parts", 4, batch_rows=10, resume=True)
+    assert parts.epochs == 4 and np.allclose(parts.params, whole.params)
+    same = [sorted((r["epoch"], r["metric"], round(r["val"], 9)) for r in store.history(x).collect()) for x in ("whole", "parts")]
+    assert same[0] == same[1]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from halosift.operators import metrics, roc
@@ -58,9 +59,23 @@ def test_area_is_the_rank_statistic(spark, rows):
 
 def test_absent_class_gives_null_rates(spark):
     df = spark.createDataFrame([(0.1, False), (0.2, False), (None, True)], "score double, positive boolean")
-    rows = roc.roc_points(df, ranges=1).collect()
+    with pytest.raises(ValueError, match="1 rows of a curve have no score"):
+        roc.roc_points(df)
+    rows = roc.roc_points(df, ranges=1, unscored="skip").collect()
     assert all(r["tpr"] is None for r in rows) and max(r["fpr"] for r in rows) == 1.0
-    assert roc.auc(df).first()["auc"] is None
+    assert roc.auc(df, unscored="skip").first()["auc"] is None
+
+
+def test_missing_probabilities_are_no_class_and_cost_nothing(spark):
+    from halosift.functions.labels import predicted_label
+    from pyspark.sql import functions as F
+
+    rows = [(1, [0.9, 0.1]), (2, [0.2, 0.8]), (1, None), (2, [None, 0.5]), (2, [float("nan"), 0.5])]
+    df = spark.createDataFrame(rows, "label int, p array<double>")
+    assert [r[0] for r in df.select(predicted_label(F.col("p"), [1, 2])).collect()] == [1, 2, None, None, None]
+    got = metrics.accuracy_and_loss(df, [1, 2]).first()
+    assert (got["n"], got["n_scored"], got["accuracy"]) == (5, 2, 1.0)
+    assert got["loss"] == pytest.approx(-(np.log(0.9) + np.log(0.8)) / 2)
 
 
 @pytest.fixture(scope="module")

@@ -102,3 +102,9 @@ def test_equal_rows_are_counted_not_ranked(spark, monkeypatch):
 def test_asking_for_too_many_rows_raises(df):
     with pytest.raises(ValueError, match="rows wanted"):
         sampling.partition_exact(df, lambda t: {0: 5000}, 1, ["id"])
+
+
+def test_rows_that_differ_in_microseconds_stay_apart(spark):
+    df = spark.sql("SELECT timestamp'2026-01-01 00:00:00.000001' + make_interval(0,0,0,0,0,0,id * 0.000001) AS at FROM range(4)")
+    test, train = sampling.train_test(df)[::-1]
+    assert test.unionByName(train).distinct().count() == 4

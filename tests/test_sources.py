@@ -29,7 +29,7 @@ def test_columns_are_matched_by_name(spark, tmp_path):
 def test_missing_texts_become_null(spark, tmp_path):
     lines = "\n".join(f"{t},{t},{t}" for t in MISSING_TEXTS)
     path = write(tmp_path / "m.csv", f"sample,label,energy\n{lines}\nMETPD,1,2.5\nNAN,x,inf\n")
-    rows = tables.read_csv(spark, path).collect()
+    rows = tables.read_csv(spark, path, bad="null").collect()
     assert len(rows) == len(MISSING_TEXTS) + 2
     known = [r for r in rows if r["sample"] is not None]
     assert [tuple(r) for r in known] == [("METPD", 1, 2.5), ("NAN", None, float("inf"))]
@@ -48,13 +48,33 @@ def test_sample_header(spark, tmp_path):
         cuts.single_subcluster_only(df)
 
 
-def test_file_with_another_header_in_a_folder_fails(spark, tmp_path):
+def test_files_of_a_folder_may_differ_in_their_headers(spark, tmp_path):
     folder = tmp_path / "mixed"
     folder.mkdir()
     write(folder / "a.csv", "sample,event\nMETPD,1\n")
     write(folder / "b.csv", "event,sample\n1,METPD\n")
-    with pytest.raises(Exception):
-        tables.read_csv(spark, str(folder)).collect()
+    write(folder / "c.csv", "sample,extra\nGJets,7.5\n")
+    for path in (str(folder), f"{folder}/*.csv"):
+        got = {tuple(r) for r in tables.read_csv(spark, path).select("sample", "event", "extra").collect()}
+        assert got == {("METPD", 1, None), ("GJets", None, 7.5)}
+
+
+@pytest.mark.parametrize("line, said", [("METPD,abc", "event holds no whole"), ("METPD,1,9", "more or fewer"), ("METPD", "more or fewer")])
+def test_bad_lines_fail_the_read(spark, tmp_path, line, said):
+    path = write(tmp_path / "bad.csv", f"sample,event\nMETPD,1\n{line}\n")
+    with pytest.raises(Exception, match=said):
+        tables.read_csv(spark, path).collect()
+    assert tables.read_csv(spark, path, bad="null").count() == 2
+    with pytest.raises(ValueError, match="raise"):
+        tables.read_csv(spark, path, bad="ignore")
+
+
+def test_kinds_of_unknown_columns_are_found_over_all_rows(spark, tmp_path):
+    a = write(tmp_path / "a.csv", "event,w,r,t,none,mixed\n1,5,1,x,NA,1\n2,NA,2.5,7,NA,2\n")
+    b = write(tmp_path / "b.csv", "event,mixed\n3,late\n")
+    kinds = dict(tables.read_csv(spark, [a, b]).dtypes)
+    assert [kinds[c] for c in ("w", "r", "t", "none", "mixed")] == ["bigint", "double", "string", "double", "string"]
+    assert dict(tables.read_csv(spark, [a, b], kinds={"w": "text"}).dtypes)["w"] == "string"
 
 
 def test_datasets(spark, tmp_path):
@@ -83,7 +103,7 @@ def test_landed_cuts_reach_the_scan(spark, tmp_path):
 def test_column_kinds():
     assert column_kind("CNNgrid_E_cell-3_0") == "real"
     assert column_kind("Event") == "whole" and column_kind("sample") == "text"
-    assert column_kind("something_else") == "text"
+    assert column_kind("something_else") is None
 
 
 def test_require_columns_ignores_case(spark):
