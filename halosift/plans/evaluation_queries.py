@@ -212,9 +212,11 @@ def accuracy_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SCORED_SQL}, {_HOLES_SQL}
-SELECT key, CASE WHEN whole THEN CAST(list_position(p, list_max(p)) AS BIGINT) END AS predicted FROM holed""")
+SELECT key, CASE WHEN whole THEN CAST(list_position(p, list_max(p)) AS BIGINT) ELSE 0 END AS predicted FROM holed""")
 def predicted_class_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _holed(spark, sf_dir).select("key", predicted_label(F.col("p"), CLASSES).cast("bigint").alias("predicted"))
+    """0 where there is no class."""
+    predicted = F.coalesce(predicted_label(F.col("p"), CLASSES), F.lit(0)).cast("bigint")
+    return _holed(spark, sf_dir).select("key", predicted.alias("predicted"))
 
 
 # --- run tables: a run per event type, an epoch per user, the mean value as its loss ----
