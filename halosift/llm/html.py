@@ -363,8 +363,10 @@ def text_of(page: str, chain: Chain) -> str:
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", most: int = PAGES) -> tuple[DataFrame, str]:
     """``pages`` with a struct column: text and n_chars of the main text; and its name."""
     some = pages.filter(F.col(html).rlike("(?i)<(article|main)[ >]"))
-    some = some.select(html, F.xxhash64(key).alias("_h"), key).orderBy("_h", key).limit(most)
-    chain = learn([r[0] for r in some.select(html).collect()])  # at most ``most`` pages
+    keys = some.select(F.xxhash64(key).alias("_h")).distinct().orderBy("_h").limit(most)  # numbers only go to one task
+    chosen = [r["_h"] for r in keys.collect()]
+    rows = some.filter(F.xxhash64(key).isin(chosen)).select(html, F.xxhash64(key).alias("_h")).limit(most).collect()
+    chain = learn([r[html] for r in sorted(rows, key=lambda r: (r["_h"], r[html]))])
     out = fresh(pages, "main")
     sent = send(pages.sparkSession, chain)
 
