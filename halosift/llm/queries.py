@@ -10,6 +10,69 @@ from halosift.llm.tables import table
 
 __all__ = ["QUERIES", "SQL"]
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_SQL = rf"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM dw WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.r = links.a),
+least_one AS (SELECT a AS doc_id, min(r) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least_one LEFT JOIN sizes USING (doc_id)
+"""
+
+
+def _secrets_sql() -> str:
+    """Matches with their places: a match begins after all gaps and matches before it."""
+    kinds = []
+    for order, (kind, pattern, group) in enumerate(secrets.KINDS):
+        quoted = pattern.replace("'", "''")
+        value = f"list_transform(m, lambda x: regexp_extract(x, '{quoted}', {group}))" if group else "m"
+        keep = f"length(v) >= {secrets.LEAST_VALUE}" if kind == "assign" else "true"
+        if kind == "key":
+            keep = "regexp_matches(m1, '[0-9]') AND regexp_matches(m1, '[A-Z]') AND regexp_matches(m1, '[a-z]')"
+        kinds.append(f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, pos AS a, pos + length(m1) AS e FROM (
+  SELECT doc_id, m[i] AS m1, v[i] AS v, CAST(list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x)))
+         + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS pos
+  FROM (SELECT doc_id, m, g, {value} AS v, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '{quoted}') AS m, string_split_regex(text, '{quoted}') AS g FROM documents WHERE text IS NOT NULL)))
+WHERE {keep}""")
+    weak = f"""found f WHERE o < 3 OR EXISTS (SELECT 1 FROM found q WHERE q.doc_id = f.doc_id
+  AND CASE WHEN f.kind = 'key' THEN q.kind IN ('access', 'login', 'endpoint') ELSE q.kind IN ('assign', 'hex', 'key') END
+  AND q.a < f.e + {secrets.SCOPE} AND q.e > f.a - {secrets.SCOPE} AND NOT (q.a < f.e AND q.e > f.a))"""
+    text = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o)"
+    return f"""WITH found AS ({" UNION ALL ".join(kinds)}), kept AS (SELECT * FROM {weak}),
+per AS (SELECT doc_id, count(CASE WHEN o = 0 THEN 1 END) AS x, count(CASE WHEN o = 1 THEN 1 END) AS y, count(CASE WHEN o = 2 THEN 1 END) AS z,
+  {text} AS spans, {text} FILTER (o < 3) AS base FROM kept GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(x, 0) AS BIGINT) AS n_assign, CAST(coalesce(y, 0) AS BIGINT) AS n_access, CAST(coalesce(z, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN per USING (doc_id)"""
+
+
+def _licenses_sql() -> str:
+    word = licenses.WORD
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES)
+    known = ", ".join(f"('{label}', {listed(words)}, {c})" for label, words, c in licenses.notices())
+    return f"""WITH phrases(p, label, n) AS (VALUES {phrases}), notices(label, words, c) AS (VALUES {known}),
+dw AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{word}') AS w FROM documents),
+places AS (SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, w, p, label, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, phrases WHERE len(w) >= n)
+  WHERE w[i] = split_part(p, ' ', 1) AND array_to_string(list_slice(w, i, i + n - 1), ' ') = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS f, max(pos) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS w FROM (SELECT doc_id, unnest(string_split({_LOWERED}, chr(10))) AS line FROM documents)),
+met AS (SELECT doc_id, label, len(list_intersect(b.w, n.words)) / CAST(len(n.words) AS DOUBLE) AS share FROM blocks b, notices n
+  WHERE len(b.w) >= n.c AND len(list_intersect(b.w, n.words)) >= n.c),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM places) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, f AS first_word, l AS last_word,
+  coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels,
+  greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
+FROM dw LEFT JOIN base ON base.doc_id = dw.doc_id LEFT JOIN named ON named.doc_id = dw.doc_id LEFT JOIN best ON best.doc_id = dw.doc_id"""
+
+
 LEAKS_SQL = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -48,7 +111,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(NEAR_SQL)
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.report(table(spark, sf_dir, "documents"))
 
@@ -63,12 +126,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(_secrets_sql())
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(_licenses_sql())
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
