@@ -190,8 +190,8 @@ def _run_id(name: str) -> str:
     return f"{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _how(spark: SparkSession, name: str) -> flows.Training:
-    return flows.Training(RunStore(spark), _run_id(name), EPOCHS, shards=SHARDS)
+def _how(spark: SparkSession, name: str, epochs: int = EPOCHS) -> flows.Training:
+    return flows.Training(RunStore(spark), _run_id(name), epochs, shards=SHARDS)
 
 
 def _trained(spark: SparkSession, df: DataFrame, net: Net, name: str) -> Trained:
@@ -385,6 +385,52 @@ def dense_flow_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow["histograms"].select("feature", "label", "bin", "n")
 
 
+_BENCHMARK_LEFT = f"""left_over AS (
+  SELECT * REPLACE (CASE WHEN label = 2 THEN 1 ELSE label END AS label) FROM subclusters
+  WHERE {CLEAN} AND R9 IS DISTINCT FROM -999 AND lead = 1),
+split AS ({ranked_sql("left_over", 'event, "object", tower, crystal', 43)})"""
+
+
+_closure_long = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, label, \"{c}\" AS value FROM train_rows" for c in _FLOW_FEATURES if c != "sw+"
+)
+
+
+@query(
+    f"""WITH {SUBCLUSTERS_SQL}, {BALANCED_ROWS_SQL},
+split AS ({ranked_sql("(SELECT * EXCLUDE (place, size) FROM balanced)", 'event, "object", tower, crystal', 43)}),
+train_rows AS (SELECT * FROM split WHERE place > (size + 4) // 5),
+long AS ({_closure_long}),
+raw AS (SELECT feature, label, min(value) AS lo, max(value) AS hi FROM long GROUP BY ALL),
+placed AS (SELECT feature, label, {_bin_sql("value")} AS bin FROM long JOIN raw USING (feature, label)),
+counts AS (SELECT feature, label, bin, count(*) AS n FROM placed GROUP BY ALL),
+bins AS (SELECT feature, label, CAST(unnest(range(0, 50)) AS INT) AS bin FROM raw)
+SELECT feature, label, bin, coalesce(n, 0) AS n_true FROM bins LEFT JOIN counts USING (feature, label, bin)"""
+)
+def dense_flow_closure_true(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side of the closure test that does not come out of training, from the whole flow."""
+    flow = flows.dense_flow(
+        subclusters(spark, sf_dir), ROW_KEY, exclude="sw+", even=True, training=_how(spark, "closure", 1)
+    )
+    return flow["closure"].select("feature", "label", "bin", F.col("true").alias("n_true"))
+
+
+@query(f"""WITH {SUBCLUSTERS_SQL}, {_BENCHMARK_LEFT}
+SELECT event, "object", tower, crystal, label FROM split WHERE place <= (size + 4) // 5""")
+def benchmark_flow_scored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test row of the benchmark flow has a score, and no other row."""
+    flow = flows.benchmark_flow(subclusters(spark, sf_dir), ROW_KEY, training=_how(spark, "keys", 1))
+    return flow["scored"].filter("p IS NOT NULL").select(*ROW_KEY, "label")
+
+
+@query("""SELECT CAST(e AS INT) AS epoch, m AS metric FROM range(1, 4) t(e), (VALUES ('loss'), ('accuracy'), ('auc')) v(m)
+WHERE (SELECT count(*) FROM embeddings) > 0""")
+def training_history_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of history for each epoch and metric."""
+    model = _trained(spark, _scaled_images(spark, sf_dir, "E", "t", "r"), CONV, "history")
+    return model.store.history(model.run).select("epoch", "metric")
+
+
 @query()
 def dense_flow_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense flow end to end on balanced rows, with its closure test."""
@@ -411,12 +457,6 @@ def benchmark_flow_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.benchmark_flow(subclusters(spark, sf_dir), ROW_KEY, dry_run=True)["cut_flow"]
 
 
-_BENCHMARK_LEFT = f"""left_over AS (
-  SELECT * REPLACE (CASE WHEN label = 2 THEN 1 ELSE label END AS label) FROM subclusters
-  WHERE {CLEAN} AND R9 IS DISTINCT FROM -999 AND lead = 1),
-split AS ({ranked_sql("left_over", 'event, "object", tower, crystal', 43)})"""
-
-
 @query(f"""WITH {SUBCLUSTERS_SQL}, {_BENCHMARK_LEFT}
 SELECT label, CASE WHEN place <= (size + 4) // 5 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM split GROUP BY ALL""")
 def benchmark_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_open: list[list[str]] = []  # paths pinned inside each `released` block
 
 
 def local_session(name: str = "halosift", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -55,10 +58,27 @@ def pin(df: DataFrame) -> DataFrame:
     executor costs a re-read instead of the work before.
     """
     path = f"{shared_dir(df.sparkSession)}/pinned/{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that were pinned inside, at the end. Write what is wanted
+    of them before: a flow's tables read them. Shards that training checkpoints go
+    when Spark cleans checkpoints (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _open.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def pin_partitions(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` to the shared folder, keeping its partitions as they are."""
     spark = df.sparkSession

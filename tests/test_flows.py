@@ -174,3 +174,16 @@ def test_grid_flow_with_missing_pixels_and_an_own_net(spark, grid, tmp_path):
         drop_incomplete=True, fit_on_train=True,
     )
     assert "complete" in {r["cut"] for r in flow["cut_flow"].collect()} and flow["working_points"].count() == 3
+
+
+def test_pinned_tables_are_deleted_at_the_end_of_a_block(spark, dense, tmp_path):
+    from halosift.session import pin, released
+
+    stays = pin(dense)
+    with released(spark):
+        flow = flows.dense_flow(dense, ["event"])
+        kept = flow["histograms"].toPandas()
+        goes = pin(dense)
+    assert len(kept) and stays.count() == dense.count()
+    with pytest.raises(Exception):
+        goes.count()
