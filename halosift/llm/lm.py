@@ -1,7 +1,7 @@
 r"""Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
 Counts of all training tokens are made by Spark and stay there; only their
-sums and the ``FREQUENT`` most frequent tokens reach the driver. The model
+sums and the most frequent tokens, at most ``FREQUENT``, reach the driver. The model
 speaks of classes: the ``TOP`` most frequent tokens are classes of their own,
 all others share ``GROUPS`` classes by a hash of their last bytes. It predicts
 the class of a token from the two classes before it:
@@ -80,8 +80,10 @@ def _counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary:
     """The most frequent tokens with their counts, and what the rest of each class holds."""
 
-    def __init__(self, frequent: list[tuple[int, int, int]], totals: list[tuple[int, int, int]]):
-        """frequent: (token, group, count), most frequent first; totals: (group, tokens, different ones) of all."""
+    def __init__(self, least: int, frequent: list[tuple[int, int, int]], totals: list[tuple[int, int, int]]):
+        """frequent: (token, group, count) of all tokens from the step ``least`` on, most frequent first;
+        totals: (group, tokens, different ones) of all."""
+        self.least = least
         token = np.array([x[0] for x in frequent], np.int64).view(np.uint64)
         count = np.array([x[2] for x in frequent], np.int64)
         group = np.array([x[1] for x in frequent], np.int64)
@@ -100,7 +102,7 @@ class Vocabulary:
         #: log10 of what a class's own probability is shared by; nothing for tokens that are a class
         self.shared = np.where(np.arange(CLASSES) < TOP, 0.0, np.log10(n + ADD * (kinds + 1)))
         hit = np.flatnonzero(self.token == np.uint64(END))
-        self.end = int(self.of_class[hit[0]]) if len(hit) else 0
+        self.end = int(self.of_class[hit[0]]) if len(hit) else TOP  # the end token's group is 0
 
     def look(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and count of tokens; count -1 for those that are not among the frequent."""
@@ -143,6 +145,23 @@ def _read(vocabulary: Callable[[], Vocabulary]):
 READ = "n bigint, known bigint, base double, own double, rare bigint, classes binary, tokens array<bigint>, counts array<int>"
 
 
+#: Counts in steps of an eighth of a power of two: a few hundred at most.
+STEP = "floor(log2(n) * 8)"
+
+
+def _frequent(counts: DataFrame) -> tuple[int, list[tuple[int, int, int]]]:
+    """The least step such that at most ``FREQUENT`` tokens are at or over it, and those tokens."""
+    sizes = sorted(((r["s"], r["tokens"]) for r in counts.groupBy(F.expr(STEP).alias("s")).agg(F.count("*").alias("tokens")).collect()), reverse=True)
+    least, total = (sizes[0][0] + 1 if sizes else 0), 0
+    for step, tokens in sizes:
+        total += tokens
+        if total > FREQUENT:
+            break
+        least = step
+    rows = counts.filter(f"{STEP} >= {least}").select("token", "grp", "n").collect()
+    return least, sorted(map(tuple, rows), key=lambda r: (-r[2], r[0]))
+
+
 class Net:
     """Parameters rep, one, two (classes x WIDTH) and bias, with their step sizes' memory."""
 
@@ -285,9 +304,7 @@ def report(docs: DataFrame) -> DataFrame:
     counted = docs.filter(~held).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counts, "token bigint, grp bigint, n bigint")
     counts = pin(counted.groupBy("token").agg(F.sum("n").alias("n"), F.first("grp").alias("grp")))
     totals = counts.groupBy("grp").agg(F.sum("n"), F.count("*")).collect()  # GROUPS rows
-    frequent = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", "grp", "n").collect()
-    v = Vocabulary([tuple(r) for r in frequent], [tuple(r) for r in totals])
-    least = frequent[-1]["n"] if len(frequent) == FREQUENT else 0
+    v = Vocabulary(*_frequent(counts), [tuple(r) for r in totals])
 
     named = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
     read = add_struct(named, "x", READ, _read(send(spark, v)), {"text": "text"}).select("doc_id", "k1", "k2", "x.*")
@@ -299,8 +316,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     # tokens that are not among the frequent meet their counts; none of them is hot
     rare = read.select("k1", "k2", F.explode(F.arrays_zip("tokens", "counts")).alias("z")).select("k1", "k2", F.col("z.tokens").alias("token"), F.col("z.counts").alias("m"))
-    known = counts.filter(F.col("n") <= least).select("token", "n") if least else counts.limit(0).select("token", "n")
-    met = rare.join(known, "token", "left")
+    met = rare.join(counts.filter(f"{STEP} < {v.least}").select("token", "n"), "token", "left")
     n = F.coalesce("n", F.lit(0))
     sums = met.groupBy("k1", "k2").agg(
         F.sum("m").alias("all"), F.sum(F.when(n > 0, F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * F.log10(n + ADD)).alias("logs"))

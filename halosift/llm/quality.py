@@ -166,12 +166,15 @@ def judge(docs: DataFrame, text: str = "text", least: float = 0.5,
           carry: list[str] | None = None) -> tuple[DataFrame, str]:
     """``docs`` with a struct column: the base figures, base_failed, quality (posterior), kept; and its name.
 
-    The figures are written once, with the columns to ``carry`` (all, unless
-    named); the estimate reads only the votes.
+    ``carry`` names the columns to hand through, all unless given. Without the
+    texts among them the figures are written once and read twice; with them they
+    are worked out twice, which takes less than a copy of the texts.
     """
     raw, out = fresh(docs, "figures"), fresh(docs, "quality")
     carry = docs.columns if carry is None else carry
-    frame = pin(add_struct(docs, raw, FIGURES, _work, {"text": text}).select(*carry, raw))
+    frame = add_struct(docs, raw, FIGURES, _work, {"text": text}).select(*carry, raw)
+    if text not in carry:
+        frame = pin(frame)
     patterns = frame.groupBy(F.col(f"{raw}.votes").alias("votes")).count().collect()  # 3 ** len(RULES) at most
     patterns.sort()
     votes = np.array([r["votes"] for r in patterns], np.int64)

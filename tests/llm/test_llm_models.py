@@ -101,14 +101,14 @@ def test_model_is_normalised_and_learns(spark):
     got = lm.report(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    v = lm.Vocabulary([(k, k % lm.GROUPS, 50 - k) for k in range(40)], [(g, 200, 3) for g in range(lm.GROUPS)])
+    v = lm.Vocabulary(0, [(k, k % lm.GROUPS, 50 - k) for k in range(40)], [(g, 200, 3) for g in range(lm.GROUPS)])
     first, second, norm = lm.Net(v).tables()
     p = np.exp(first[:, 3][:, None] + second[:, :5] - norm[3, :5])
     assert np.allclose(p.sum(axis=0), 1, atol=1e-4)
 
 
 def test_noise_contrastive_steps_learn_a_chain():
-    v = lm.Vocabulary([(k, 0, 100) for k in range(6)], [(0, 600, 6)] + [(g, 0, 0) for g in range(1, lm.GROUPS)])
+    v = lm.Vocabulary(0, [(k, 0, 100) for k in range(6)], [(0, 600, 6)] + [(g, 0, 0) for g in range(1, lm.GROUPS)])
     net, rng = lm.Net(v), np.random.default_rng(0)
     w = np.arange(4096) % 6
     for _ in range(150):
