@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from halosift.llm.batches import add_struct, fresh
 from halosift.llm.tables import send
 
-PAGES, MADE = 400, 400  # labelled pages of the table and of the rule
-EPOCHS, RATE, SHRINK = 60, 0.5, 1e-4
+PAGES, MADE = 400, 600  # labelled pages of the table and of the rule
+EPOCHS, RATE, SHRINK = 100, 0.5, 1e-5
 
 # Elements whose content is no text of the page.
 SKIPPED = "script style noscript template svg math iframe object select textarea button title option canvas audio video".split()
@@ -332,7 +332,7 @@ def made_pages(fill: list[str], count: int, seed: int = 5) -> list[tuple[list[Bl
         parts = [f"<h1>{sign}{some(10)}</h1>"] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 9)):
             parts.append(rng.choice(_MAIN_BLOCKS).format(sign + some(rng.choice([1, 4, 10, 30, 60, 200]))))
-            if rng.random() < 0.12:
+            if rng.random() < 0.25:
                 parts.append(put(rng.choice(_INSIDE)))
         main = rng.choice(_WRAPS).format("".join(parts))
         before = "".join(put(x) for x in rng.sample(_AROUND_BEFORE, rng.randint(0, 4)))

@@ -19,7 +19,6 @@ benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -200,10 +199,6 @@ def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     )
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents in which no window of the benchmark occurs, columns as they were."""
     got, f = find(docs, benchmark, **how)

@@ -30,7 +30,6 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from halosift.llm import words as W
 from halosift.llm.batches import add_struct, fresh
