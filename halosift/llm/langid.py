@@ -6,9 +6,9 @@ Every candidate scores a word by its character trigrams, borders included; a
 Viterbi search over the words of a text, with a penalty for each change of
 language, labels spans. The language of a text is that with most letters.
 
-The trigram counts are fitted on at most ``SAMPLE`` labelled rows of each
-language, those with the smallest hashes of their doc_id, with their whole
-texts. Trigrams share ``BUCKETS`` buckets by hash. More than ``LANGUAGES``
+The trigram counts are fitted on about ``SAMPLE`` labelled rows of each language
+(all, if there are fewer), with their whole texts: of n rows, those whose hash is
+in the first SAMPLE / n of its range, so no text moves to be chosen. Trigrams share ``BUCKETS`` buckets by hash. More than ``LANGUAGES``
 different labels raise an error.
 
 Null texts and texts without a letter are ``und`` with score 0; so is all, if
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halosift.llm import words as W
@@ -144,16 +144,18 @@ def viterbi(score: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nda
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Trigram counts of at most ``sample`` rows of each language."""
+    """Trigram counts of about ``sample`` rows of each language."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    draw = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    some = rows.select(lang, text, F.row_number().over(draw).alias("_n")).filter(F.col("_n") <= sample).select(lang, text)
-    got = some.repartition(8).mapInArrow(_counts, "lang string, counts array<bigint>").collect()  # at most 8 x LANGUAGES arrays
-    langs = sorted({r.lang for r in got})
-    if len(langs) > LANGUAGES:
+    sizes = dict(map(tuple, rows.groupBy(lang).count().limit(LANGUAGES + 1).collect()))
+    if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    if not langs:
+    if not sizes:
         return None
+    langs = sorted(sizes)
+    share = F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, sample / sizes[name]))])
+    draw = F.pmod(F.xxhash64(key, text), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    some = rows.filter(draw < share[F.col(lang)]).select(lang, text)
+    got = some.repartition(8).mapInArrow(_counts, "lang string, counts array<bigint>").collect()  # at most 8 x LANGUAGES arrays
     counts = np.zeros((len(langs), BUCKETS + SCRIPTS), np.int64)
     for r in got:
         counts[langs.index(r.lang)] += np.array(r.counts)
