@@ -1,12 +1,16 @@
 """Line dedup by pairwise alignment of documents.
 
-A key is a run of whole lines: the fewest consecutive lines, from each line on,
-that hold ``LEAST_WORDS`` words or more. Documents that share a key overlap
-there. For a rare key (at most ``RARE`` documents) every later document is
-aligned with every earlier one that holds it. For a key of more documents the
-later ones are aligned with its first holder only; that loses nothing, since
-the first holder has all its lines, and takes one pair for each document and
-not one for each pair of them.
+A key is a run of whole lines: the fewest consecutive lines, from each line on
+and also up to each line, that hold ``LEAST_WORDS`` words or more. Documents
+that share a key overlap there. For a rare key (at most ``RARE`` documents)
+every later document is aligned with every earlier one that holds it. For a key
+of more documents the later ones are aligned with its first holder only, which
+takes one pair for each document and not one for each pair of them. That loses
+nothing: let two documents share a block of ``LEAST_WORDS`` words or more. A
+line of it that is in no key from a line on within the block has that many
+words before it there, so the key up to this line lies within the block. Every
+line of the block is so in a key that both hold, and goes with that key's own
+first holder.
 
 Two documents are aligned by a patience diff on line hashes: lines that occur
 once in both are anchors, their longest rising sequence is kept, the gaps
@@ -59,24 +63,25 @@ def trimmed(t: W.Texts, li: W.Spans, w: W.Spans) -> tuple[np.ndarray, np.ndarray
 def keys_of(hashes: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(hash, first line, line after the last) of the keys of one document."""
     out = []
-    n, j, total = len(words), 0, 0
-    add = hashes.tolist()
-    count = words.tolist()
-    for i in range(n):
-        if j < i:
-            j, total = i, 0
-        while j < n and total < least:
-            total += count[j]
-            j += 1
-        if total < least:
-            break
-        if count[i]:
-            h = 0
-            for x in range(i, j):
-                if count[x]:
-                    h = (h * 0x9E3779B97F4A7C15 + add[x]) & 0xFFFFFFFFFFFFFFFF
-            out.append((h, i, j))
-        total -= count[i]
+    filled = np.flatnonzero(words).tolist()  # lines without words are in no key
+    add, count = hashes[filled].tolist(), words[filled].tolist()
+
+    def take(i: int, j: int) -> None:
+        h = 0
+        for x in add[i:j + 1]:
+            h = (h * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
+        out.append((h, filled[i], filled[j] + 1))
+
+    i = total = 0  # the first line whose key is not known, and the words from it on
+    for j, n in enumerate(count):
+        total += n
+        if total >= least:
+            while total >= least:
+                take(i, j)
+                total -= count[i]
+                i += 1
+        elif i:  # no key from a line on ends here; from the line before i on are the fewest that do
+            take(i - 1, j)
     return out
 
 

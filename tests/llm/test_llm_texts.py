@@ -196,6 +196,29 @@ def test_near_bears_null_and_repeated_ids(spark):
 # --- 3: line dedup ---------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("holders", [4, 6])
+def test_tails_of_repeated_passages_go_in_groups_of_any_size(spark, holders):
+    x, y, z = prose(70, 60), prose(71, 30), prose(72, 5)
+    texts = [x] + [f"{x}\n\n{y}\nown {k}" for k in range(holders - 1)] + [f"{x}\n{y}\n{z}", f"{x}\n{y}\n{z}\n{prose(73, 9)}"]
+    left = {r["doc_id"]: r["text"] for r in passages.without_copies(frame(spark, texts)).collect()}
+    want = {0: x, 1: f"\n{y}\nown 0"} | {k + 1: f"own {k}" for k in range(1, holders - 1)} | {holders: z, holders + 1: prose(73, 9)}
+    assert left == want
+
+
+def test_keys_cover_all_lines_of_shared_blocks():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        words = rng.choice([0, 1, 4, 9, 20, 60], rng.integers(1, 14))
+        h = np.where(words > 0, rng.integers(1, 1 << 62, len(words)), 0).astype(np.uint64)
+        keys = passages.keys_of(h, words, 50)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                if words[a:b].sum() >= 50:
+                    inside = {i for _, i0, i1 in keys if a <= i0 and i1 <= b for i in range(i0, i1)}
+                    assert {i for i in range(a, b) if words[i]} <= inside
+        assert all(words[i:j].sum() >= 50 for _, i, j in keys)
+
+
 def test_repeated_passages_go_from_later_documents(spark):
     a, b, c = prose(1, 60), prose(2, 30), prose(3, 30)
     texts = [f"intro\n{a}\nend one", f"other\n\n  {a} \nend two", f"{b}\n{c}\nx", f"y\n{b}\n{c}\nz", f"{c}\n{b}", a, f"{a}\n{a}", None, "", f"q\n{b}\nr",
