@@ -17,7 +17,9 @@ gradient ascent on the exact likelihood.
 
 Inside a block white space becomes one space and ends are trimmed, character
 references are decoded; ``<br>`` is white space. Null and empty pages have no
-text. Text outside any tag is a block; unclosed and stray tags are borne. Equal
+text. Text outside any tag is a block; unclosed and stray tags are borne: an
+unclosed script, style, noscript, template, textarea or title runs to the end of
+the page, another skipped element without an end to the next block border. Equal
 pages get equal texts. With no page to learn from the rule's pages alone are
 used. Other columns, whatever their names, are handed through by `extract`.
 """
@@ -40,17 +42,24 @@ from halosift.llm.tables import send
 PAGES, MADE = 400, 600  # labelled pages of the table and of the rule
 EPOCHS, RATE, SHRINK = 100, 0.5, 1e-5
 
-# Elements whose content is no text of the page.
-SKIPPED = "script style noscript template svg math iframe object select textarea button title option canvas audio video".split()
+# Elements whose content is no text of the page. The first run to the end of a page that does not close them.
+TO_THE_END = "script style noscript template textarea title".split()
+SKIPPED = set("svg math iframe object select button option canvas audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 # Elements that end an open paragraph; and those that end an open one of their own kind.
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(SKIPPED) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+# Borders for an unclosed svg or math, whose own elements are no blocks; and what is no border in other skipped elements.
+BORDERS = CLOSES_P | set(LIKE) | {"html", "body", "tbody", "thead", "tfoot", "caption"}
+NO_BORDERS = INLINE | (VOID - {"hr"}) | SKIPPED | set(TO_THE_END) | {"optgroup"}
+
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+_PASSED = r"<!--.*?(?:-->|\Z)|<(" + "|".join(TO_THE_END) + r")(?=[\s/>])" + _ATTRS + r">.*?(?:</\1\s*>|\Z)"
+_TOKEN = re.compile(_PASSED + r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _ATTRS + ")>|<[!?][^>]*>", re.S | re.I)
+_SKIP = re.compile(_PASSED + r"|<(/?)(" + "|".join(sorted(SKIPPED)) + r")(?=[\s/>])(" + _ATTRS + ")>", re.S | re.I)
+_BORDER = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)" + _ATTRS + ">")
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _HREF = re.compile(r"\bhref\b", re.I)
@@ -81,6 +90,33 @@ class Block:
     marked: bool  # inside <article> or <main>
 
 
+def skips(page: str) -> dict[int, int]:
+    """Where the skipped elements that are closed begin and end; an end tag closes the last open one of its name."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for m in _SKIP.finditer(page):
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if not m[2]:
+            if tag in ("svg", "math") and m[4].endswith("/"):
+                out[m.start()] = m.end()
+            else:
+                begun.setdefault(tag, []).append(m.start())
+        elif begun.get(tag):
+            out[begun[tag].pop()] = m.end()
+    return out
+
+
+def border(page: str, at: int, tag: str) -> int:
+    """The next block border from ``at`` on, for an unclosed skipped element."""
+    for m in _BORDER.finditer(page, at):
+        name = m[1].lower()
+        if name in BORDERS if tag in ("svg", "math") else name not in NO_BORDERS:
+            return m.start()
+    return len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
@@ -105,13 +141,19 @@ def blocks(page: str) -> list[Block]:
             linked += n if in_link else 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    closed: dict[int, int] | None = None
+    while m := _TOKEN.search(page, at):
         add(page[at:m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in SKIPPED and not m[2]:
+            if closed is None:
+                closed = skips(page)
+            at = closed.get(m.start()) or border(page, at, tag)
+            continue
         if tag == "a":
             in_link = 0 if m[2] else 1 if _HREF.search(m[4]) else in_link
         if tag == "br":

@@ -42,6 +42,21 @@ def test_blocks_bear_broken_markup():
     assert html.blocks("") == [] and html.blocks("<p></p>") == []
 
 
+@pytest.mark.parametrize("page, want", [
+    *[(f"<article><p>one</p><{x}></{x}><p>two</p></article>", ["one", "two"]) for x in ("video-js", "button-group", "select-box", "title-bar", "svg-icon", "script-x")],
+    ('<p>a <svg class="i"/> b</p><p>two</p>', ["a b", "two"]), ("<p>a <math/> b<p>two", ["a b", "two"]),
+    *[(f"<p>one <{x}>gone<p>two</p><div>three</div>", ["one", "two", "three"]) for x in sorted(html.SKIPPED)],
+    *[(f"<p>one <{x} a='>'>gone<p>gone</p></{x}> two<p>three", ["one two", "three"]) for x in sorted(html.SKIPPED) + html.TO_THE_END],
+    *[(f"<p>one<{x}>gone<p>gone</p>", ["one"]) for x in html.TO_THE_END],
+    ("<button>go<p>one</p><button>go</button><p>two</p>", ["one", "two"]), ("<svg><svg/><g></g></svg>one", ["one"]),
+    ("<object>x<object>y</object>z</object>one", ["one"]), ("<select><optgroup><option>x<option>y</select>one", ["one"]),
+    ("<svg><g><path d=''/><text>x</text></g><p>one", ["one"]), ("<select><option>x<option>y<p>one", ["one"]), ("<button>x", []),
+    ("<svg><!-- </svg> -->x</svg>one", ["one"]), ("<p>one</p></button><SVG />two<Video>x</VIDEO >three", ["one", "twothree"]),
+])
+def test_skipped_elements_end_where_they_should(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
 def test_article_is_found_on_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html.report(pages).collect()}
