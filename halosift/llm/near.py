@@ -43,6 +43,8 @@ COORDINATES, TREES, SMALL = 64, 10, 8192
 #: Fewest equal coordinates of a pair that is confirmed on full sets; 32 of 64 is four and
 #: a half standard deviations below what a pair at the threshold has.
 AGREEING = 32
+#: The name of a set, of the columns of its marks.
+NAME = "xxhash64(hi, lo, n)"
 #: At most so many ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 IDS_AT_MOST = 1_000_000
 
@@ -71,6 +73,18 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return a, W.mix(a) | np.uint64(1)
 
 
+def _name(s: np.ndarray) -> tuple[int, int, int]:
+    """Size of a set and two hashes of it."""
+    if not len(s):
+        return 0, 0, 0
+    a = W.mix(s)
+    return len(s), int(np.bitwise_xor.reduce(a)), int(a.sum(dtype=np.uint64))
+
+
+def _whole(x: list[int]) -> np.ndarray:
+    return np.array(x, np.uint64).view(np.int64)
+
+
 def _marks(size: int) -> Callable[[], Callable[[dict], dict]]:
     def make():
         flip, factor = _seeds()
@@ -79,10 +93,8 @@ def _marks(size: int) -> Callable[[], Callable[[dict], dict]]:
             n, hi, lo, sig = [], [], [], []
             for t in W.texts_of(batch["text"]):
                 for s in shingles(t, size):
-                    n.append(len(s))
-                    a = W.mix(s)
-                    hi.append(int(np.bitwise_xor.reduce(a)) if len(s) else 0)
-                    lo.append(int(a.sum(dtype=np.uint64)) if len(s) else 0)
+                    for x, own in zip((n, hi, lo), _name(s)):
+                        x.append(own)
                     if not len(s):
                         sig.append(None)
                         continue
@@ -91,8 +103,7 @@ def _marks(size: int) -> Callable[[], Callable[[dict], dict]]:
                         part = (s[at:at + 8192, None] ^ flip[None, :]) * factor[None, :]
                         np.minimum(least, part.min(axis=0), out=least)
                     sig.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            whole = lambda x: np.array(x, np.uint64).view(np.int64)
-            return {"n": np.array(n, np.int64), "hi": whole(hi), "lo": whole(lo), "sig": pa.array(sig, pa.list_(pa.int32()))}
+            return {"n": np.array(n, np.int64), "hi": _whole(hi), "lo": _whole(lo), "sig": pa.array(sig, pa.list_(pa.int32()))}
         return work
     return make
 
@@ -217,8 +228,9 @@ class Join:
         self.marks = pin(marked)
         own = self.marks.filter("n > 0 AND id IS NOT NULL")
         self.classes = pin(own.groupBy("hi", "lo", "n").agg(
-            F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
-        #: A document of several sets (a repeated id) is one node; its sets are all compared.
+            F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("name", F.expr(NAME)))
+        #: A document of several sets (a repeated id) has one label and several classes, told apart by the set's
+        #: name; its sets are all compared.
         self.links = pin(own.join(self.classes.filter("copies > 1").withColumnRenamed("id", "first"), ["hi", "lo", "n"])
                          .select(F.col("id").alias("a"), F.col("first").alias("b")).filter("a > b").distinct())
         self.labels = self._no_labels()
@@ -228,51 +240,58 @@ class Join:
         return self.spark.createDataFrame([], "id bigint, label bigint")
 
     def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows (node, id, sig) of nodes that hold more than one label, with label and size of node."""
+        """Rows (node, id, name, sig) of nodes that hold more than one label, with label and size of node."""
         rows = rows.join(self.labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        return pin(rows.join(nodes.select("node", "size"), "node").select("node", "id", "label", "sig", "size"))
+        return pin(rows.join(nodes.select("node", "size"), "node").select("node", "id", "name", "label", "sig", "size"))
 
-    def _with_sets(self, rows: DataFrame, *ids: str) -> DataFrame:
-        """``rows`` with the full sets of the ids in these columns, as set_<column>."""
-        wanted = rows.select(F.explode(F.array(*ids)).alias("id")).distinct()
+    def _with_sets(self, rows: DataFrame, *classes: str) -> DataFrame:
+        """``rows`` with the full sets of the classes (structs of id and name) in these columns, as set_<column>."""
+        wanted = rows.select(F.explode(F.array(*[F.col(f"{c}.id") for c in classes])).alias("id")).distinct()
         wanted = pin(wanted)
         few = wanted.count() <= IDS_AT_MOST
-        texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").dropDuplicates(["id"])
+        texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
         size = self.size
 
         def make():
             def work(batch: dict) -> dict:
-                return {"s": pa.array([s.tobytes() for t in W.texts_of(batch["text"]) for s in shingles(t, size)], pa.binary())}
+                sets = [s for t in W.texts_of(batch["text"]) for s in shingles(t, size)]
+                n, hi, lo = zip(*map(_name, sets)) if sets else ((), (), ())
+                return {"s": pa.array([s.tobytes() for s in sets], pa.binary()),
+                        "n": np.array(n, np.int64), "hi": _whole(hi), "lo": _whole(lo)}
             return work
 
-        sets = pin(add_struct(texts, "x", "s binary", make, {"text": "text"}).select("id", "x.s"))
-        for i in ids:
-            rows = rows.join(sets.select(F.col("id").alias(i), F.col("s").alias(f"set_{i}")), i)
+        made = add_struct(texts, "x", "s binary, n bigint, hi bigint, lo bigint", make, {"text": "text"}).select("x.*")
+        sets = pin(made.select(F.expr(NAME).alias("name"), "s").dropDuplicates(["name"]))  # an id may have several, and equal ones
+        for c in classes:
+            own = sets.select(F.col("name").alias("_name"), F.col("s").alias(f"set_{c}"))
+            rows = rows.join(own, F.col(f"{c}.name") == F.col("_name")).drop("_name")
         return rows
 
     def _by_node(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.parts, "node").sortWithinPartitions("node", "id")
+        return rows.repartition(self.parts, "node").sortWithinPartitions("node", "id", "name")
 
     def _small(self, rows: DataFrame) -> DataFrame:
         """Links within nodes that are small enough to compare exhaustively."""
-        rows = self._by_node(rows.select("node", "id", "label", "sig"))
+        rows = self._by_node(rows.select("node", "id", "name", "label", "sig"))
         close = pin(rows.mapInArrow(_with_partner, rows.schema))
-        full = self._with_sets(close, "id").select("node", "id", "label", "sig", F.col("set_id").alias("shingles"))
+        full = self._with_sets(close.withColumn("own", F.struct("id", "name")), "own")
+        full = full.select("node", "id", "name", "label", "sig", F.col("set_own").alias("shingles"))
         return pin(self._by_node(full).mapInArrow(_confirm(self.percent), "a bigint, b bigint"))
 
     def _pivots(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """Links of large nodes with their pivots; and the pivots (node, id)."""
-        me = F.struct("id", "label", "sig")
+        """Links of large nodes with their pivots; and the pivots (node, name)."""
+        me = F.struct("id", "name", "label", "sig")
         draw = F.xxhash64("node", "id", F.lit(level))
         picked = rows.groupBy("node").agg(
             F.array(F.min_by(me, draw), F.max_by(me, draw), F.min_by(me, "label"), F.max_by(me, F.struct("label", "id"))).alias("p"))
         picked = pin(picked.select("node", F.explode(F.array_distinct("p")).alias("p")))
         pairs = rows.join(picked, "node").filter("label <> p.label")
         equal = F.aggregate(F.zip_with("sig", "p.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-        pairs = pairs.filter(equal >= AGREEING).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        full = self._with_sets(pin(pairs), "a", "b").select("a", "b", "set_a", "set_b")
-        return pin(full.mapInArrow(_confirm_pairs(self.percent), "a bigint, b bigint")), picked.select("node", "p.id")
+        one, two = F.struct("id", "name"), F.struct(F.col("p.id").alias("id"), F.col("p.name").alias("name"))
+        pairs = pairs.filter(equal >= AGREEING).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+        full = self._with_sets(pin(pairs), "a", "b").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "set_a", "set_b")
+        return pin(full.mapInArrow(_confirm_pairs(self.percent), "a bigint, b bigint")), picked.select("node", "p.name")
 
     def _learn(self, *links: DataFrame) -> None:
         for more in links:
@@ -282,14 +301,14 @@ class Join:
 
     def roots(self, trees: range) -> DataFrame:
         node = F.xxhash64(F.lit("root"), F.col("tree"), F.element_at("sig", F.col("tree") + 1))
-        rows = self.classes.select("id", "sig", F.explode(F.lit(list(trees))).alias("tree"))
-        return rows.select(node.alias("node"), "id", "sig")
+        rows = self.classes.select("id", "name", "sig", F.explode(F.lit(list(trees))).alias("tree"))
+        return rows.select(node.alias("node"), "id", "name", "sig")
 
     def _children(self, rows: DataFrame) -> DataFrame:
         one = F.pmod(F.xxhash64("node", F.lit("one")), F.lit(COORDINATES))
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit("two")), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
         child = lambda c: F.xxhash64("node", c, F.element_at("sig", (c + 1).cast("int")))
-        return rows.select(F.explode(F.array(child(one), child(two))).alias("node"), "id", "sig")
+        return rows.select(F.explode(F.array(child(one), child(two))).alias("node"), "id", "name", "sig")
 
     def _descend(self, rows: DataFrame, levels: int | None) -> None:
         level = 0
@@ -307,7 +326,7 @@ class Join:
             level += 1
             if not more or level == levels:
                 return
-            rows = self._children(large.join(pivots, ["node", "id"], "left_anti"))
+            rows = self._children(large.join(pivots, ["node", "name"], "left_anti"))
 
     def run(self) -> DataFrame:
         """(id, label) of every document with a link."""

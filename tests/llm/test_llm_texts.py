@@ -193,6 +193,17 @@ def test_near_bears_null_and_repeated_ids(spark):
     assert got == [(-1, -1, True)] * 2 + [(4, 4, True)] * 3 + [(9, 4, False)]
 
 
+@pytest.mark.parametrize("small", [near.SMALL, 2])
+def test_near_copies_of_every_text_of_a_repeated_id(spark, small):
+    rows = []
+    for k in range(8):
+        a, b = prose(200 + k), prose(300 + k)
+        rows += [(k, a), (k, b), (k, b.upper()), (100 + k, a + " end"), (200 + k, b + " end"), (300 + k, "start " + b)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near.report(df, small=small).collect()}
+    assert got == {(x, x % 100) for x, _ in rows}
+
+
 # --- 3: line dedup ---------------------------------------------------------------------
 
 
