@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halosift.llm import html, langid, leaks, licenses, lm, near, passages, pieces, quality, secrets
+from halosift.llm import align, audit, html, langid, leaks, licenses, lm, near, passages, pieces, quality, secrets, simhash
 from halosift.llm.registry import QUERIES, SQL, query
 from halosift.llm.tables import table
 
@@ -149,3 +149,56 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.report(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+cut AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^ 	-]+') AS w FROM d),
+fails AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(doc_id > m, false) AS e, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad
+  FROM cut JOIN firsts USING (t) LEFT JOIN said USING (doc_id)),
+masks AS (
+  SELECT part, CASE WHEN a THEN 1 ELSE 0 END + CASE WHEN b THEN 2 ELSE 0 END + CASE WHEN c THEN 4 ELSE 0 END
+    + CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN e THEN 16 ELSE 0 END AS mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad
+  FROM fails GROUP BY ALL),
+letters(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(list_slice(bits, 1, step - 1)), 0)::BIGINT AS before
+  FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS step FROM orders)),
+hits AS (
+  SELECT part, filter_order, step, bit, n, good, bad, mask = bit AS alone, (mask & bit) <> 0 AS f, (mask & before) <> 0 AS gone
+  FROM masks, steps),
+res AS (
+  SELECT part, filter_order, step, any_value(bit) AS bit, sum(CASE WHEN NOT f AND NOT gone THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN f AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN f AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN f AND NOT gone THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN f AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+  FROM hits GROUP BY part, filter_order, step),
+shares AS (SELECT part, bit, sum(removed) AS shapley FROM res GROUP BY part, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
+FROM res JOIN shares USING (part, bit)
+"""
+
+
+@query(AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"))
