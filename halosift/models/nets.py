@@ -55,20 +55,27 @@ class Layer:
                 z += a[:, di:di + h, dj:dj + w] @ weights[di, dj]
         return z
 
+    def pull(self, params: np.ndarray, dz: np.ndarray) -> np.ndarray:
+        """What a derivative (or multiplier) of the output is of the input."""
+        weights, _ = self.parts(params)
+        h, w, _ = self.out_shape
+        da = np.zeros((len(dz), *self.in_shape))
+        for di in range(self.kernel[0]):
+            for dj in range(self.kernel[1]):
+                da[:, di:di + h, dj:dj + w] += dz @ weights[di, dj].T
+        return da
+
     def backward(self, params: np.ndarray, a: np.ndarray, dz: np.ndarray, grad: np.ndarray) -> np.ndarray:
         """Write this layer's gradient into ``grad`` and return that of its input."""
-        weights, _ = self.parts(params)
         g_weights, g_bias = self.parts(grad)
         h, w, _ = self.out_shape
         flat = dz.reshape(-1, self.filters)
         g_bias += flat.sum(axis=0)
-        da = np.zeros_like(a)
         for di in range(self.kernel[0]):
             for dj in range(self.kernel[1]):
                 window = a[:, di:di + h, dj:dj + w]
                 g_weights[di, dj] += window.reshape(-1, a.shape[3]).T @ flat
-                da[:, di:di + h, dj:dj + w] += dz @ weights[di, dj].T
-        return da
+        return self.pull(params, dz)
 
 
 @dataclass(frozen=True)

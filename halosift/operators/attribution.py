@@ -1,6 +1,7 @@
-"""Feature attribution of one class by sampled-permutation Shapley values.
+"""Feature attribution of one class, by DeepLIFT multipliers or by sampled-permutation Shapley values.
 
-For every explained row, permutations of the features are walked from a background
+Multipliers (`by_multipliers`) take one backward pass for each pair of an explained and a
+background row, averaged over the background. Shapley values (`attributions`): for every explained row, permutations of the features are walked from a background
 row to the row itself; a feature's attribution is the mean change of the class
 probability when it is switched. Each background row starts the same number of
 walks, so the attributions of a row add up exactly to its probability minus the
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halosift.models.deeplift import attribute
 from halosift.models.nets import Net
 from halosift.models.score import matrix
 from halosift.operators.sampling import take_random
@@ -28,6 +30,53 @@ BACKGROUND_AT_MOST = 10_000  # rows that are broadcast, unless the caller names
 WALKS_AT_ONCE = 64  # walks scored together in a task
 
 
+def _background(background: DataFrame, at_most: int) -> np.ndarray:
+    base = [r["x"] for r in background.select("x").limit(at_most + 1).collect()]
+    if not 0 < len(base) <= at_most:
+        raise ValueError(f"background must have 1 to {at_most} rows")
+    return np.array(base, dtype=float)
+
+
+def _long(batch: pa.RecordBatch, keys: int, values: np.ndarray) -> pa.RecordBatch:
+    """(key..., feature, value) of a batch whose first columns are the key, one row for each value."""
+    rows, width = values.shape
+    repeated = pa.array(np.repeat(np.arange(rows), width))
+    return pa.RecordBatch.from_arrays(
+        [*[batch.column(k).take(repeated) for k in range(keys)],
+         pa.array(np.tile(np.arange(width, dtype=np.int32), rows)), pa.array(values.ravel())],
+        names=[*[batch.schema.field(k).name for k in range(keys)], "feature", "value"],
+    )
+
+
+def _long_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join([*[f"{quoted(k)} {df.schema[k].dataType.simpleString()}" for k in keys], "feature int", "value double"])
+
+
+def by_multipliers(
+    explained: DataFrame,
+    background: DataFrame,
+    net: Net,
+    params: Sequence[float],
+    key: str | Sequence[str],
+    class_index: int = 0,
+    background_at_most: int = BACKGROUND_AT_MOST,
+) -> DataFrame:
+    """(key..., feature, value) for every row of ``explained``: DeepLIFT attributions, averaged over the background.
+
+    A row's values add up to its class probability minus the mean one of the background."""
+    keys = [key] if isinstance(key, str) else list(key)
+    spark, width = explained.sparkSession, net.n_inputs
+    shared = spark.sparkContext.broadcast((_background(background, background_at_most), np.asarray(params, dtype=float)))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, weights = shared.value
+        for batch in stream:
+            yield _long(batch, len(keys), attribute(net, weights, matrix(batch.column(len(keys)), width), base, class_index))
+
+    rows = explained.select(*[F.col(quoted(k)) for k in keys], "x").repartition(spark.sparkContext.defaultParallelism)
+    return rows.mapInArrow(run, _long_schema(explained, keys))
+
+
 def attributions(
     explained: DataFrame,
     background: DataFrame,
@@ -47,10 +96,8 @@ def attributions(
     """
     keys = [key] if isinstance(key, str) else list(key)
     spark = explained.sparkSession
-    base = [r["x"] for r in background.select("x").limit(background_at_most + 1).collect()]
-    if not 0 < len(base) <= background_at_most:
-        raise ValueError(f"background must have 1 to {background_at_most} rows")
-    shared = spark.sparkContext.broadcast((np.array(base, dtype=float), np.asarray(params, dtype=float)))
+    base = _background(background, background_at_most)
+    shared = spark.sparkContext.broadcast((base, np.asarray(params, dtype=float)))
     width, n_walks = net.n_inputs, len(base) * walks_per_background
 
     def walk(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,24 +117,14 @@ def attributions(
                     path = np.where(switched, x[r], start[numbers % len(start)][:, None, :])
                     p = net.predict(weights, path.reshape(-1, width))[:, class_index]
                     np.add.at(total[r], order.ravel(), np.diff(p.reshape(len(numbers), width + 1), axis=1).ravel())
-            names = [batch.schema.field(k).name for k in range(len(keys))]
-            repeated = pa.array(np.repeat(np.arange(len(x)), width))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(k).take(repeated) for k in range(len(keys))],
-                    pa.array(np.tile(np.arange(width, dtype=np.int32), len(x))),
-                    pa.array((total / n_walks).ravel()),
-                ],
-                names=[*names, "feature", "value"],
-            )
+            yield _long(batch, len(keys), total / n_walks)
 
     texts = [F.coalesce(F.col(quoted(k)).cast("string"), F.lit("")) for k in keys]
     token = F.md5(F.concat_ws("|", *texts)).substr(1, 8) if len(keys) == 1 else F.md5(
         F.concat_ws("|", *texts, F.xxhash64("x"))).substr(1, 8)
     rows = explained.select(*[F.col(quoted(k)) for k in keys], "x", token.alias("token"))
-    kinds = [f"{quoted(k)} {explained.schema[k].dataType.simpleString()}" for k in keys]
     spread = rows.repartition(spark.sparkContext.defaultParallelism)
-    return spread.mapInArrow(walk, ", ".join([*kinds, "feature int", "value double"]))
+    return spread.mapInArrow(walk, _long_schema(explained, keys))
 
 
 def importance(values: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -107,6 +144,7 @@ def explain_sample(
     seed: int = 43,
     explained_rows: int = EXPLAINED_ROWS,
     background_rows: int = BACKGROUND_ROWS,
+    multipliers: bool = False,
 ) -> DataFrame:
     """Attributions of random rows against random background rows, drawn
     independently of each other (all rows, if there are fewer)."""
@@ -114,4 +152,6 @@ def explain_sample(
     rows = train_rows.select(*map(quoted, keys), "x")
     background = take_random(rows, background_rows, seed, keys)
     explained = pin(take_random(rows, explained_rows, seed + 1, keys))
+    if multipliers:
+        return by_multipliers(explained, background, net, params, keys, class_index)
     return attributions(explained, background, net, params, keys, class_index, seed=seed)

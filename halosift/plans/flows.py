@@ -7,7 +7,7 @@ the shared folder once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,6 +18,7 @@ from halosift.functions.grids import GridSpec, Images, build_images
 from halosift.functions.scaling import MinMax, real, scaled
 from halosift.models import score as scoring
 from halosift.models.nets import ARCHS, DENSE_NODES, Net, dense_net, grid_net
+from halosift.models.sync import Model, fit, numbered_rows
 from halosift.models.train import BATCH_ROWS, Trained, pin_shards, train
 from halosift.operators import attribution, cuts, histograms, maps, metrics, roc, sampling, stats
 from halosift.session import pin
@@ -63,8 +64,9 @@ def run_name(base: str, *options: str, epochs: int, early_stop: bool = False) ->
 
 @dataclass(frozen=True)
 class Training:
-    """How to train. The shard count is part of the result, so it is an argument
-    and never taken from the cluster."""
+    """How to train. Averaging by epoch gives other results for other shard counts, so
+    the count is an argument and never taken from the cluster; ``synchronous`` training
+    (`halosift.models.sync`) gives the same ones, a step of ``batch_rows`` rows at a time."""
 
     store: RunStore
     run: str
@@ -75,18 +77,23 @@ class Training:
     batch_rows: int = BATCH_ROWS
     save_best: bool = True
     resume: bool = False
+    synchronous: bool = False
 
 
-def benchmark_training(store: RunStore, features: str, extra: str = "", *, shards: int) -> Training:
+def benchmark_training(store: RunStore, features: str, extra: str = "", *, shards: int, synchronous: bool = False) -> Training:
     """The usual length of training for a benchmark feature set."""
     epochs, early_stop = BENCHMARK_EPOCHS[features]
     name = run_name("benchmark", extra, features, epochs=epochs, early_stop=early_stop)
-    return Training(store, name, epochs, shards=shards, early_stop=early_stop)
+    return Training(store, name, epochs, shards=shards, early_stop=early_stop, synchronous=synchronous)
 
 
 def _train(rows: DataFrame, classes: Sequence[int], net: Net, how: Training, key: Sequence[str]) -> Trained:
-    fit, validation = sampling.fit_validation(rows, key)
-    fit_rows = pin_shards(fit, classes, how.shards, key)
+    fit_part, validation = sampling.fit_validation(rows, key)
+    if how.synchronous:
+        model = Model(how.run, net, how.epochs, early_stop=how.early_stop, seed=how.seed)
+        dealt = numbered_rows(fit_part, validation, classes, how.shards, key)
+        return fit(dealt, [model], how.store, how.shards, batch_rows=how.batch_rows, resume=how.resume)[how.run]
+    fit_rows = pin_shards(fit_part, classes, how.shards, key)
     held_rows = pin_shards(validation, classes, how.shards, key)
     return train(
         fit_rows, held_rows, net, how.store, how.run, how.epochs, how.seed, how.save_best, how.early_stop,
@@ -277,7 +284,7 @@ def dense_flow(
         pin(scoring.score(train_rows, net, model.params).drop("x")), names, classes
     )
     if explain:
-        values = attribution.explain_sample(train_rows, net, model.params, key)
+        values = attribution.explain_sample(train_rows, net, model.params, key, multipliers=True)
         out.tables["importance"] = attribution.importance(values, names)
     return out
 
@@ -338,6 +345,46 @@ def benchmark_flow(
     return out
 
 
+def benchmark_sets(
+    df: DataFrame,
+    key: Sequence[str],
+    sets: Mapping[str, Training],
+    nodes: Sequence[int] = tuple(DENSE_NODES),
+    classes: Sequence[int] | None = None,
+) -> Result:
+    """The benchmark flow for several feature sets at once: one pin with all their
+    columns, one training that feeds all nets from one scan (synchronous, with the first
+    set's shards and batch), one pass that scores all test rows, one job for all areas. Each set
+    trains for its own epochs, with or without early stop."""
+    names = {s: cuts.feature_columns(s)[0] for s in sets}
+    union = list(dict.fromkeys(c for columns in names.values() for c in columns))
+    require_columns(df, [*IDENTITY_COLUMNS, "R9", "lead", *union], "benchmark_sets")
+    rows, flow = stats.run_steps(df, benchmark_steps(classes), stats.BENCHMARK_CLASSES)
+    out = Result({"cut_flow": flow})
+    all_rows, train_rows, test_rows = _feature_rows(rows, union, key)
+    found = stats.class_list(all_rows)
+    train_rows, test_rows = _with_inputs(union, all_rows, train_rows, test_rows)
+    how = next(iter(sets.values()))
+    models = [
+        Model(t.run, dense_net(len(names[s]), len(found), nodes), t.epochs, tuple(union.index(c) for c in names[s]), t.early_stop, t.seed)
+        for s, t in sets.items()]
+    fit_part, validation = sampling.fit_validation(train_rows, key)
+    dealt = numbered_rows(fit_part, validation, found, how.shards, key)
+    trained = fit(dealt, models, how.store, how.shards, batch_rows=how.batch_rows, resume=how.resume)
+    scored, at = test_rows, sorted(found).index(1)
+    for n, model in enumerate(models):
+        own = F.array(*[F.col("x")[k] for k in model.columns])
+        scored = scoring.score(scored.withColumn("_own", own), model.net, trained[model.run].params, "_own").withColumn(
+            f"_p{n}", F.col("p")[at]).drop("_own", "p")
+    scored = out.tables["scored"] = pin(scored.drop("x"))
+    entries = scored.select(F.inline(F.array(*[
+        F.struct(F.lit(s).alias("features"), F.col(f"_p{n}").alias("score"), (F.col("label") == 1).alias("positive"))
+        for n, s in enumerate(sets)])))
+    lengths = F.create_map(*[F.lit(v) for s, t in sets.items() for v in (s, trained[t.run].epochs)])
+    out.tables["areas"] = roc.auc(entries, ["features"]).withColumn("epochs", lengths[F.col("features")])
+    return out
+
+
 def label_report(df: DataFrame) -> DataFrame:
     """Label fractions of the cleaned table in the benchmark convention."""
     return stats.summary(cuts.clean(df), stats.BENCHMARK_CLASSES, samples=False)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from halosift.functions.grids import GridSpec, build_images
 from halosift.models import score as scoring
 from halosift.models.nets import Layer, Net, dense_net, grid_net
+from halosift.models.sync import Model, fit, numbered_rows
 from halosift.models.train import Trained, pin_shards, train
 from halosift.operators import attribution, sampling, stats
 from halosift.plans import flows
@@ -239,6 +240,46 @@ def training_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- synchronous training --------------------------------------------------------------
+
+LINEAR = dense_net(5, 3, ())
+LINEAR_EPOCHS, LINEAR_BATCHES = 2, 2
+
+
+def _linear_step_sql(step: int) -> str:
+    """One Adam step of a net without hidden layers, over one batch, from the step before."""
+    return f"""z{step} AS (SELECT x, y, list_transform([0, 1, 2], lambda j: list_sum(list_transform(range(0, 5), lambda i: x[i + 1] * w[i * 3 + j + 1])) + w[16 + j]) AS z
+  FROM numbered, sizes, (SELECT list(p ORDER BY k) AS w FROM p{step - 1}) WHERE position // size = {(step - 1) % LINEAR_BATCHES}),
+e{step} AS (SELECT x, y, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z{step}),
+d{step} AS (SELECT x, list_transform([0, 1, 2], lambda j: e[j + 1] / list_sum(e) - CASE WHEN y = j THEN 1 ELSE 0 END) AS d FROM e{step}),
+g{step} AS (SELECT k, avg(d[k % 3 + 1] * CASE WHEN k < 15 THEN x[k // 3 + 1] ELSE 1 END) AS g FROM d{step}, range(0, {LINEAR.n_params}) t(k) GROUP BY k),
+m{step} AS (SELECT k, p, m + 0.1::DOUBLE * (g - m) AS m, v + 0.001::DOUBLE * (g * g - v) AS v FROM p{step - 1} JOIN g{step} USING (k)),
+p{step} AS MATERIALIZED (SELECT k, m, v, p - 0.001::DOUBLE * sqrt(1 - pow(0.999::DOUBLE, {step})) / (1 - pow(0.9::DOUBLE, {step})) * m / (sqrt(v) + 0.0000001::DOUBLE) AS p FROM m{step})"""
+
+
+@query(
+    f"""WITH {SUBCLUSTERS_SQL},
+numbered AS (SELECT [{", ".join(DENSE_X)}] AS x, label - 1 AS y,
+  row_number() OVER (ORDER BY md5(concat_ws('|', '47', event, "object", tower, crystal))) - 1 AS position
+  FROM subclusters WHERE label IN (1, 2, 3) AND crystal % 5 > 0),
+sizes AS (SELECT (count(*) + {LINEAR_BATCHES - 1}) // {LINEAR_BATCHES} AS size FROM numbered),
+p0 AS (SELECT k, {RULE_SQL.format(k="k")} AS p, 0::DOUBLE AS m, 0::DOUBLE AS v FROM range(0, {LINEAR.n_params}) t(k)),
+"""
+    + ",\n".join(_linear_step_sql(n) for n in range(1, LINEAR_EPOCHS * LINEAR_BATCHES + 1))
+    + f" SELECT CAST(k AS INT) AS k, round(p, 8) AS value FROM p{LINEAR_EPOCHS * LINEAR_BATCHES}"
+)
+def synchronous_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of a net without hidden layers after four steps, two batches an epoch, on two shards."""
+    rows = subclusters(spark, sf_dir).filter("label IN (1, 2, 3)").select(
+        *ROW_KEY, "label", F.expr(f"array({', '.join(DENSE_X)})").alias("x"))
+    dealt = numbered_rows(rows.filter("crystal % 5 > 0"), rows.filter("crystal % 5 = 0"), CLASSES, 2, ROW_KEY)
+    size = -(-dealt.filter(~F.col("held")).count() // LINEAR_BATCHES)
+    store, run = RunStore(spark), _run_id("linear")
+    fit(dealt, [Model(run, LINEAR, LINEAR_EPOCHS, start=tuple(rule_params(LINEAR)))], store, 2, shuffle=False, batch_rows=size)
+    last = store.states(run).filter(f"epoch = {LINEAR_EPOCHS}")
+    return last.select(F.posexplode("vector").alias("k", "value")).filter(f"k < {LINEAR.n_params}").select("k", F.round("value", 8).alias("value"))
+
+
 # --- attribution -----------------------------------------------------------------------
 
 
@@ -272,6 +313,42 @@ def attribution_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.groupBy("key").agg(F.round(F.sum("value"), 6).alias("total"))
 
 
+@query(_sums_sql())
+def multiplier_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DeepLIFT attributions of an explained row add up to the same."""
+    df = subclusters(spark, sf_dir).select(
+        F.concat_ws("-", *ROW_KEY).alias("key"), F.expr(f"array({', '.join(DENSE_X)})").alias("x")
+    )
+    values = attribution.explain_sample(df, DENSE, rule_params(DENSE), "key", multipliers=True)
+    return values.groupBy("key").agg(F.round(F.sum("value"), 6).alias("total"))
+
+
+def _multipliers_sql() -> str:
+    """DeepLIFT of the first class for a net without hidden layers, for each explained and background row."""
+    ratio = "CASE WHEN abs(z[j] - f[j]) < 0.0000001 THEN exp(z[j] - top) ELSE (exp(z[j] - top) - exp(f[j] - top)) / (z[j] - f[j]) END"
+    return f"""WITH {SUBCLUSTERS_SQL}, {_dense_source},
+keyed AS (SELECT x, concat_ws('-', event, "object", tower, crystal) AS key FROM inputs),
+lin AS (SELECT key, x, list_transform([0, 1, 2], lambda j: list_sum(list_transform(range(0, 5), lambda i: x[i + 1] * {RULE_SQL.format(k="i * 3 + j")})) + {RULE_SQL.format(k="15 + j")}) AS z FROM keyed),
+drawn AS (SELECT * FROM ({ranked_sql("lin", "key", 43)}) WHERE place <= 100),
+explained AS (SELECT * FROM ({ranked_sql("lin", "key", 44)}) WHERE place <= 500),
+pairs AS (SELECT e.key, e.x, e.z, d.x AS b, d.z AS f, greatest(list_max(e.z), list_max(d.z)) AS top FROM explained e, drawn d),
+sums AS (SELECT *, list_sum(list_transform(z, lambda v: exp(v - top))) AS s, list_sum(list_transform(f, lambda v: exp(v - top))) AS t FROM pairs),
+parts AS (SELECT *, list_transform([1, 2, 3], lambda j: (CASE WHEN j = 1 THEN (1 / s + 1 / t) / 2 ELSE 0 END
+  - (exp(z[1] - top) + exp(f[1] - top)) / (2 * s * t)) * ({ratio})) AS m FROM sums),
+each AS (SELECT key, unnest(range(0, 5)) AS i, x, b, m FROM parts)
+SELECT key, CAST(i AS INT) AS feature, round(avg((x[i + 1] - b[i + 1]) * list_sum(list_transform([0, 1, 2], lambda j: m[j + 1] * {RULE_SQL.format(k="i * 3 + j")}))), 8) AS value
+FROM each GROUP BY key, i"""
+
+
+@query(_multipliers_sql())
+def linear_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DeepLIFT attributions of 500 rows against 100 background rows, for a net without hidden layers."""
+    df = subclusters(spark, sf_dir).select(
+        F.concat_ws("-", *ROW_KEY).alias("key"), F.expr(f"array({', '.join(DENSE_X)})").alias("x")
+    )
+    return _rounded(attribution.explain_sample(df, LINEAR, rule_params(LINEAR), "key", multipliers=True), "value", digits=8)
+
+
 # --- flows -----------------------------------------------------------------------------
 
 _GRID_KEPT = f"{CLEAN} AND {class_from_sql(1, 'EGamma')} AND subcl IS NOT DISTINCT FROM 0"
@@ -473,6 +550,21 @@ def benchmark_flow_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(flow["curve"], "threshold", "fpr", "tpr", "miss")
 
 
+@query()
+def benchmark_full_training_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default feature set with its own length of training: 500 epochs of batches of 100 rows, with early stop."""
+    how = flows.benchmark_training(RunStore(spark), "default", uuid.uuid4().hex[:8], shards=1, synchronous=True)
+    return _rounded(flows.benchmark_flow(subclusters(spark, sf_dir), ROW_KEY, training=how)["area"], "auc")
+
+
+@query()
+def benchmark_set_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six feature sets trained together, shortened to three epochs each."""
+    store = RunStore(spark)
+    sets = {s: flows.Training(store, _run_id(s), EPOCHS, shards=1) for s in flows.BENCHMARK_EPOCHS if s != "fourFeature"}
+    return _rounded(flows.benchmark_sets(subclusters(spark, sf_dir), ROW_KEY, sets)["areas"], "auc")
+
+
 @query()
 def four_feature_flow_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = flows.benchmark_flow(

@@ -52,6 +52,10 @@ class RunStore:
         row = (epoch, float(best), float(stop_best), float(val_loss), [float(v) for v in vector])
         self._write_state(run, epoch % STATES, [row])
 
+    def states(self, run: str) -> DataFrame:
+        """The saved states, the last of them with the highest epoch."""
+        return self.spark.read.schema(STATE_SCHEMA).parquet(*[self._path(run, f"state{n}") for n in range(STATES)])
+
     def state(self, run: str) -> dict | None:
         """The last saved state, or None. A state that was being written is passed over."""
         found = []
@@ -68,13 +72,17 @@ class RunStore:
         )
 
     def save_checkpoint(self, run: str, epoch: int, val_loss: float, params: Sequence[float]) -> None:
-        row = pa.table({
-            "run": [run],
-            "epoch": pa.array([epoch], pa.int32()),
-            "val_loss": [float(val_loss)],
-            "params": pa.array([list(params)], pa.list_(pa.float64())),
-        })
-        self._append(run, "checkpoints", row, CHECKPOINT_SCHEMA)
+        self.save_checkpoints(run, [(epoch, val_loss, params)])
+
+    def save_checkpoints(self, run: str, rows: Sequence[tuple[int, float, Sequence[float]]]) -> None:
+        """Rows (epoch, val_loss, params) of one run, in one write."""
+        epochs, losses, params = zip(*rows)
+        self._append(run, "checkpoints", pa.table({
+            "run": [run] * len(rows),
+            "epoch": pa.array(epochs, pa.int32()),
+            "val_loss": [float(v) for v in losses],
+            "params": pa.array([list(p) for p in params], pa.list_(pa.float64())),
+        }), CHECKPOINT_SCHEMA)
 
     def save_history(self, rows: list[tuple]) -> None:
         """Rows (run, epoch, metric, train, val) of one run."""

@@ -62,3 +62,52 @@ def test_adam_first_step_has_the_learning_rate():
     state = Adam.begin(np.zeros(3))
     state.step(np.array([1.0, -2.0, 0.5]))
     assert np.allclose(state.params, [-0.001, 0.001, -0.001], rtol=1e-4)
+
+
+# --- DeepLIFT --------------------------------------------------------------------------
+
+
+def _nets_for_multipliers():
+    from halosift.models.nets import conv_net, dual_conv_net
+
+    return [dense_net(5, 3, ()), dense_net(5, 3, (4,)), dense_net(5, 2, (6, 4)), conv_net((5, 5, 2), 3, [3, 2]), dual_conv_net((7, 7, 1), 3, [2, 2])]
+
+
+@pytest.mark.parametrize("net", _nets_for_multipliers())
+def test_multipliers_add_up_to_the_change_of_probability(net):
+    from halosift.models import deeplift
+
+    rng = np.random.default_rng(1)
+    params = rng.normal(0, 0.5, net.n_params)
+    x, base = rng.normal(size=(7, net.n_inputs)), rng.normal(size=(5, net.n_inputs))
+    x[0] = base[0]  # no change at all
+    for c in range(net.classes):
+        got = deeplift.attribute(net, params, x, base, c)
+        want = net.predict(params, x)[:, c] - net.predict(params, base)[:, c].mean()
+        assert np.allclose(got.sum(axis=1), want, atol=1e-12)
+    alone = deeplift.attribute(net, params, x[:1], base[:1], 0)
+    assert np.allclose(alone, 0)
+
+
+def test_small_changes_follow_the_gradient():
+    """Where no ReLU changes sides, multipliers of a small change are the slope."""
+    from halosift.models import deeplift
+
+    net, rng = dense_net(4, 3, (6,)), np.random.default_rng(3)
+    params, x = rng.normal(0, 0.5, net.n_params), rng.normal(size=4)
+    step = 1e-4
+    got = deeplift.attribute(net, params, (x + step)[None, :], x[None, :], 1)[0] / step
+    slope = [(net.predict(params, (x + step * e / 2)[None, :])[0, 1] - net.predict(params, (x - step * e / 2)[None, :])[0, 1]) / step for e in np.eye(4)]
+    assert np.allclose(got, slope, atol=1e-3)
+
+
+def test_multipliers_do_not_depend_on_how_pairs_are_cut(monkeypatch):
+    from halosift.models import deeplift
+
+    net, rng = dense_net(4, 3, (6,)), np.random.default_rng(5)
+    params, x, base = rng.normal(0, 0.5, net.n_params), rng.normal(size=(9, 4)), rng.normal(size=(6, 4))
+    whole = deeplift.attribute(net, params, x, base, 2)
+    each = np.mean([[deeplift.attribute(net, params, r[None, :], b[None, :], 2)[0] for b in base] for r in x], axis=1)
+    assert np.allclose(whole, each, atol=1e-12)
+    monkeypatch.setattr(deeplift, "PAIRS_AT_ONCE", 4)
+    assert np.allclose(deeplift.attribute(net, params, x, base, 2), whole, atol=1e-12)
