@@ -5,10 +5,13 @@ rules can be stacked into one Filter, or tagged stage by stage in a cut flow.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halosift.functions.bloom import bloom
+from halosift.session import pin
 from halosift.sources.catalogue import (
     FEATURE_SETS,
     GRID_PATTERN,
@@ -23,6 +26,8 @@ BACKGROUND_LABEL = 1
 SIGNAL_SAMPLE_TEXT = "GMSB"
 NOT_MATCHED_VALUE = -999.0
 
+SINGLE_AT_MOST = 100_000  # keys that are broadcast; more are joined by a shuffle
+
 
 def _label(label: Column | None) -> Column:
     return F.col("label") if label is None else label
@@ -126,27 +131,35 @@ def single_subcluster_only(
 ) -> DataFrame:
     """Keep rows whose parent (``keys``) has exactly one row.
 
-    A group that survives has one row, so the row itself is the aggregate: one
-    shuffle with map-side combining, and a parent holding a large share of all
-    rows shrinks to one record per task before it moves. Rows whose event or
-    object is missing or negative have no parent to share and always stay; in the
-    same pass each of them is a group of its own.
+    Rows stay where they are. Only hashes of the keys are counted by a shuffle, combined
+    map-side, so a parent holding a large share of all rows is one record a task. Hashes
+    found twice or more fill a Bloom filter; a row that misses it has a parent of its own and
+    passes. Of the rows that hit it, keys are counted exactly, and those found once, which are
+    the filter's few errors, pass too. Rows whose event or object is missing or negative have no
+    parent to share and always stay.
+
+    ``df`` is read three times, twice only in its keys, so it should be a table and not long work.
     """
     require_columns(df, list(keys), "single_subcluster_only")
     no_parent = F.lit(False)
     for key in (k for k in keys if k in ("event", "object")):
-        no_parent = no_parent | F.col(key).isNull() | (F.col(key) < 0)
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.withColumn("_own", F.when(no_parent, F.monotonically_increasing_id()))
-        .groupBy(*keys, "_own")
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.any_value(quoted(c)).alias(c) for c in rest],
-        )
-        .filter("_rows = 1")
-        .select(*[quoted(c) for c in df.columns])
-    )
+        no_parent = no_parent | F.col(quoted(key)).isNull() | (F.col(quoted(key)) < 0)
+    key_columns = [F.col(quoted(k)) for k in keys]
+    hashed = F.xxhash64(*key_columns)
+    parents = df.filter(~no_parent)
+    repeated = pin(parents.select(hashed.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    maybe = bloom(repeated, "h", repeated.count())
+    named = [c.alias(f"_k{n}") for n, c in enumerate(key_columns)]
+    counted = parents.filter(maybe(hashed)).select(*named).groupBy(*[f"_k{n}" for n in range(len(keys))]).agg(F.count(F.lit(1)).alias("_rows"))
+    single = pin(counted.filter("_rows = 1").drop("_rows"))
+    tagged = df.withColumn("_hit", F.coalesce(F.when(~no_parent, maybe(hashed)), F.lit(False)))
+    passed = tagged.filter(~F.col("_hit")).drop("_hit")
+    few = single.count()
+    if not few:
+        return passed
+    same = reduce(Column.__and__, [c.eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(key_columns)])
+    kept = tagged.filter("_hit").drop("_hit").join(F.broadcast(single) if few <= SINGLE_AT_MOST else single, same, "left_semi")
+    return passed.unionByName(kept)
 
 
 def features_only(df: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,36 @@ def found_kinds(raws: Iterable[DataFrame], names: Iterable[str]) -> dict[str, st
 
 
 CORRUPT = "_corrupt_record"
+LAYOUTS_AT_MOST = 1000  # different header lines of one read
+
+
+def file_layouts(spark: SparkSession, paths: Iterable[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their header, in the order of paths and names.
+
+    One scan finds the first line of every file, whatever their number: the first line that is not blank
+    in the part of the file that begins at byte 0. Files without one are left out."""
+    scans = []
+    for number, path in enumerate(paths):
+        scans.append(spark.read.text(path).filter("_metadata.file_block_start = 0 AND trim(value) <> ''").select(
+            F.lit(number).alias("number"), F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")))
+    if not scans:
+        return {}
+    firsts = reduce(DataFrame.unionByName, scans).groupBy("file").agg(
+        F.min("number").alias("number"), F.min_by("value", F.struct("number", "at")).alias("line"))
+    found = sorted(firsts.collect(), key=lambda r: (r["number"], r["file"]))
+    distinct = list(dict.fromkeys(r["line"] for r in found))
+    if len(distinct) > LAYOUTS_AT_MOST:
+        raise ValueError(f"the files have more than {LAYOUTS_AT_MOST} different headers; do they have headers?")
+    names = {line: tuple(spark.read.option("header", True).csv(spark.sparkContext.parallelize([line], 1)).columns) for line in distinct}
+    out: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for r in found:
+        out[names[r["line"]]].append(_literal(unquote(r["file"])))
+    return out
+
+
+def _literal(path: str) -> str:
+    """A path whose characters all stand for themselves, not for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def read_csv(
@@ -86,8 +117,9 @@ def read_csv(
     """Read CSV files with headers into one table, columns matched by name.
 
     A path may be a file, a folder or a glob; its files may differ in their
-    headers. Files with the same header become a single scan, so the plan grows
-    with the number of layouts and not with the number of files.
+    headers. One scan finds all headers, and files with the same header become a
+    single scan, so plan and jobs grow with the number of layouts and not with the
+    number of files.
 
     Columns of the catalogue have the catalogue's kind. Others have the kind that
     ``kinds`` names, or the one that a pass over all their cells finds. A cell that
@@ -99,13 +131,7 @@ def read_csv(
         raise ValueError(f"bad is 'raise' or 'null', not {bad!r}")
     paths = [paths] if isinstance(paths, str) else list(paths)
     kinds = dict(kinds or {})
-    plain = spark.read.option("header", True)
-    files = list(dict.fromkeys(f for p in paths for f in spark.read.text(p).inputFiles()))
-    with ThreadPoolExecutor(8) as pool:
-        headers = list(pool.map(lambda p: tuple(plain.csv(p).columns), files))
-    layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in zip(files, headers):
-        layouts[header].append(path)
+    layouts = file_layouts(spark, paths)
 
     raws = []
     for header, group in layouts.items():

@@ -121,3 +121,58 @@ def test_grid_width_comes_from_the_schema(spark):
     names = [f"CNNgrid_{c}_cell{i}_{j}" for c in "Etr" for i in range(-1, 2) for j in range(-1, 2)]
     cols, half = cuts.grid_columns(spark.createDataFrame([tuple([0.0] * 27 + [1])], names + ["label"]))
     assert cols == names and half == 1
+
+
+# --- parents with one row --------------------------------------------------------------
+
+
+def parents(spark, rows):
+    return spark.createDataFrame(rows, "sample string, event bigint, object bigint, v string")
+
+
+def plain_single(rows):
+    import collections
+
+    n = collections.Counter(r[:3] for r in rows)
+    alone = lambda r: r[1] is None or r[2] is None or r[1] < 0 or r[2] < 0 or n[r[:3]] == 1
+    return sorted(((r for r in rows if alone(r))), key=str)
+
+
+@pytest.mark.parametrize("bits, few", [(None, 100_000), (10, 100_000), (10, 0)])
+def test_single_parents_by_filter_match_plain_counts(spark, monkeypatch, bits, few):
+    """Whatever the filter lets pass by mistake; nulls in the sample are a value; a hot parent."""
+    from halosift.functions import bloom as blooms
+
+    if bits:
+        monkeypatch.setattr(blooms, "filter_size", lambda n: bits)  # 1,024 bits for 1,200 repeated keys: all hit
+    monkeypatch.setattr(cuts, "SINGLE_AT_MOST", few)
+    rows = [("a" if k % 3 else None, k % 2000, k % 2, f"v{k}") for k in range(4000)]
+    rows += [("hot", 1, 1, "x")] * 3000 + [("a", None, 1, "n"), ("a", None, 1, "n"), ("a", -1, 0, "m"), ("a", -1, 0, "m"), (None, 5, 9, "one")]
+    rows += [("b", k, 0, f"b{k}") for k in range(500)] + [("b", k, 0, f"c{k}") for k in range(0, 500, 2)]
+    got = cuts.single_subcluster_only(parents(spark, rows).repartition(4))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_single(rows)
+
+
+def test_rows_of_single_parents_are_not_moved(spark, tmp_path):
+    """Their plan has no shuffle and no sort of rows; what moves are the key's hashes."""
+    parents(spark, [("a", k // 2 if k < 6 else k, 0, "v" * 50) for k in range(5000)]).write.parquet(str(tmp_path / "t"))
+    df = cuts.single_subcluster_only(spark.read.parquet(str(tmp_path / "t")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "hashpartitioning" not in plan
+    assert df.count() == 4994
+
+
+def test_single_parents_of_an_empty_table(spark):
+    assert cuts.single_subcluster_only(parents(spark, [])).collect() == []
+
+
+def test_bloom_filter_lets_all_members_pass_and_few_others(spark):
+    from pyspark.sql import functions as F
+
+    from halosift.functions.bloom import bloom
+
+    df = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    maybe = bloom(df.filter("id < 10000"), "h", 10_000)
+    got = df.select("id", maybe(F.col("h")).alias("m")).groupBy((F.col("id") < 10_000).alias("inside")).agg(F.count_if("m").alias("n")).collect()
+    found = {r["inside"]: r["n"] for r in got}
+    assert found[True] == 10_000 and found[False] < 400

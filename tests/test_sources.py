@@ -139,3 +139,41 @@ def test_starting_a_run_clears_that_run_only(spark, tmp_path):
     store.start("a")
     assert store.checkpoints("a").count() == 0 and store.history("a").count() == 0
     assert store.checkpoints("b").first()["params"] == [1.0, 2.0]
+
+
+def test_headers_of_many_files_take_as_many_jobs_as_those_of_few(spark, tmp_path):
+    """500 files of two layouts: jobs do not depend on the number of files."""
+    jobs = {}
+    for n in (80, 500):  # from 33 paths on Spark lists them in a job for each scan
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for k in range(n):
+            write(folder / f"f{k:03}.csv", f"sample,event\nMETPD,{k}\n" if k % 2 else f"event,sample,label\n{k},EGamma,3\n")
+        spark.sparkContext.setJobGroup(f"headers{n}", "read")
+        df = tables.read_csv(spark, str(folder))
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers{n}"))
+        spark.sparkContext.setJobGroup("", "")
+        rows = df.collect()
+        assert sorted(r["event"] for r in rows) == list(range(n))
+        assert all((r["label"] == 3) == (r["event"] % 2 == 0) for r in rows)
+    assert jobs[80] == jobs[500] <= 6
+
+
+def test_header_lines_and_file_names_of_all_kinds(spark, tmp_path):
+    a = write(tmp_path / "a b[1].csv", "\n  \nsample,event\nMETPD,1\n")
+    b = write(tmp_path / "c%20{d}.csv", '"sample","event"\nGJets,2')
+    write(tmp_path / "empty.csv", "")
+    c = write(tmp_path / "only.csv", "event,sample,extra\n")
+    layouts = tables.file_layouts(spark, [str(tmp_path)])
+    assert {k: len(v) for k, v in layouts.items()} == {("sample", "event"): 2, ("event", "sample", "extra"): 1}
+    got = {tuple(r) for r in tables.read_csv(spark, str(tmp_path)).select("sample", "event").collect()}
+    assert got == {("METPD", 1), ("GJets", 2)}
+    assert tables.file_layouts(spark, []) == {}
+
+
+def test_too_many_headers_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LAYOUTS_AT_MOST", 2)
+    for k in range(3):
+        write(tmp_path / f"{k}.csv", f"c{k}\n1\n")
+    with pytest.raises(ValueError, match="different headers"):
+        tables.read_csv(spark, str(tmp_path))
