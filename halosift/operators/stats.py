@@ -6,10 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from halosift.operators.cuts import relabelled
+from halosift.session import pin
+from halosift.sources.catalogue import quoted
 
 # Class measures of the detector and of the benchmark convention.
 DETECTOR_CLASSES = {"phys": 1, "bh": 2, "spike": 3}
@@ -162,14 +164,19 @@ def run_steps(
     return df, reduce(DataFrame.unionByName, parts)
 
 
-def _one_pass(
-    df: DataFrame,
-    first: int,
-    name: str,
-    steps: Sequence[Step],
-    classes: Mapping[str, int],
-    samples: bool,
-) -> DataFrame:
+@dataclass(frozen=True)
+class _Stages:
+    """Row-level stages: until which one a row is left, its label in the end, and what to count."""
+
+    names: list[str]
+    alive_for: Column
+    label: Column
+    tests: dict[str, Column]
+    version: list[int]  # which label each stage counts
+    versions: int
+
+
+def _stages(name: str, steps: Sequence[Step], classes: Mapping[str, int], samples: bool) -> _Stages:
     names = [name] + [s.name for s in steps]
     label = F.col("label")
     labels, version = [label], [0]  # label after each relabelling; which one a stage counts
@@ -189,6 +196,51 @@ def _one_pass(
     }
     if samples:
         tests.update(sample_tests())
+    return _Stages(names, alive_for, label, tests, version, len(labels))
+
+
+def run_while_writing(
+    df: DataFrame,
+    steps: Sequence[Cut | Relabel],
+    columns: Sequence[str],
+    classes: Mapping[str, int] = DETECTOR_CLASSES,
+    samples: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(these columns of the rows that row-level stages leave, written to the shared folder; cut flow).
+
+    The stages are counted while the rows are written, so the input is read once. The write has no
+    shuffle, so no task that was counted runs again."""
+    of = _stages("input", steps, classes, samples)
+    last = len(of.names)
+    kept = [F.col(quoted(c)) if c != "label" else of.label.alias("label") for c in columns]
+    tagged = df.select(*kept, of.alive_for.alias("_alive"), *[t.alias(f"_t_{n}") for n, t in of.tests.items()])
+    shown = {n: n for n in sample_tests()} if samples else {}
+    counted: list[Column] = []
+    for stage in range(last):
+        alive = F.col("_alive") > stage
+        named = {n: f"{n}_v{of.version[stage]}" for n in classes} | shown
+        counted.append(F.count_if(alive).alias(f"{stage}:total"))
+        counted += [F.count_if(alive & F.col(f"_t_{t}")).alias(f"{stage}:n_{n}") for n, t in named.items()]
+    seen = Observation()
+    rows = pin(tagged.observe(seen, *counted).filter(F.col("_alive") == last).select(*[quoted(c) for c in columns]))
+    found = seen.get
+    measures = ["total", *[f"n_{n}" for n in [*classes, *shown]]]
+    flow = df.sparkSession.createDataFrame(
+        [(stage, name, *[int(found.get(f"{stage}:{m}", 0)) for m in measures]) for stage, name in enumerate(of.names)],
+        "stage int, cut string, " + ", ".join(f"`{m}` bigint" for m in measures))
+    return rows, _with_fractions(flow, [m[2:] for m in measures[1:]], ["stage", "cut"])
+
+
+def _one_pass(
+    df: DataFrame,
+    first: int,
+    name: str,
+    steps: Sequence[Step],
+    classes: Mapping[str, int],
+    samples: bool,
+) -> DataFrame:
+    of = _stages(name, steps, classes, samples)
+    names, alive_for, tests, version = of.names, of.alive_for, of.tests, of.version
     tagged = df.select(alive_for.alias("alive_for"), *[t.alias(n) for n, t in tests.items()])
     counts = tagged.groupBy("alive_for").agg(
         F.count(F.lit(1)).alias("total"),
@@ -204,7 +256,7 @@ def _one_pass(
         .agg(*[F.sum(c).alias(c) for c in counts.columns[1:]])
     )
     which = F.element_at(F.array(*[F.lit(v) for v in version]), F.col("_stage") + 1)
-    shown = {n: _pick(which, [f"{n}_v{v}" for v in range(len(labels))]) for n in classes}
+    shown = {n: _pick(which, [f"{n}_v{v}" for v in range(of.versions)]) for n in classes}
     if samples:
         shown.update({n: F.col(n) for n in sample_tests()})
     counted = survivors.select(

@@ -143,12 +143,11 @@ def _pinned_steps(
     df: DataFrame, steps: Sequence[stats.Step], keep: Sequence[str], **options
 ) -> tuple[DataFrame, DataFrame]:
     """`stats.run_steps` with the rows left by the row-level stages pinned, narrow,
-    before the first stage that needs the whole table: the input is read twice at
-    most, for the cut flow and for the pin. ``keep`` names the columns that go on."""
+    before the first stage that needs the whole table. The cut flow is counted while they
+    are written: the input is read once. ``keep`` names the columns that go on."""
     first = next((n for n, s in enumerate(steps) if isinstance(s, stats.TableStep)), len(steps))
-    rows, flow = stats.run_steps(df, steps[:first], **options)
     wanted = list(dict.fromkeys([*[c for c in ("sample", "label") if c in df.columns], *keep]))
-    rows = pin(rows.select(*map(quoted, wanted)))
+    rows, flow = stats.run_while_writing(df, steps[:first], wanted, **options)
     if first == len(steps):
         return rows, flow
     rows, rest = stats.run_steps(rows, steps[first:], **options)
@@ -194,7 +193,6 @@ def grid_flow(
         steps.insert(-1, stats.Cut("complete", lambda label: _complete(pixels)))
     rows, flow = _pinned_steps(df, steps, [*keep, *pixels])
     out = Result({"cut_flow": flow})
-    rows = pin(rows)
     fit_on = sampling.train_test(rows, key)[0] if fit_on_train else None
     images = _pinned(build_images(rows, spec, keep, fit_on=fit_on))
     train_rows, test_rows = sampling.train_test(images.df, key)
@@ -223,10 +221,8 @@ def grid_flow(
 def _feature_rows(
     df: DataFrame, features: Sequence[str], key: Sequence[str]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all rows, train rows, test rows) with the key, the label and the features,
-    from one pinned table."""
-    wanted = list(dict.fromkeys([*key, "label", *features]))
-    plain = pin(df.select(*map(quoted, wanted)))
+    """(all rows, train rows, test rows) of a pinned table, with the key, the label and the features."""
+    plain = df.select(*map(quoted, dict.fromkeys([*key, "label", *features])))
     return plain, *sampling.train_test(plain, key)
 
 
@@ -261,10 +257,10 @@ def dense_flow(
         steps.append(
             stats.TableStep("balanced", lambda t: sampling.balance_classes(t, DETECTOR_CLASSES, key))
         )
+    if dry_run:
+        return Result({"cut_flow": stats.cut_flow(df, steps, samples=False)})
     rows, flow = _pinned_steps(df, steps, [*key, *names], samples=False)
     out = Result({"cut_flow": flow})
-    if dry_run:
-        return out
     if drop_incomplete:
         rows = rows.dropna(subset=names)
     all_rows, train_rows, test_rows = _feature_rows(rows, names, key)
@@ -323,10 +319,10 @@ def benchmark_flow(
     steps = benchmark_steps(classes)
     if drop_incomplete:
         steps.append(stats.Cut("complete", lambda label: _complete(names)))
-    rows, flow = stats.run_steps(df, steps, stats.BENCHMARK_CLASSES)
-    out = Result({"cut_flow": flow})
     if dry_run:
-        return out
+        return Result({"cut_flow": stats.cut_flow(df, steps, stats.BENCHMARK_CLASSES)})
+    rows, flow = _pinned_steps(df, steps, [*key, *names], classes=stats.BENCHMARK_CLASSES)
+    out = Result({"cut_flow": flow})
     all_rows, train_rows, test_rows = _feature_rows(rows, names, key)
     parts = train_rows.select("label", F.lit("train").alias("part")).unionByName(test_rows.select("label", F.lit("test").alias("part")))
     out.tables["rows"] = parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -359,7 +355,7 @@ def benchmark_sets(
     names = {s: cuts.feature_columns(s)[0] for s in sets}
     union = list(dict.fromkeys(c for columns in names.values() for c in columns))
     require_columns(df, [*IDENTITY_COLUMNS, "R9", "lead", *union], "benchmark_sets")
-    rows, flow = stats.run_steps(df, benchmark_steps(classes), stats.BENCHMARK_CLASSES)
+    rows, flow = _pinned_steps(df, benchmark_steps(classes), [*key, *union], classes=stats.BENCHMARK_CLASSES)
     out = Result({"cut_flow": flow})
     all_rows, train_rows, test_rows = _feature_rows(rows, union, key)
     found = stats.class_list(all_rows)
