@@ -263,6 +263,7 @@ def dense_flow(
     out = Result({"cut_flow": flow})
     if drop_incomplete:
         rows = rows.dropna(subset=names)
+    rows = pin(rows) if even else rows  # a balanced sample is a filter by hash, which many passes would repeat
     all_rows, train_rows, test_rows = _feature_rows(rows, names, key)
     classes = stats.class_list(all_rows)
     out.tables["histograms"] = histograms.class_histograms(train_rows, names, classes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halosift.operators import cuts, sampling, stats
+from halosift.operators import cuts, order, sampling, stats
 from halosift.plans.driver_views import (
     ROW_KEY,
     SUBCLUSTERS_SQL,
@@ -141,3 +141,24 @@ SELECT event_id, user_id, label FROM ranked, least WHERE label NOT IN (0, 1) OR
 )
 def undersample_larger_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.undersample_larger(labelled_events(spark, sf_dir), EVENT_KEY)
+
+
+# --- rows in the order of the file -----------------------------------------------------
+
+FILE_ROWS_SQL = """numbered AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER () - 1 AS position, count(*) OVER () AS size FROM lineitem)"""
+
+
+def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.in_file_order(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "position")
+
+
+@query(f"WITH {FILE_ROWS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, position FROM numbered WHERE position < 500")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 rows as they stand in the file: the rows to explain."""
+    return order.first_rows(_numbered_lines(spark, sf_dir), 500, "position")
+
+
+@query(f"WITH {FILE_ROWS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, position FROM numbered WHERE position >= size * 4 // 5")
+def last_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows at the end that a fit holds back, in the order of the file."""
+    return order.last_fifth(_numbered_lines(spark, sf_dir), "position")[1]
