@@ -55,7 +55,8 @@ LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 BORDERS = CLOSES_P | set(LIKE) | {"html", "body", "tbody", "thead", "tfoot", "caption"}
 NO_BORDERS = INLINE | (VOID - {"hr"}) | SKIPPED | set(TO_THE_END) | {"optgroup"}
 
-_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+# Quotes count right after an equals sign only; elsewhere they are characters like others.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+"
 _PASSED = r"<!--.*?(?:-->|\Z)|<(" + "|".join(TO_THE_END) + r")(?=[\s/>])" + _ATTRS + r">.*?(?:</\1\s*>|\Z)"
 _TOKEN = re.compile(_PASSED + r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _ATTRS + ")>|<[!?][^>]*>", re.S | re.I)
 _SKIP = re.compile(_PASSED + r"|<(/?)(" + "|".join(sorted(SKIPPED)) + r")(?=[\s/>])(" + _ATTRS + ")>", re.S | re.I)
@@ -376,7 +377,11 @@ def made_pages(fill: list[str], count: int, seed: int = 5) -> list[tuple[list[Bl
             parts.append(rng.choice(_MAIN_BLOCKS).format(sign + some(rng.choice([1, 4, 10, 30, 60, 200]))))
             if rng.random() < 0.25:
                 parts.append(put(rng.choice(_INSIDE)))
-        main = rng.choice(_WRAPS).format("".join(parts))
+        wrap = rng.choice(_WRAPS)
+        if re.match("<(article|main)", wrap) and rng.random() < 0.3:  # links may be a part of the article
+            items = "".join(f'<li><a href="/{k}">{sign}{some(rng.choice([1, 2, 4]))}</a></li>' for k in range(rng.randint(1, 5)))
+            parts.insert(rng.choice([len(parts), rng.randint(0, len(parts))]), f"<ul>{items}</ul>")
+        main = wrap.format("".join(parts))
         before = "".join(put(x) for x in rng.sample(_AROUND_BEFORE, rng.randint(0, 4)))
         after = "".join(put(x) for x in rng.sample(_AROUND_AFTER, rng.randint(0, 5)))
         page = blocks(f"<html><body>{before}{main}{after}</body></html>")
@@ -407,7 +412,7 @@ def extract(pages: DataFrame, html: str = "html", key: str = "page_id", most: in
     some = pages.filter(F.col(html).rlike("(?i)<(article|main)[ >]"))
     keys = some.select(F.xxhash64(key).alias("_h")).distinct().orderBy("_h").limit(most)  # numbers only go to one task
     chosen = [r["_h"] for r in keys.collect()]
-    rows = some.filter(F.xxhash64(key).isin(chosen)).select(html, F.xxhash64(key).alias("_h")).limit(most).collect()
+    rows = some.filter(F.xxhash64(key).isin(chosen)).select(html, F.xxhash64(key).alias("_h")).orderBy("_h", F.xxhash64(html), html).limit(most).collect()
     chain = learn([r[html] for r in sorted(rows, key=lambda r: (r["_h"], r[html]))])
     out = fresh(pages, "main")
     sent = send(pages.sparkSession, chain)
