@@ -12,7 +12,8 @@ Items travel to the tasks in blocks of at most ``block_bytes``, so what is
 broadcast is bounded; further blocks mean further passes over the texts.
 
 Null and empty texts and items have no words: they are hit by nothing and hit
-nothing. Repeated items all count; repeated documents are judged alike. Other
+nothing. Items without an item_id hit like others; together they count as one item, which
+has no part in the names. Repeated items all count; repeated documents are judged alike. Other
 columns, whatever their names, are handed through by `find`. An empty
 benchmark hits nothing.
 """
@@ -43,18 +44,22 @@ FOUND = "n_words bigint, hits array<int>, items array<string>"
 class Patterns:
     """Patterns of one length with their shift table and suffix buckets."""
 
-    def __init__(self, patterns: np.ndarray, owners: list[list[str]]):
+    def __init__(self, patterns: np.ndarray, at: np.ndarray, items: np.ndarray, names: list[str | None]):
+        """Pattern k is a window of the items ``names[items[at[k]:at[k + 1]]]``."""
         m = patterns.shape[1]
         self.length, self.block = m, min(2, m)
         last = self._blocks(patterns, m - 1)
         order = np.argsort(last, kind="stable")
         self.patterns, self.last = patterns[order], last[order]
-        self.owners = [owners[i] for i in order]
+        self.begin, self.end, self.items, self.names = at[:-1][order], at[1:][order], items, names
         self.longest = m - self.block + 1
         self.shift = np.full(1 << TABLE_BITS, self.longest, np.uint8)
         for end in range(self.block - 1, m):
             np.minimum.at(self.shift, self._slot(self._blocks(patterns, end)), m - 1 - end)
 
+    def owners(self, pattern: int) -> list[str | None]:
+        return [self.names[i] for i in self.items[self.begin[pattern]:self.end[pattern]]]
+
     def _blocks(self, rows: np.ndarray, end: int) -> np.ndarray:
         return self.hash_of(rows[:, end - 1] if self.block == 2 else rows[:, end], rows[:, end])
 
@@ -110,22 +115,38 @@ class Patterns:
 
 
 def compile_items(ids: list, texts: list, size: int) -> list[Patterns]:
-    """Search tables for the windows of some items, one for each length."""
-    owners: dict[tuple, list[str]] = defaultdict(list)
-    for item, text in zip(ids, texts):
-        for t in W.texts_of(pa.array([text], pa.string())):
-            t = t.lower()
-            w = W.words(t, W.ALNUM)
-            h = W.span_hashes(t.data, w.start, w.end)
-            n = min(size, len(h))
-            for i in range(len(h) - n + 1 if n else 0):
-                own = owners[tuple(h[i:i + n].tolist())]
-                if not own or own[-1] != str(item):
-                    own.append(str(item))
-    by_length: dict[int, list[tuple]] = defaultdict(list)
-    for key in owners:
-        by_length[len(key)].append(key)
-    return [Patterns(np.array(keys, np.uint64), [owners[k] for k in keys]) for _, keys in sorted(by_length.items())]
+    """Search tables for the windows of some items, one for each length. Windows are rows of hashes, never objects."""
+    names = list(dict.fromkeys(ids))
+    number = {n: k for k, n in enumerate(names)}
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+    for t in W.texts_of(pa.array(texts, pa.string())):
+        item = np.array([number[i] for i in ids[t.first:t.first + t.rows]], np.int64)
+        t = t.lower()
+        w = W.words(t, W.ALNUM)
+        h = W.span_hashes(t.data, w.start, w.end)
+        length = np.minimum(w.counts, size)
+        for n in np.unique(length[length > 0]).tolist():
+            rows = np.flatnonzero(length == n)
+            many = w.counts[rows] - n + 1
+            first = np.repeat(w.at[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            by_length[n].append((h[first[:, None] + np.arange(n)], np.repeat(item[rows], many)))
+    out = []
+    for n, parts in sorted(by_length.items()):
+        windows, item = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((item, *windows.T[::-1]))
+        windows, item = windows[order], item[order]
+        new = np.ones(len(item), bool)
+        new[1:] = (windows[1:] != windows[:-1]).any(axis=1)
+        own = new.copy()
+        own[1:] |= item[1:] != item[:-1]
+        at = np.append(np.cumsum(own)[new] - 1, own.sum())
+        out.append(Patterns(windows[new], at, item[own], names))
+    return out
+
+
+def _in_order(items: set) -> list:
+    """Names sorted, the missing one last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
 
 
 def _searcher(tables: list[Patterns], again: bool) -> Callable[[], Callable[[dict], dict]]:
@@ -145,16 +166,16 @@ def _searcher(tables: list[Patterns], again: bool) -> Callable[[], Callable[[dic
                     np.add.at(change, first + p.length, -1)
                     rows = np.searchsorted(w.at, first, "right") - 1
                     for r, k in set(zip(rows.tolist(), which.tolist())):
-                        named[r].update(p.owners[k])
+                        named[r].update(p.owners(k))
                 hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
                 cut = np.searchsorted(hit, w.at)
                 for r in range(t.rows):
                     hits.append((hit[cut[r]:cut[r + 1]] - w.at[r]).tolist())
-                    items.append(sorted(named[r]) if r in named else [])
+                    items.append(_in_order(named[r]) if r in named else [])
             if again:  # what earlier passes found
                 for r, old in enumerate(batch["found"].to_pylist()):
                     hits[r] = sorted({*hits[r], *old["hits"]})
-                    items[r] = sorted({*items[r], *old["items"]})
+                    items[r] = _in_order({*items[r], *old["items"]})
             return {"n_words": np.concatenate(counts) if counts else np.zeros(0, np.int64),
                     "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
         return work
