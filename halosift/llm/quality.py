@@ -27,8 +27,11 @@ LEAST_WORDS, REPEATED_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = W.byte_set("#*$%&|<>")
 UPPER, LETTER = W.byte_set((0x41, 0x5A)), W.byte_set((0x41, 0x5A), (0x61, 0x7A))
 STOP = W.byte_set(".!?:;\"')")
+_OTHER = W.byte_set((0xC0, 0xFF))
 
-# Common short words of the languages at hand, a sign of running prose.
+# Common short words of the languages at hand, a sign of running prose. These languages are written nearly
+# all in A-Z: a text with a larger share of other letters is in none of them, and the rule abstains.
+OTHER_LETTERS = 0.08
 PROSE = "the and of to in a is that for it de la le les et que en des el los se del der die und das ist nicht ein von".split()
 
 #: (name, bad when the figure is over (high) or under (low) this, good when beyond that).
@@ -104,12 +107,16 @@ def figures(t: W.Texts, prose: np.ndarray) -> tuple[dict[str, np.ndarray], np.nd
         "word_length": chars / d, "prose": common / d, "variety": distinct / np.sqrt(d),
         "line_ends": ended / np.maximum(n_lines, 1),
     }
+    other = W.per_row(_OTHER[t.data], t.at)  # first bytes of longer code points
+    foreign = other > OTHER_LETTERS * (letters + other)
     votes = np.zeros(t.rows, np.int64)
     for name, side, bad, good in RULES:
         v = value[name]
         vote = np.where((v > bad) if side == "high" else (v < bad), 0, 1)
         if good is not None:
             vote = np.where((v < good) if side == "high" else (v > good), 2, vote)
+        if name == "prose":
+            vote = np.where((vote == 0) & foreign, 1, vote)
         votes = votes * 3 + vote
     return {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeats}, votes
 
@@ -179,15 +186,15 @@ def judge(docs: DataFrame, text: str = "text", least: float = 0.5,
     patterns.sort()
     votes = np.array([r["votes"] for r in patterns], np.int64)
     good, _, _ = estimate(votes, np.array([r["count"] for r in patterns], np.int64)) if patterns else (np.zeros(0), None, 0)
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(int(v), float(round(p, 12))) for v, p in zip(votes, good)], "_pattern int, _posterior double")
-    joined = frame.join(F.broadcast(known), F.col(f"{raw}.votes") == F.col("_pattern"), "left")
+    spark, pattern, posterior = docs.sparkSession, fresh(frame, "pattern"), fresh(frame, "posterior")
+    known = spark.createDataFrame([(int(v), float(round(p, 12))) for v, p in zip(votes, good)], f"`{pattern}` int, `{posterior}` double")
+    joined = frame.join(F.broadcast(known), F.col(f"{raw}.votes") == F.col(pattern), "left")
     f = F.col(raw)
     failed = (f.n_words < LEAST_WORDS) | (100 * f.n_repeat_words > REPEATED_PERCENT * f.n_words)
-    kept = ~failed & (F.col("_posterior") >= least)
+    kept = ~failed & (F.col(posterior) >= least)
     made = F.struct(f.n_words.alias("n_words"), f.word_chars.alias("word_chars"), f.n_symbols.alias("n_symbols"),
                     f.n_dup_lines.alias("n_dup_lines"), f.n_repeat_words.alias("n_repeat_words"),
-                    failed.alias("base_failed"), kept.alias("kept"), F.col("_posterior").alias("quality"))
+                    failed.alias("base_failed"), kept.alias("kept"), F.col(posterior).alias("quality"))
     return joined.select(*carry, made.alias(out)), out
 
 
