@@ -48,7 +48,7 @@ from halosift.operators.order import POSITION, in_order_of
 from halosift.operators.sampling import row_hash
 from halosift.session import pin_partitions
 from halosift.sources.catalogue import quoted
-from halosift.sources.runs import FIRST_THRESHOLD, RunStore, best_checkpoint
+from halosift.sources.runs import FIRST_THRESHOLD, RunStore, best_checkpoint, metric_row, params_row, state_row
 
 EPOCHS_PER_JOB = 25
 HELD_AT_MOST = 1 << 30
@@ -302,15 +302,12 @@ def fit(
         for k, i in enumerate(now):
             m, mine = models[i], [r for r in results if r[0] == k]
             sums = {(e, kind): metrics_from(v) for _, e, kind, v in mine if kind in ("train", "val")}
-            history = [(m.run, e, name, float(sums[e, "train"][name]), float(sums[e, "val"][name]))
-                       for e in sorted({e for e, _ in sums}) for name in ("loss", "accuracy", "auc")]
-            store.save_history(history)
-            improved = [(e, float(v[0]), v[1:]) for _, e, kind, v in mine if kind == "params"]
-            if improved:
-                store.save_checkpoints(m.run, improved)
+            log = [metric_row(e, name, sums[e, "train"][name], sums[e, "val"][name])
+                   for e in sorted({e for e, _ in sums}) for name in ("loss", "accuracy", "auc")]
+            log += [params_row(e, v[0], v[1:]) for _, e, kind, v in mine if kind == "params"]
             _, e, _, v = next(r for r in mine if r[2] == "state")
             states[i] = Progress.of(v[4:], m.net.n_params, epoch=e, best=v[0], stop_best=v[1], val_loss=v[2], stopped=bool(v[3]))
-            store.save_state(m.run, e, v[0], float("-inf") if v[3] else v[1], v[2], v[4:])
+            store.append(m.run, [*log, state_row(e, v[0], float("-inf") if v[3] else v[1], v[2], v[4:])])
     out = {}
     for m, s in zip(models, states):
         chosen = best_checkpoint(store.checkpoints(m.run)).first()

@@ -23,7 +23,7 @@ from halosift.models.nets import Adam, Net
 from halosift.models.score import matrix
 from halosift.session import pin_partitions
 from halosift.sources.catalogue import quoted
-from halosift.sources.runs import FIRST_THRESHOLD, RunStore, best_checkpoint
+from halosift.sources.runs import FIRST_THRESHOLD, RunStore, best_checkpoint, metric_row, params_row, state_row
 
 # Usual batch size, early stopping, and the number of area thresholds while training.
 BATCH_ROWS = 100
@@ -230,8 +230,8 @@ def train(
 
     Without ``save_best`` only the last state is kept. Early stopping ends at the
     first epoch, from epoch 80 on, that does not improve the validation loss.
-    History and state are saved with every epoch; ``resume`` goes on after the
-    last one that the run's tables hold.
+    History, checkpoint and state of an epoch are saved together; ``resume`` goes on after the
+    last one that the run's log holds.
     """
     if epochs < 1:
         raise ValueError("training needs at least one epoch")
@@ -248,15 +248,15 @@ def train(
         state, seen = train_epoch(fit_rows, net, state, seed, epoch, batch_rows=batch_rows)
         held = evaluate(validation_rows, net, state.params)
         done = epoch + 1
+        rows = [metric_row(done, m, seen[m], held[m]) for m in seen]
         if save_best and held["loss"] < best:
             best = held["loss"]
-            store.save_checkpoint(run, done, best, state.params)
+            rows.append(params_row(done, best, state.params))
         stop = early_stop and epoch >= STOP_FROM_EPOCH and held["loss"] >= stop_best - STOP_MIN_DELTA
         if early_stop and epoch >= STOP_FROM_EPOCH and not stop:
             stop_best = held["loss"]
-        store.save_history([(run, done, m, float(seen[m]), float(held[m])) for m in seen])
         vector = np.concatenate([state.params, state.first, state.second, [state.steps]])
-        store.save_state(run, done, best, stop_best, held["loss"], vector)
+        store.append(run, [*rows, state_row(done, best, stop_best, held["loss"], vector)])
         if stop:
             break
     if not save_best:

@@ -5,7 +5,8 @@ import pytest
 from halosift.operators import cuts
 from halosift.sources import tables
 from halosift.sources.catalogue import MISSING_TEXTS, column_kind, require_columns
-from halosift.sources.runs import RunStore, best_checkpoint, improved_epochs
+from halosift.sources import runs
+from halosift.sources.runs import RunStore, best_checkpoint, improved_epochs, metric_row, params_row, state_row
 
 
 def write(path, text):
@@ -177,3 +178,74 @@ def test_too_many_headers_are_refused(spark, tmp_path, monkeypatch):
         write(tmp_path / f"{k}.csv", f"c{k}\n1\n")
     with pytest.raises(ValueError, match="different headers"):
         tables.read_csv(spark, str(tmp_path))
+
+
+# --- the log of a run ------------------------------------------------------------------
+
+
+def epoch_rows(epoch):
+    return [metric_row(epoch, "loss", 1 / epoch, 2 / epoch), params_row(epoch, 2 / epoch, [float(epoch)] * 3),
+            state_row(epoch, 2 / epoch, 3.0, 2 / epoch, [float(epoch), 0.5])]
+
+
+def holds(store, run, epochs):
+    assert sorted(r["epoch"] for r in store.history(run).collect()) == list(range(1, epochs + 1))
+    assert sorted((r["epoch"], r["params"][0]) for r in store.checkpoints(run).collect()) == [(e, float(e)) for e in range(1, epochs + 1)]
+    assert store.state(run) == {"epoch": epochs, "best": 2 / epochs, "stop_best": 3.0, "val_loss": 2 / epochs, "vector": [float(epochs), 0.5]}
+
+
+def test_a_run_has_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "COMPACT_AFTER", 5)
+    store, most = RunStore(spark, str(tmp_path / "runs")), 0
+    store.start("a")
+    for epoch in range(1, 24):
+        store.append("a", epoch_rows(epoch))
+        most = max(most, store.files("a"))
+        if epoch == 12:
+            store = RunStore(spark, str(tmp_path / "runs"))  # a new session goes on
+    holds(store, "a", 23)
+    assert most <= 7
+    assert store.states("a").count() <= 5
+
+
+def test_a_crash_between_two_writes_loses_nothing(spark, tmp_path, monkeypatch):
+    store = RunStore(spark, str(tmp_path / "runs"))
+    store.start("a")
+    for epoch in (1, 2, 3):
+        store.append("a", epoch_rows(epoch))
+    # while the next generation is written: its folder has data and no mark of success
+    half = tmp_path / "runs" / "a" / "log-000001"
+    half.mkdir()
+    (half / "part-00000-x.parquet").write_bytes(b"cut off")
+    holds(RunStore(spark, str(tmp_path / "runs")), "a", 3)
+    # after it was written, before the old one is deleted
+    with monkeypatch.context() as m:
+        m.setattr(RunStore, "_delete", lambda self, path: None)
+        store.compact("a")
+    assert store._generations("a") == [0, 1]
+    again = RunStore(spark, str(tmp_path / "runs"))
+    holds(again, "a", 3)
+    again.append("a", epoch_rows(4))
+    holds(again, "a", 4)
+    again.compact("a")
+    assert again._generations("a") == [2] and again.files("a") == 1
+    holds(again, "a", 4)
+
+
+def test_an_epoch_that_failed_to_be_saved_is_repeated_once(spark, tmp_path, monkeypatch):
+    """History and state cannot part: after the failure both end at the epoch before."""
+    store = RunStore(spark, str(tmp_path / "runs"))
+    store.start("a")
+    store.append("a", epoch_rows(1))
+    with pytest.raises(Exception):
+        store.append("a", [*epoch_rows(2), (2, "state", None, None, 0.1, 0.1, 0.1, ["no number"])])
+    holds(store, "a", 1)
+    store.append("a", epoch_rows(2))
+    holds(store, "a", 2)
+
+
+def test_a_run_that_is_not_there(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "runs"))
+    assert store.state("none") is None and store.files("none") == 0
+    with pytest.raises(ValueError, match="no run"):
+        store.history("none")
