@@ -41,7 +41,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 FAR = 1 << 20  # more than there are symbols
 CODES = 1 << 18  # code points of parts that advance together
 EQUAL = 24  # longer parts are padded to a length of four significant bits
-KEEP = 200_000  # parts a task remembers before it starts anew
+KEEP = 50_000  # parts a task remembers before it starts anew
 SEEN_BITS, PAIR_BITS = 20, 20
 
 
