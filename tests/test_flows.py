@@ -204,3 +204,12 @@ def test_pinned_tables_are_deleted_at_the_end_of_a_block(spark, dense, tmp_path)
     assert len(kept) and stays.count() == dense.count()
     with pytest.raises(Exception):
         goes.count()
+
+
+def test_feature_sets_trained_together(spark, dense, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    sets = {s: flows.Training(store, s, n, shards=1) for s, n in (("clusterShapeOnly", 2), ("IsoOnly", 1))}
+    flow = flows.benchmark_sets(dense, ["event"], sets, nodes=(4,))
+    assert {r["features"]: r["epochs"] for r in flow["areas"].collect()} == {"clusterShapeOnly": 2, "IsoOnly": 1}
+    assert all(0 < r["auc"] <= 1 for r in flow["areas"].collect())
+    assert store.history("clusterShapeOnly").count() == 6
