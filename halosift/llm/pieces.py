@@ -14,6 +14,13 @@ around characters that only occur alone. Equal parts are encoded once in each
 batch, and parts of equal length advance together: hashes of all their
 substrings probe the sorted keys of the pieces.
 
+A part of more than ``LONG`` code points (a text without spaces, of any length)
+becomes windows that overlap, and these advance together too. Two windows are
+joined at a place in their overlap where both have a border and the pieces
+beside it agree: then all neighbours of the joined chain agree, so it is the
+encoding. Where no place will do, a window is begun at a border of the first; if
+that does not help either, the part is searched as a whole.
+
 Characters without a piece become the pieces of their UTF-8 bytes. Decoding
 joins pieces, turns the word mark into a space and drops the space that
 encoding put first. Null and empty texts have no pieces and decode to the
@@ -25,6 +32,7 @@ handed through by `encode` and `decode`.
 from __future__ import annotations
 
 import hashlib
+from collections import ChainMap
 from collections.abc import Callable
 
 import numpy as np
@@ -39,7 +47,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 FAR = 1 << 20  # more than there are symbols
-CODES = 1 << 18  # code points of parts that advance together
+CODES = 1 << 16  # code points of parts that advance together
+TRIES = 4  # borders tried before a part is searched as a whole
+LONG, SPAN, LAP = 512, 256, 64  # longer parts are encoded in windows of SPAN, LAP of them shared with the next
 EQUAL = 24  # longer parts are padded to a length of four significant bits
 KEEP = 50_000  # parts a task remembers before it starts anew
 SEEN_BITS, PAIR_BITS = 20, 20
@@ -58,6 +68,11 @@ def _lengthen(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return h * _BASE + W.mix(code.astype(np.uint64) + np.uint64(1))
 
 
+def _places(text: str) -> range:
+    """Where the windows of a part begin; a part that is not long is its own window."""
+    return range(0, len(text) - LAP, SPAN - LAP) if len(text) > LONG else range(1)
+
+
 class Pieces:
     """The pieces with what encoding and decoding look up."""
 
@@ -176,10 +191,10 @@ class Pieces:
             self.agrees[slot[new[first]]] = verdict
         return out
 
-    def search(self, codes: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, list[int], list[bool]]:
+    def search(self, codes: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Encodings, as symbols, of parts of like length: a row of code points each, padded at its end.
 
-        A row of symbols for each, where it begins, and whether all are pieces.
+        A row of symbols for each, and where it begins.
         """
         rows, n = codes.shape
         h = np.zeros((n + 1, rows), np.uint64)
@@ -216,30 +231,70 @@ class Pieces:
             out[live, n - 1 - k] = last[at[live], live]
             at[live] -= step[at[live], live]
             used[live] += 1
-        plain = (out < len(self.table)).all(axis=1)
-        return out, (n - used).tolist(), plain.tolist()
+        return out, (n - used).tolist()
 
-    def parts(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """Piece ids of parts of texts, and more. What was encoded before is remembered, up to ``KEEP`` parts."""
-        if len(self.done) > KEEP:
-            self.done = {}
+    def symbols(self, texts: set[str]) -> dict[str, np.ndarray]:
+        """Encodings, as symbols, of texts; those of like length advance together."""
         by_length: dict[int, list[str]] = {}
         for t in texts:
-            if t not in self.done:
-                n = len(t)
-                grain = 1 << max(0, n.bit_length() - 4)
-                by_length.setdefault(n if n <= EQUAL else -(-n // grain) * grain, []).append(t)
+            n = len(t)
+            grain = 1 << max(0, n.bit_length() - 4)
+            by_length.setdefault(n if n <= EQUAL else -(-n // grain) * grain, []).append(t)
+        out = {}
         for n, own in by_length.items():
             for k in range(0, len(own), max(1, CODES // n)):
                 some = own[k:k + max(1, CODES // n)]
                 lens = np.array([len(t) for t in some])
                 codes = np.frombuffer("".join(t.ljust(n, "\0") for t in some).encode("utf-32-le", "surrogatepass"), np.uint32)
-                for t, row, at, plain in zip(some, *self.search(codes.reshape(len(some), n), lens)):
-                    self.done[t] = row[at:] if plain else self.spell(t, row[at:])
-        return self.done
+                rows, at = self.search(codes.reshape(len(some), n), lens)
+                out.update((t, row[i:].copy()) for t, row, i in zip(some, rows, at))
+        return out
+
+    def joined(self, text: str, windows: dict[str, np.ndarray]) -> np.ndarray:
+        """Symbols of a long part from those of its windows."""
+        done, last, last_at = [], windows[text[:SPAN]], 0
+        for at in _places(text)[1:]:
+            following = windows[text[at:at + SPAN]]
+            ends = last_at + np.cumsum(self.sizes(last))
+            begins = at + np.cumsum(self.sizes(following)) - self.sizes(following)
+            _, i, j = np.intersect1d(ends, begins, assume_unique=True, return_indices=True)
+            fit = np.flatnonzero(self.agree(last[i], following[j])) if len(i) else i
+            if len(fit):
+                i, j = i[fit[0]], j[fit[0]]
+                done.append(last[:i + 1])
+                last, last_at = following[j:], int(begins[j])
+                continue
+            # runs out of step: a window from a border of the chain (windows of a periodic text are alike)
+            for i in np.flatnonzero((ends >= at) & (ends < at + LAP))[:TRIES]:
+                own = text[ends[i]:ends[i] + SPAN]
+                if own not in windows:
+                    windows |= self.symbols({own})
+                if self.agree(last[i:i + 1], windows[own][:1])[0]:
+                    done.append(last[:i + 1])
+                    last, last_at = windows[own], int(ends[i])
+                    break
+            else:
+                return self.symbols({text})[text]
+        return np.concatenate([*done, last])
+
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """Code points of symbols."""
+        return np.where(symbols == self.unknown, 1, self.length[symbols])
+
+    def parts(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """Piece ids of parts of texts, and more. What was encoded before is remembered, up to ``KEEP`` parts, long ones not."""
+        if len(self.done) > KEEP:
+            self.done = {}
+        new = [t for t in texts if t not in self.done]
+        found = self.symbols({t[k:k + SPAN] if len(t) > LONG else t for t in new for k in _places(t)})
+        self.done.update((t, self.spell(t, found[t])) for t in new if len(t) <= LONG)
+        long = {t: self.spell(t, self.joined(t, found)) for t in new if len(t) > LONG}
+        return ChainMap(long, self.done) if long else self.done
 
     def spell(self, text: str, symbols: np.ndarray) -> np.ndarray:
         """Ids for symbols; characters without a piece become bytes."""
+        if not len(symbols) or symbols.max() < len(self.table):
+            return symbols
         ids, at = [], 0
         for s in symbols.tolist():
             if s >= len(self.table):

@@ -1,13 +1,16 @@
 """Cases found in review: markup in odd attributes, items without an id, clashing names, other alphabets."""
 
 import itertools
+import os
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 
-from halosift.llm import html, leaks, quality
+from halosift.llm import html, leaks, pieces, quality
 from halosift.llm import words as W
 
 
@@ -144,3 +147,32 @@ def test_texts_in_other_letters_have_no_bad_vote_for_their_words():
     w = W.words(text, W.NOT_SPACE)
     _, votes = quality.figures(t, np.sort(W.span_hashes(text.data, w.start, w.end)))
     assert quality.unpack(votes)[:, rule].tolist() == [0, 0, 1, -1]
+
+
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the vocabulary file is not here")
+def test_long_parts_without_spaces_are_joined_from_windows():
+    """Texts without spaces: letters of one and of many alphabets, runs, periods, and lengths about the window's."""
+    own, other = pieces.Pieces(pieces.load()), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = np.random.default_rng(5)
+    stock = ["the", "ing", "É", "12", "_", "//", "ation", "ción", "HE", "日本", "😀", "\x00", "ния", "при", "漢", "==", "aa"]
+    texts = ["".join(rng.choice(stock, rng.integers(300, 1500))) for _ in range(40)]
+    texts += ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, n))) for n in (513, 704, 705, 3000)]
+    texts += ["".join(map(chr, rng.integers(97, 123, n))) for n in range(505, 1300, 53)]
+    texts += [c * n for c in ("a", "ab", "=", "_", "abc", "12") for n in (511, 577, 1001)]
+    texts += [f"x {t} y\n{t}" for t in texts[:5]]
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == [other.encode(t) for t in texts]
+    long = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 50_000)))
+    begun = time.process_time()
+    assert own.encode(pa.array([long]))[0].tolist() == other.encode(long)
+    assert time.process_time() - begun < 15 and not any(len(t) > pieces.LONG for t in own.done)
+
+
+def test_long_parts_without_a_common_border_are_searched_whole(monkeypatch):
+    table = [("<unk>", 0.0, "other"), *[(t, s, "normal") for t, s in [("a", -9.0), ("b", -8.0), ("aa", -1.0), ("▁", -7.0), ("aaaa", -2.0)]]]
+    own = pieces.Pieces(table)
+    text = "a" * 700 + "b" + "a" * 601
+    parts, _ = own.merge("▁" + text)
+    expected = [own.id_of[p] for p in parts]
+    assert own.encode(pa.array([text]))[0].tolist() == expected
+    monkeypatch.setattr(pieces, "TRIES", 0)
+    assert pieces.Pieces(table).encode(pa.array([text]))[0].tolist() == expected
