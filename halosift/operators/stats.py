@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from halosift.operators.cuts import relabelled
-from halosift.session import pin
+from halosift.session import finished, pin, step_folder
 from halosift.sources.catalogue import quoted
 
 # Class measures of the detector and of the benchmark convention.
@@ -209,7 +209,8 @@ def run_while_writing(
     """(these columns of the rows that row-level stages leave, written to the shared folder; cut flow).
 
     The stages are counted while the rows are written, so the input is read once. The write has no
-    shuffle, so no task that was counted runs again."""
+    shuffle, so no task that was counted runs again. In a `resumable` block the counts are written
+    after the rows, and a step that has both is read instead of run."""
     of = _stages("input", steps, classes, samples)
     last = len(of.names)
     kept = [F.col(quoted(c)) if c != "label" else of.label.alias("label") for c in columns]
@@ -221,13 +222,20 @@ def run_while_writing(
         named = {n: f"{n}_v{of.version[stage]}" for n in classes} | shown
         counted.append(F.count_if(alive).alias(f"{stage}:total"))
         counted += [F.count_if(alive & F.col(f"_t_{t}")).alias(f"{stage}:n_{n}") for n, t in named.items()]
-    seen = Observation()
-    rows = pin(tagged.observe(seen, *counted).filter(F.col("_alive") == last).select(*[quoted(c) for c in columns]))
-    found = seen.get
+    left = lambda t: t.filter(F.col("_alive") == last).select(*[quoted(c) for c in columns])
+    spark, seen = df.sparkSession, Observation()
     measures = ["total", *[f"n_{n}" for n in [*classes, *shown]]]
-    flow = df.sparkSession.createDataFrame(
-        [(stage, name, *[int(found.get(f"{stage}:{m}", 0)) for m in measures]) for stage, name in enumerate(of.names)],
-        "stage int, cut string, " + ", ".join(f"`{m}` bigint" for m in measures))
+    layout = "stage int, cut string, " + ", ".join(f"`{m}` bigint" for m in measures)
+    folder = step_folder(left(tagged), of.names, of.version, measures)
+    if folder and finished(spark, f"{folder}/counts"):
+        rows = spark.read.schema(left(tagged).schema).parquet(f"{folder}/rows")
+        flow = spark.read.schema(layout).parquet(f"{folder}/counts")
+    else:
+        rows = pin(left(tagged.observe(seen, *counted)), folder and f"{folder}/rows")
+        found = seen.get
+        flow = spark.createDataFrame(
+            [(stage, name, *[int(found.get(f"{stage}:{m}", 0)) for m in measures]) for stage, name in enumerate(of.names)], layout)
+        flow = pin(flow, f"{folder}/counts") if folder else flow
     return rows, _with_fractions(flow, [m[2:] for m in measures[1:]], ["stage", "cut"])
 
 

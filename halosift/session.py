@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _open: list[list[str]] = []  # paths pinned inside each `released` block
+_flows: list[str] = []  # folder of each open `resumable` block
 
 
 def local_session(name: str = "halosift", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -51,19 +54,80 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Lineage ends there: later passes read only the columns they use, and a lost
-    executor costs a re-read instead of the work before.
+    executor costs a re-read instead of the work before. With ``path`` the table
+    goes there, in place of what an interrupted write left.
     """
-    path = f"{shared_dir(df.sparkSession)}/pinned/{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
-    df.write.parquet(path)
+    if path is None:
+        path = f"{shared_dir(df.sparkSession)}/pinned/{uuid.uuid4().hex}"
+        if _open:
+            _open[-1].append(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files_of(df: DataFrame) -> list[str] | None:
+    """The input files of ``df`` with length and time of change; None if it reads anything but files."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        relation = leaves.apply(k).relation() if leaves.apply(k).getClass().getSimpleName() == "LogicalRelation" else None
+        if relation is None or relation.getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        listed = relation.location().allFiles().mkString("\n")  # the listing the plan was made from, in one call
+        found.append(re.sub(r"access_time=\d+", "", listed))
+    return found
+
+
+def step_folder(df: DataFrame, *more: object) -> str | None:
+    """The folder of a step in the open `resumable` block: named by its plan, its input files and ``more``.
+
+    None outside such a block, and for plans that read anything but files or run Python, since
+    their text does not say what they compute."""
+    files = _files_of(df) if _flows else None
+    if not files:
+        return None
+    spark, name = df.sparkSession, "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000000")
+    try:
+        plan, optimized = (f().toString() for f in (df._jdf.queryExecution().analyzed, df._jdf.queryExecution().optimizedPlan))
+    finally:
+        spark.conf.set(name, before)
+    if re.search(r"Python|MapIn|InPandas|InArrow|UDF", plan + optimized):
+        return None
+    said = "\n".join([re.sub(r"#\d+L?", "", plan), *files, *map(str, more)])
+    return f"{_flows[-1]}/{hashlib.sha256(said.encode()).hexdigest()}"
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+@contextmanager
+def resumable(spark: SparkSession, name: str) -> Iterator[None]:
+    """A flow that fails inside goes on from its pinned rows when it is run again in a block of this
+    ``name``, also in another session. They are found by the step's plan and its input files, so a flow
+    with other cuts, columns or files makes its own. When the block ends without an error they are
+    deleted: write what is wanted of the flow's tables before."""
+    folder = f"{shared_dir(spark)}/flows/{name}"
+    _flows.append(folder)
+    try:
+        yield
+    finally:
+        _flows.pop()
+    _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that were pinned inside, at the end. Write what is wanted
@@ -73,10 +137,8 @@ def released(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _open.pop():
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(spark, path)
 
 
 def pin_partitions(df: DataFrame) -> DataFrame:

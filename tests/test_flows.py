@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from halosift.functions.grids import pixel_names
 from halosift.operators import stats
 from halosift.plans import flows
+from halosift.session import resumable, shared_dir, step_folder
 from halosift.sources.catalogue import FEATURE_SETS
 from halosift.sources.runs import RunStore
 
@@ -213,3 +215,45 @@ def test_feature_sets_trained_together(spark, dense, tmp_path):
     assert {r["features"]: r["epochs"] for r in flow["areas"].collect()} == {"clusterShapeOnly": 2, "IsoOnly": 1}
     assert all(0 < r["auc"] <= 1 for r in flow["areas"].collect())
     assert store.history("clusterShapeOnly").count() == 6
+
+
+def test_a_failed_flow_goes_on_from_its_pinned_rows(spark, dense, tmp_path, monkeypatch):
+    raw, name = str(tmp_path / "raw"), f"again-{tmp_path.name}"
+    dense.coalesce(2).write.parquet(raw)
+    options = dict(training=how(spark, tmp_path / "runs", "r", epochs=1), nodes=(4,))
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(flows, "_train", fail)
+        with pytest.raises(OSError), resumable(spark, name):
+            flows.benchmark_flow(spark.read.parquet(raw), ["event"], **options)
+    want = sorted(map(tuple, flows.benchmark_flow(spark.read.parquet(raw), ["event"])["cut_flow"].collect()))
+
+    same, other = spark.read.parquet(raw), spark.read.parquet(raw)
+    for part in (tmp_path / "raw").glob("part-*"):
+        part.write_bytes(b"")  # from here on, any read of the raw rows fails
+    with resumable(spark, name):
+        with pytest.raises(Exception):  # another selection is another step
+            flows.benchmark_flow(other, ["event"], classes=[1, 3])
+        flow = flows.benchmark_flow(same, ["event"], **options)
+        assert sorted(map(tuple, flow["cut_flow"].collect())) == want
+        assert flow["history"].count() > 0 and 0 <= flow["area"].first()["auc"] <= 1
+        folder = step_folder(same)
+    assert folder.startswith(f"{shared_dir(spark)}/flows/{name}/") and not (spark._jvm.java.io.File(folder).getParentFile().exists())
+
+
+def test_steps_are_named_by_plan_and_files(spark, dense, tmp_path):
+    at = str(tmp_path / "t")
+    dense.limit(50).coalesce(1).write.parquet(at)
+    assert step_folder(spark.read.parquet(at)) is None  # outside of a block
+    with resumable(spark, f"names-{tmp_path.name}"):
+        one, again = spark.read.parquet(at), spark.read.parquet(at)
+        assert step_folder(one) == step_folder(again) != step_folder(one, "more")
+        assert len({step_folder(t) for t in (one, one.filter("label = 1"), one.filter("label = 2"), one.drop("lead"))}) == 4
+        assert step_folder(dense) is None  # rows of the session: not told apart by their plan
+        assert step_folder(one.mapInArrow(lambda it: it, one.schema)) is None
+        assert step_folder(one.select(F.udf(lambda v: v, "long")("label"))) is None
+        dense.limit(60).coalesce(1).write.mode("overwrite").parquet(at)
+        assert step_folder(spark.read.parquet(at)) != step_folder(one)
