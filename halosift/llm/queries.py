@@ -56,15 +56,17 @@ def _licenses_sql() -> str:
     word = licenses.WORD
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES)
-    known = ", ".join(f"('{label}', {listed(words)}, {c})" for label, words, c in licenses.notices())
-    return f"""WITH phrases(p, label, n) AS (VALUES {phrases}), notices(label, words, c) AS (VALUES {known}),
+    known = ", ".join(f"('{label}', {listed(words)}, {c}, {span})" for label, words, c, span in licenses.notices())
+    return f"""WITH phrases(p, label, n) AS (VALUES {phrases}), notices(label, words, c, span) AS (VALUES {known}),
 dw AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{word}') AS w FROM documents),
 places AS (SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, w, p, label, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, phrases WHERE len(w) >= n)
   WHERE w[i] = split_part(p, ' ', 1) AND array_to_string(list_slice(w, i, i + n - 1), ' ') = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS f, max(pos) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS w FROM (SELECT doc_id, unnest(string_split({_LOWERED}, chr(10))) AS line FROM documents)),
-met AS (SELECT doc_id, label, len(list_intersect(b.w, n.words)) / CAST(len(n.words) AS DOUBLE) AS share FROM blocks b, notices n
-  WHERE len(b.w) >= n.c AND len(list_intersect(b.w, n.words)) >= n.c),
+spots AS (SELECT doc_id, label, c, span, len(words) AS size, pos, word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM dw)
+  JOIN (SELECT *, unnest(words) AS word FROM notices) USING (word)),
+runs AS (SELECT doc_id, label, c, size, count(DISTINCT word) OVER (PARTITION BY doc_id, label ORDER BY pos RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS k
+  FROM spots),
+met AS (SELECT doc_id, label, k / CAST(size AS DOUBLE) AS share FROM runs WHERE k >= c),
 named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM places) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, f AS first_word, l AS last_word,
@@ -160,7 +162,8 @@ AUDIT_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
 firsts AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
 said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-cut AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^ 	-]+') AS w FROM d),
+cut AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM d),
 fails AS (
   SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
     100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,

@@ -7,12 +7,14 @@ import os
 import re
 import subprocess
 import sys
+import textwrap
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 import corpus_pipeline
@@ -179,6 +181,10 @@ LICENSES = [
     "apache license mit license cc by gnu general public license " * 2, "GNU General\n(Public) LICENSE", "CC-BY cc  by Permission denied", None, "", "license mit",
     "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the Software to deal in it",
     "x\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.", "release under MIT", "ccby gnu general public", "word " * 5000 + "cc by",
+    # over the border of a cell, at each place near it; a whole run of words repeated, also over cells
+    *["word " * k + "released under the mit license" for k in (250, 252, 253, 254, 255, 256, 257)], "licensed under the apache license version 2 0 " * 100,
+    *["x " * k + "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+      "software foundation" for k in (230, 245, 500)],
 ]
 
 
@@ -194,18 +200,49 @@ def test_licenses_match_plain_search(spark):
             places += own
             base |= {label} if own else set()
         best = 0.5 if places else 0.0
-        for line in x.split("\n"):
-            for label, words, c in licenses.notices():
-                both = len(set(words) & set(re.findall(licenses.WORD, line)))
-                if both >= c:
-                    more.add(label)
-                    best = max(best, both / len(words))
+        for label, words, c, span in licenses.notices():
+            both = max((len(set(words) & set(w[i:i + span])) for i in range(len(w))), default=0)  # every run
+            if both >= c:
+                more.add(label)
+                best = max(best, both / len(words))
         want = (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)))
         assert tuple(got[k])[1:-1] == want and got[k]["score"] == pytest.approx(best)
     assert licenses.report(df.limit(0)).count() == 0
     assert "Python" not in licenses.report(df)._jdf.queryExecution().toString()
 
 
+def test_licenses_over_line_breaks_and_scattered(spark):
+    wrapped = ["some code\n" + "\n".join(f"# {line}" for line in textwrap.wrap(text, 72)) + "\nmore" for _, text in licenses.NOTICES]
+    filled = [" ".join(word + " of x y" for word in text.split()) for _, text in licenses.NOTICES]
+    film = "the film was released in may and later sold under a license by the studio"
+    docs = frame(spark, [*wrapped, *filled, film])
+    got = by_id(licenses.report(docs.withColumn("hits", F.lit(1)).withColumn("k1", F.lit(2))))
+    for k, (label, _) in enumerate(licenses.NOTICES):
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1.0
+        assert not {name for name, _ in licenses.NOTICES} & set(got[k + len(wrapped)]["labels"].split(","))
+    assert got[2 * len(wrapped)]["labels"] == "" and got[2 * len(wrapped)]["score"] == 0.0
+
+
+def test_licenses_equal_all_runs_of_random_texts(spark):
+    draw = np.random.default_rng(7)
+    known = licenses.notices()
+    texts = []
+    for _ in range(60):  # words of one notice, some lost, some between
+        label, words, *_ = known[draw.integers(len(known))]
+        text = next(t for name, t in licenses.NOTICES if name == label).split()
+        some = [w for w in text if draw.random() < 0.9]
+        texts.append(" ".join(x for w in ["a"] * int(draw.integers(300)) + some + some[::-1] for x in ([w, "zz"] if draw.random() < 0.3 else [w])))
+    got = by_id(licenses.notice_blocks(licenses.cells(frame(spark, texts))).groupBy("k1", "k2").agg(F.collect_set("label").alias("labels")).join(
+        frame(spark, texts).select("doc_id", *licenses.keys()), ["k1", "k2"], "right").select("doc_id", "labels"))
+    found = 0
+    for k, text in enumerate(texts):
+        w = text.split()
+        want = {label for label, words, c, span in known if any(len(set(words) & set(w[i:i + span])) >= c for i in range(len(w)))}
+        assert set(got[k]["labels"] or []) == want
+        found += len(want)
+    assert 30 < found
+
+
 # --- 8: language -----------------------------------------------------------------------
 
 
