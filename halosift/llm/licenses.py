@@ -36,6 +36,7 @@ from halosift.llm.secrets import keys
 from halosift.llm.tables import pin
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # between words of any case
 PERCENT, SPAN = 80, 150
 CELL = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,14 +75,16 @@ def cells(docs: DataFrame) -> DataFrame:
     vocabulary = sorted({w for _, words, _, _ in known for w in words} | {w for p, _ in PHRASES for w in p.split()})
     reach = max(span for *_, span in known) - 1  # words behind the cell that a run may need
     assert reach >= max(len(p.split()) for p, _ in PHRASES) - 1
-    cut = docs.select("doc_id", *keys(), F.coalesce(
-        F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>")).alias("words"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP), "")  # as written: only known words are lower-cased
+    cut = docs.select("doc_id", *keys(), words.alias("words"))
     cut = cut.select("doc_id", "k1", "k2", "words", F.size("words").alias("n"))
 
     def own(k: Column) -> Column:
         last = F.least(k * CELL + CELL + reach, F.col("n")) - 1
-        places = F.filter(F.sequence(k * CELL, last), lambda i: F.get("words", i).isin(*vocabulary))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get("words", i).alias("w")))
+        # `lower` also turns some other letters into a-z; what it lets through is looked at again
+        places = F.filter(F.sequence(k * CELL, last), lambda i: F.lower(F.get("words", i)).isin(*vocabulary))
+        found = F.transform(places, lambda i: F.struct(i.alias("at"), F.translate(F.get("words", i), UPPER, LOWER).alias("w")))
+        return F.filter(found, lambda x: x["w"].isin(*vocabulary))
 
     first = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CELL).cast("int"))
     hits = F.when(F.col("n") > 0, F.transform(first, own)).otherwise(F.array(F.array().cast("array<struct<at:int,w:string>>")))

@@ -180,7 +180,8 @@ def test_secrets_match_plain_patterns(spark):
 LICENSES = [
     "apache license mit license cc by gnu general public license " * 2, "GNU General\n(Public) LICENSE", "CC-BY cc  by Permission denied", None, "", "license mit",
     "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the Software to deal in it",
-    "x\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.", "release under MIT", "ccby gnu general public", "word " * 5000 + "cc by",
+    "x\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.", "release under MIT", "ccby gnu general public", "word " * 5000 + "cc by", "--MIT license--", "M\u0130T license", "mit \u212a license by\u00c4 CC by\n",
+    "released under the m\u0131t license apache\u212a license",
     # over the border of a cell, at each place near it; a whole run of words repeated, also over cells
     *["word " * k + "released under the mit license" for k in (250, 252, 253, 254, 255, 256, 257)], "licensed under the apache license version 2 0 " * 100,
     *["x " * k + "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
