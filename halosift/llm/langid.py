@@ -1,6 +1,6 @@
 r"""Language identification of mixed texts.
 
-A word is a run of letters. The range of its first letter gives its script, and
+A word is a run of letters and of marks on them. The range of code points that its first letter is in gives its script, and
 only languages that were seen in that script are candidates (all, if none was).
 Every candidate scores a word by its character trigrams, borders included; a
 Viterbi search over the words of a text, with a penalty for each change of
@@ -19,6 +19,7 @@ columns, whatever their names, are handed through by `spans`.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,16 +37,74 @@ BUCKETS = 1 << BITS
 SWITCH = 14.0  # nats that a change of language costs
 SEEN_IN = 0.02  # least share of a language's letters in one of its scripts
 
-LETTERS = W.byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-
-# First bytes of UTF-8 by script: 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew,
-# 6 Arabic, 7 scripts of E0 and E1, 8 Han and kana, 9 Hangul, 10 others.
-SCRIPTS = 11
-_RANGES = [(0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD6, 4), (0xD7, 0xD7, 5),
-           (0xD8, 0xDB, 6), (0xDC, 0xDF, 10), (0xE0, 0xE1, 7), (0xE3, 0xE9, 8), (0xEA, 0xED, 9), (0xF0, 0xF4, 8)]
-SCRIPT = np.zeros(256, np.int64)
-for _a, _b, _s in _RANGES:
-    SCRIPT[_a:_b + 1] = _s
+# Ranges of code points by script, from the public block names.
+RANGES = {
+    "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)],
+    "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "armenian": [(0x530, 0x58F), (0xFB13, 0xFB17)],
+    "hebrew": [(0x590, 0x5FF), (0xFB1D, 0xFB4F)],
+    "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)],
+    "devanagari": [(0x900, 0x97F), (0xA8E0, 0xA8FF)],
+    "bengali": [(0x980, 0x9FF)],
+    "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)],
+    "oriya": [(0xB00, 0xB7F)],
+    "tamil": [(0xB80, 0xBFF)],
+    "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)],
+    "malayalam": [(0xD00, 0xD7F)],
+    "sinhala": [(0xD80, 0xDFF)],
+    "thai": [(0xE00, 0xE7F)],
+    "lao": [(0xE80, 0xEFF)],
+    "tibetan": [(0xF00, 0xFFF)],
+    "myanmar": [(0x1000, 0x109F)],
+    "georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)],
+    "ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF)],
+    "khmer": [(0x1780, 0x17FF)],
+    "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)],
+    "han": [(0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
+}
+SCRIPTS = len(RANGES) + 2  # 0: no letter; the last: letters of all other scripts
+
+_cache: dict[str, np.ndarray] = {}
+
+
+def script_table() -> np.ndarray:
+    """Script of every code point; letters and the marks written on them have one, all others 0."""
+    if "script" not in _cache:
+        table = np.zeros(0x110000, np.uint8)
+        low = 0x20000  # beyond it there are only letters, marks of variants and private places
+        table[:low] = [SCRIPTS - 1 if unicodedata.category(chr(c))[0] in "LM" else 0 for c in range(low)]
+        table[low:0x40000] = SCRIPTS - 1
+        for k, ranges in enumerate(RANGES.values(), 1):
+            for a, b in ranges:
+                part = table[a:b + 1]
+                part[part > 0] = k
+        _cache["script"] = table
+    return _cache["script"]
+
+
+def script_of_bytes(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 the script of the code point it belongs to."""
+    table = script_table()
+    out = table[data]  # right for ASCII; the rest is set below
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    first = data[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = first & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        point[more] = (point[more] << 6) | (data[lead[more] + k] & 0x3F)
+    script = table[point]
+    out[lead] = script
+    for k in range(1, 4):
+        more = size > k
+        out[lead[more] + k] = script[more]
+    return out
 
 
 def _apart(t: W.Texts) -> W.Texts:
@@ -57,8 +116,9 @@ def _apart(t: W.Texts) -> W.Texts:
 def trigrams(t: W.Texts) -> tuple[W.Spans, np.ndarray, np.ndarray, np.ndarray]:
     """Words of rows that `_apart` made, buckets of their trigrams, where each word's begin, and scripts."""
     d = W.LOWER[t.data]
-    w = W.words(t, LETTERS)
-    inside = LETTERS[t.data]
+    script = script_of_bytes(t.data)
+    inside = script > 0
+    w = W.runs(t, inside)
     c = np.where(inside, d, 0x20).astype(np.uint64)
     one = np.concatenate([[np.uint64(0x20)], c[:-1]])
     two = np.concatenate([[np.uint64(0x20)], one[:-1]])
@@ -67,7 +127,7 @@ def trigrams(t: W.Texts) -> tuple[W.Spans, np.ndarray, np.ndarray, np.ndarray]:
     use = inside.copy()
     use[1:] |= inside[:-1]  # the space that ends a word counts
     begin = np.cumsum(use) - use
-    return w, (code[use] >> np.uint64(64 - BITS)).astype(np.int64), begin[w.start], SCRIPT[t.data[w.start]]
+    return w, (code[use] >> np.uint64(64 - BITS)).astype(np.int64), begin[w.start], script[w.start].astype(np.int64)
 
 
 def _counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,11 +103,15 @@ class Spans:
 
 def words(texts: Texts, inside: np.ndarray) -> Spans:
     """Maximal runs of the bytes ``inside`` says, never across rows."""
+    return runs(texts, inside[texts.data])
+
+
+def runs(texts: Texts, m: np.ndarray) -> Spans:
+    """Maximal runs of true flags ``m``, one for each byte, never across rows."""
     n = len(texts.data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return Spans(empty, empty, np.zeros(texts.rows + 1, np.int64))
-    m = inside[texts.data]
     cut = texts.at[(texts.at > 0) & (texts.at < n)]
     lead = m.copy()
     lead[1:] &= ~m[:-1]

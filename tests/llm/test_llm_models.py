@@ -247,6 +247,32 @@ def test_licenses_equal_all_runs_of_random_texts(spark):
 # --- 8: language -----------------------------------------------------------------------
 
 
+def test_scripts_and_words_by_code_points():
+    text = "Ti\u1ebfng Vi\u1ec7t\uff0c\u0e44\u0e17\u0e22 \u2014 \u0939\u093f\u0928\u094d\u0926\u0940 caf\u00e9 cafe\u0301 \u10e5\u10d0 \u6f22\u3001\u304b \U00020000 \U0001f600 a\u00d7b 7 \u16a0"
+    names = ["none", *langid.RANGES, "other"]
+    spans, _, _, script = langid.trigrams(langid._apart(next(langid.W.texts_of(pa.array([text])))))
+    data = (text + " ").encode()
+    got = [(data[a:e].decode(), names[s]) for a, e, s in zip(spans.start, spans.end, script)]
+    want = [("Ti\u1ebfng", "latin"), ("Vi\u1ec7t", "latin"), ("\u0e44\u0e17\u0e22", "thai"), ("\u0939\u093f\u0928\u094d\u0926\u0940", "devanagari"),
+            ("caf\u00e9", "latin"), ("cafe\u0301", "latin"), ("\u10e5\u10d0", "georgian"), ("\u6f22", "han"), ("\u304b", "kana"), ("\U00020000", "han"),
+            ("a", "latin"), ("b", "latin"), ("\u16a0", "other")]
+    assert got == want
+    every = "".join(chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000)  # each byte as its code point says
+    by_byte = langid.script_of_bytes(np.frombuffer(every.encode(), np.uint8))
+    by_point = np.repeat([langid.script_table()[ord(c)] for c in every], [len(c.encode()) for c in every])
+    assert (by_byte == by_point).all() and all(langid.script_table()[ord(c)] for c in every if c.isalpha())
+
+
+def test_language_by_script(spark):
+    own = {"vi": "ti\u1ebfng vi\u1ec7t \u0111\u01b0\u1ee3c vi\u1ebft", "th": "\u0e44\u0e17\u0e22 \u0e04\u0e27\u0e32\u0e21", "hi": "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e"}
+    rows = [(k, text, lang) for k, (lang, text) in enumerate(own.items())]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    texts = ["\u1ebf\u1ec7\u1ee3", "\u0e01\uff0c\u0e02", "\u0915\u2014\u0916", "\u2014\uff0c\u00d7", "\u3002"]
+    found, name = langid.spans(frame(spark, texts), model)
+    got = [r[0] for r in found.orderBy("doc_id").select(f"{name}.lang").collect()]
+    assert got == ["vi", "th", "hi", "und", "und"]
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     both = langid.report(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
