@@ -111,3 +111,29 @@ def test_multipliers_do_not_depend_on_how_pairs_are_cut(monkeypatch):
     assert np.allclose(whole, each, atol=1e-12)
     monkeypatch.setattr(deeplift, "PAIRS_AT_ONCE", 4)
     assert np.allclose(deeplift.attribute(net, params, x, base, 2), whole, atol=1e-12)
+
+
+def test_dense_net_is_that_of_plain_layers():
+    """The short way of nets without convolutions against the layers one by one."""
+    rng, net = np.random.default_rng(5), dense_net(5, 3, (6, 4))
+    params, x, y = net.initial(2) + rng.normal(0, 0.1, net.n_params), rng.normal(size=(50, 5)), rng.integers(0, 3, 50)
+    inputs, p = net._run(params, x)
+    got, grad = net.gradient(params, x, y)
+    assert np.allclose(got, p, atol=1e-14) and np.allclose(net.predict(params, x), p, atol=1e-14)
+    want, d = np.zeros_like(params), p.copy()
+    d[np.arange(50), y] -= 1.0
+    d = (d / 50).reshape(50, 1, 1, -1)
+    for k, layer in reversed(list(enumerate(net.dense_layers))):
+        d = layer.backward(params, inputs[layer.name], d, want)
+        d = d * (inputs[layer.name] > 0) if k else d
+    assert np.allclose(grad, want, atol=1e-14)
+
+
+def test_moments_without_gradient_become_zero():
+    """They would stay near 5e-324 for ever, where a step takes four times as long."""
+    state = Adam.begin(np.ones(3))
+    state.step(np.array([1.0, 0.0, 0.5]))
+    for _ in range(9000):
+        state.step(np.array([0.0, 0.0, 0.5]))
+    assert state.first[0] == 0.0 and state.first[1] == 0.0 and state.first[2] == pytest.approx(0.5)
+    assert np.abs(state.first[state.first != 0]).min() > 1e-300
