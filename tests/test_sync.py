@@ -163,6 +163,32 @@ def test_equal_rows_and_keys_are_all_trained_on(data):
     assert sorted(r["position"] for r in rows) == list(range(7))
 
 
+@pytest.mark.parametrize("wide, shuffle", [(1 << 18, True), (1, False)])
+def test_rows_that_stream_by_train_as_held_ones(data, spark, tmp_path, monkeypatch, wide, shuffle):
+    """In segments one after another or as one job a step; several nets, early end of one, the last batch not full."""
+    models = [sync.Model("all", dense_net(4, 3, (5,)), 3), sync.Model("two", dense_net(2, 3, (4,)), 2, columns=(2, 0))]
+    held, streamed = RunStore(spark, str(tmp_path / "a")), RunStore(spark, str(tmp_path / "b"))
+    want = sync.fit(parts(data, 1), models, held, 1, batch_rows=30, shuffle=shuffle)
+    for name, value in (("HELD_AT_MOST", 0), ("SEGMENT_ROWS", 100), ("FILE_ROWS", 25), ("WIDE_BATCH", wide)):
+        monkeypatch.setattr(sync, name, value)
+    monkeypatch.setattr(sync, "_Shard", None)  # nothing is held
+    got = sync.fit(parts(data, 1), models, streamed, 1, batch_rows=30, shuffle=shuffle)
+    for m in models:
+        assert got[m.run].epochs == want[m.run].epochs and np.allclose(got[m.run].params, want[m.run].params, atol=1e-9)
+        assert np.allclose(streamed.state(m.run)["vector"], held.state(m.run)["vector"], atol=1e-9)
+        for a, b in zip(history(streamed, m.run), history(held, m.run)):
+            assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], atol=1e-9)
+
+
+def test_a_large_batch_is_taken_in_parts():
+    rng, net = np.random.default_rng(2), dense_net(4, 3, (5,))
+    x, y, params = rng.normal(size=(40000, 4)), rng.integers(0, 3, 40000), net.initial(1)
+    seen = training.MetricSums(3)
+    p, grad = net.gradient(params, x, y)
+    assert np.allclose(sync._add_gradient(net, params, x, y, seen) / len(y), grad, atol=1e-12)
+    assert np.allclose(seen.flush(), training.metric_sums(p, y))
+
+
 # --- row order -------------------------------------------------------------------------
 
 
