@@ -204,6 +204,20 @@ def test_rows_of_files_are_numbered_as_they_stand(spark, tmp_path):
     assert first.count() == 56 and {r["v"] for r in last.collect()} == {*range(100, 114), 200}
 
 
+def test_rows_of_one_file_are_not_sent_to_one_task(spark, tmp_path):
+    """However small a table must be to be broadcast by itself: the starts of the files always are."""
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = order.in_file_order(spark.read.parquet(str(tmp_path / "t")))
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r["id"] for r in numbered.orderBy(order.POSITION).collect()] == list(range(100))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_numbers_in_order_of_a_column(spark):
     df = spark.range(0, 1000).select(F.col("id"), (F.col("id") % 7).alias("k")).repartition(5)
     rows = order.in_order_of(df, [F.col("k"), -F.col("id")], ranges=4).orderBy(order.POSITION).collect()
