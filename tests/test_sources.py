@@ -1,6 +1,7 @@
 """Ingest: headers, missing texts, types, appended columns, lineage, pushdown, runs."""
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from halosift.operators import cuts
 from halosift.sources import tables
@@ -172,6 +173,17 @@ def test_header_lines_and_file_names_of_all_kinds(spark, tmp_path):
     assert tables.file_layouts(spark, []) == {}
 
 
+def test_headers_are_found_without_sorting_the_lines(spark, tmp_path, monkeypatch):
+    """A first part of a file has as many lines as fit in a block: no aggregate by file may sort them, or keep them."""
+    (tmp_path / "h").mkdir()
+    for n in range(3):
+        write(tmp_path / "h" / f"{n}.csv", "\n\nsample,event\n" + "METPD,1\n" * 25000)
+    monkeypatch.setattr(DataFrame, "groupBy", lambda *a: pytest.fail("lines are aggregated"))
+    layouts = tables.file_layouts(spark, [str(tmp_path / "h" / "[02].csv"), str(tmp_path / "h")])
+    files = layouts.pop(("sample", "event"))
+    assert [f.rpartition("/")[2] for f in files] == ["0.csv", "2.csv", "1.csv"] and not layouts
+
+
 def test_too_many_headers_are_refused(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "LAYOUTS_AT_MOST", 2)
     for k in range(3):
