@@ -4,9 +4,9 @@ A document's set is its distinct shingles of ``WORDS`` words, as 64-bit
 hashes. Documents with equal sets form one class at once; the rest works on
 classes. A signature holds ``COORDINATES`` minwise tokens of the set. Each of
 ``TREES`` trees sends a class to the node named by one of its minwise tokens;
-a node of more than ``SMALL`` classes is branched again by two tokens, chosen
-by the path that leads there, and so on; nodes of at most ``SMALL`` classes
-are compared exhaustively. A pair at the threshold meets in one tree with a
+a node of more than ``SMALL`` classes, or of more than ``WEIGHT`` shingles in
+all its sets, is branched again by two tokens, chosen by the path that leads
+there, and so on; smaller nodes are compared exhaustively. A pair at the threshold meets in one tree with a
 probability of about 0.75 or more, so ten independent trees miss it about once
 in a million times, and the comparison of signatures about once in a hundred
 thousand times. Every link is confirmed on full sets.
@@ -43,6 +43,11 @@ COORDINATES, TREES, SMALL = 64, 10, 8192
 #: Fewest equal coordinates of a pair that is confirmed on full sets; 32 of 64 is four and
 #: a half standard deviations below what a pair at the threshold has.
 AGREEING = 32
+#: Shingles (8 bytes each) in the sets of a node that one task compares; in a heavier node pivots are compared,
+#: pair by pair. Two classes make no node heavy beyond their own sets, since all its classes are pivots then.
+WEIGHT = 1 << 23
+#: Shingles of sets that a set is compared with at once.
+AT_ONCE = 1 << 20
 #: The name of a set, of the columns of its marks.
 NAME = "xxhash64(hi, lo, n)"
 #: At most so many ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
@@ -138,6 +143,16 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
 
 
+def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some rows one after another, and where each begins."""
+    every, size = [], []
+    for chunk in column.chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, 4 * chunk.offset)
+        every.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.uint64))
+        size.append(np.diff(at) // 8)
+    return np.concatenate(every), np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)])
+
+
 def _with_partner(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (node, id, label, sig): the rows with a partner in their node worth confirming."""
     for table in _runs(stream):
@@ -169,11 +184,9 @@ def shared(one: np.ndarray, every: np.ndarray, at: np.ndarray, which: np.ndarray
 
 
 def _confirm(percent: int):
-    def node(label: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """Links (i, j) that join different labels. What is connected already is not compared again."""
-        own = label.copy()
-        every, size = np.concatenate(sets), np.array([len(x) for x in sets])
-        at = np.concatenate([[0], np.cumsum(size)])
+    def node(label: np.ndarray, sig: np.ndarray, every: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links (i, j) that join different labels; set i is every[at[i]:at[i+1]]. What is connected already is not compared again."""
+        own, size = label.copy(), np.diff(at)
         for i in range(len(own) - 1):
             equal = (sig[i + 1:] == sig[i]).sum(axis=1)
             big, less = np.maximum(size[i + 1:], size[i]), np.minimum(size[i + 1:], size[i])
@@ -181,8 +194,9 @@ def _confirm(percent: int):
             j = j[np.argsort(-equal[j], kind="stable")] + i + 1
             step = 2
             while len(j):
-                now, j = j[:step], j[step:]
-                both = shared(sets[i], every, at, now)
+                take = max(1, min(step, int(np.searchsorted(np.cumsum(size[j[:step]]), AT_ONCE, "right"))))
+                now, j = j[:take], j[take:]
+                both = shared(every[at[i]:at[i + 1]], every, at, now)
                 for k in now[100 * both >= percent * (size[i] + size[now] - both)].tolist():
                     if own[k] != own[i]:
                         x, y = max(own[k], own[i]), min(own[k], own[i])
@@ -195,12 +209,10 @@ def _confirm(percent: int):
         """Of (node, id, label, sig, shingles): links that join different labels."""
         for table in _runs(stream):
             ids, label, sig = table["id"].to_numpy(), table["label"].to_numpy(), _signatures(table["sig"])
-            raw = table["shingles"].combine_chunks()
             left, right = [], []
             for a, b in _groups(table):
                 if b - a > 1:
-                    sets = [np.frombuffer(x.as_py(), np.uint64) for x in raw[a:b]]
-                    for i, j in node(label[a:b], sig[a:b], sets):
+                    for i, j in node(label[a:b], sig[a:b], *_sets(table["shingles"].slice(a, b - a))):
                         left.append(ids[a + i])
                         right.append(ids[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -220,10 +232,10 @@ def _confirm_pairs(percent: int):
 class Join:
     """One run of the join over the classes of some documents."""
 
-    def __init__(self, docs: DataFrame, size: int, percent: int, trees: int, small: int):
+    def __init__(self, docs: DataFrame, size: int, percent: int, trees: int, small: int, weight: int):
         self.texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
         self.spark, self.parts = docs.sparkSession, spread(docs)
-        self.size, self.percent, self.trees, self.small = size, percent, trees, small
+        self.size, self.percent, self.trees, self.small, self.weight = size, percent, trees, small, weight
         marked = add_struct(self.texts, "m", MARKS, _marks(size), {"text": "text"}).select("id", "m.*")
         self.marks = pin(marked)
         own = self.marks.filter("n > 0 AND id IS NOT NULL")
@@ -240,10 +252,12 @@ class Join:
         return self.spark.createDataFrame([], "id bigint, label bigint")
 
     def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows (node, id, name, sig) of nodes that hold more than one label, with label and size of node."""
+        """Rows (node, id, name, n, sig) of nodes that hold more than one label, with label and whether the node is large."""
         rows = rows.join(self.labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        return pin(rows.join(nodes.select("node", "size"), "node").select("node", "id", "name", "label", "sig", "size"))
+        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        large = (F.col("size") > self.small) | (F.col("weight") > self.weight)
+        return pin(rows.join(nodes.filter("lo < hi").select("node", large.alias("large")), "node")
+                   .select("node", "id", "name", "n", "label", "sig", "large"))
 
     def _with_sets(self, rows: DataFrame, *classes: str) -> DataFrame:
         """``rows`` with the full sets of the classes (structs of id and name) in these columns, as set_<column>."""
@@ -277,7 +291,7 @@ class Join:
         close = pin(rows.mapInArrow(_with_partner, rows.schema))
         full = self._with_sets(close.withColumn("own", F.struct("id", "name")), "own")
         full = full.select("node", "id", "name", "label", "sig", F.col("set_own").alias("shingles"))
-        return pin(self._by_node(full).mapInArrow(_confirm(self.percent), "a bigint, b bigint"))
+        return self._by_node(full).mapInArrow(_confirm(self.percent), "a bigint, b bigint")
 
     def _pivots(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         """Links of large nodes with their pivots; and the pivots (node, name)."""
@@ -291,30 +305,30 @@ class Join:
         one, two = F.struct("id", "name"), F.struct(F.col("p.id").alias("id"), F.col("p.name").alias("name"))
         pairs = pairs.filter(equal >= AGREEING).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
         full = self._with_sets(pin(pairs), "a", "b").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "set_a", "set_b")
-        return pin(full.mapInArrow(_confirm_pairs(self.percent), "a bigint, b bigint")), picked.select("node", "p.name")
+        return full.mapInArrow(_confirm_pairs(self.percent), "a bigint, b bigint"), picked.select("node", "p.name")
 
     def _learn(self, *links: DataFrame) -> None:
         for more in links:
             self.links = self.links.unionByName(more)
-        self.links = pin(self.links)
+        self.links = pin(self.links.distinct())  # its exchange makes few files of many tasks' few links
         self.labels = components(self.links)
 
     def roots(self, trees: range) -> DataFrame:
         node = F.xxhash64(F.lit("root"), F.col("tree"), F.element_at("sig", F.col("tree") + 1))
-        rows = self.classes.select("id", "name", "sig", F.explode(F.lit(list(trees))).alias("tree"))
-        return rows.select(node.alias("node"), "id", "name", "sig")
+        rows = self.classes.select("id", "name", "n", "sig", F.explode(F.lit(list(trees))).alias("tree"))
+        return rows.select(node.alias("node"), "id", "name", "n", "sig")
 
     def _children(self, rows: DataFrame) -> DataFrame:
         one = F.pmod(F.xxhash64("node", F.lit("one")), F.lit(COORDINATES))
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit("two")), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
         child = lambda c: F.xxhash64("node", c, F.element_at("sig", (c + 1).cast("int")))
-        return rows.select(F.explode(F.array(child(one), child(two))).alias("node"), "id", "name", "sig")
+        return rows.select(F.explode(F.array(child(one), child(two))).alias("node"), "id", "name", "n", "sig")
 
     def _descend(self, rows: DataFrame, levels: int | None) -> None:
         level = 0
         while True:
             live = self._live(rows)
-            little, large = live.filter(F.col("size") <= self.small), live.filter(F.col("size") > self.small)
+            little, large = live.filter("NOT large"), live.filter("large")
             if live.isEmpty():
                 return
             found = [self._small(little)]
@@ -337,9 +351,9 @@ class Join:
 
 
 def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, trees: int = TREES,
-         small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+         small: int = SMALL, weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
     """Marks (id, n, ...) of all rows, and (id, label) of the ids with a link."""
-    join = Join(docs, size, percent, trees, small)
+    join = Join(docs, size, percent, trees, small, weight)
     return join.marks, join.run()
 
 

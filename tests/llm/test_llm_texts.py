@@ -179,6 +179,31 @@ def test_near_matches_all_pairs(spark, small):
     assert [tuple(got[k])[1:] for k in range(len(texts))] == plain_near(texts)
 
 
+@pytest.mark.parametrize("weight", [1500, 100])
+def test_near_compares_no_more_sets_at_once_than_their_bound(spark, monkeypatch, weight):
+    """Long texts that all share a passage, and near copies of them: few classes, many shingles."""
+    confirm, passage = near._confirm, prose(78, 150)
+
+    def bounded(percent):
+        run = confirm(percent)
+
+        def watched(stream):
+            def batches():
+                for batch in stream:
+                    of = {}
+                    for node, raw in zip(batch.column(0).to_pylist(), batch.column("shingles").to_pylist()):
+                        of[node] = of.get(node, 0) + len(raw) // 8
+                    assert max(of.values(), default=0) <= weight
+                    yield batch
+            return run(batches())
+        return watched
+
+    monkeypatch.setattr(near, "_confirm", bounded)
+    texts = [edited(f"{passage} {prose(400 + k // 4, 60)}", 900 + k, 0.015 * (k % 4)) for k in range(24)]
+    got = by_id(near.report(frame(spark, texts), weight=weight))
+    assert [tuple(got[k])[1:] for k in range(len(texts))] == plain_near(texts)
+
+
 def test_near_stage_keeps_one_of_each_group(spark):
     texts = [prose(1), prose(2), prose(1), None, None, "", "short"]
     df = frame(spark, texts)
@@ -187,6 +212,17 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert near.report(df.limit(0)).count() == 0
 
 
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    near.link(frame(spark, [prose(1)]))
+    rows = spark.range(0, 40, 1, 1).selectExpr("repeat('abcdefgh', 131072) AS text")
+
+    def sizes(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    assert max(r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()) <= 17
+
+
 def test_near_bears_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, prose(1)), (None, prose(1)), (4, prose(1)), (4, prose(1)), (4, prose(2)), (9, prose(2))], "doc_id int, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near.report(df).collect())
