@@ -11,8 +11,9 @@ way back. Whether two pieces agree is worked out once for each pair that turns u
 
 Texts are cut where no piece can reach across: before a run of spaces, and
 around characters that only occur alone. Equal parts are encoded once in each
-batch, and parts of equal length advance together: hashes of all their
-substrings probe the sorted keys of the pieces.
+batch, and what a task encoded before is looked up by the hash of its bytes.
+Parts of like length advance together: hashes of all their substrings probe
+the sorted keys of the pieces.
 
 A part of more than ``LONG`` code points (a text without spaces, of any length)
 becomes windows that overlap, and these advance together too. Two windows are
@@ -32,8 +33,7 @@ handed through by `encode` and `decode`.
 from __future__ import annotations
 
 import hashlib
-from collections import ChainMap
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ CODES = 1 << 18  # code points of parts that advance together
 TRIES = 4  # borders tried before a part is searched as a whole
 LONG, SPAN, LAP = 512, 256, 64  # longer parts are encoded in windows of SPAN, LAP of them shared with the next
 EQUAL = 24  # longer parts are padded to a length of four significant bits
-KEEP = 200_000  # parts a task remembers before it starts anew
+KEEP = 1_000_000  # parts a task remembers, in some 45 bytes each, before it starts anew
 SEEN_BITS, PAIR_BITS = 20, 20
 
 
@@ -73,6 +73,48 @@ def _places(text: str) -> range:
     return range(0, len(text) - LAP, SPAN - LAP) if len(text) > LONG else range(1)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _string(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every range, one range after another."""
+    total = np.cumsum(size)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+class Remembered:
+    """Ids of parts by the hash of their bytes. Iteration gives the ids of each part."""
+
+    def __init__(self):
+        self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self.ids[a:b] for a, b in zip(self.at[:-1], self.at[1:]))
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Row of each part, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.row[at], -1)
+
+    def add(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Parts that are not there yet, by ascending hash."""
+        if len(self.key) + len(key) > KEEP:
+            self.__init__()
+        key, size, place = key[:KEEP], size[:KEEP], np.searchsorted(self.key, key[:KEEP])
+        rows = np.arange(len(self.key), len(self.key) + len(key), dtype=np.int32)
+        self.key, self.row = np.insert(self.key, place, key), np.insert(self.row, place, rows)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, ids[:size.sum()]])
+
+
 class Pieces:
     """The pieces with what encoding and decoding look up."""
 
@@ -117,7 +159,7 @@ class Pieces:
         self.known = np.full(1 << PAIR_BITS, -1, np.int64)
         self.agrees = np.zeros(1 << PAIR_BITS, bool)
         self.alone = {c for c in "\n\t\r" if c not in inner}
-        self.done: dict[str, np.ndarray] = {}
+        self.done = Remembered()
 
     @staticmethod
     def key(h: np.ndarray, length: int) -> np.ndarray:
@@ -191,10 +233,10 @@ class Pieces:
             self.agrees[slot[new[first]]] = verdict
         return out
 
-    def search(self, codes: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    def search(self, codes: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encodings, as symbols, of parts of like length: a row of code points each, padded at its end.
 
-        A row of symbols for each, and where it begins.
+        A row of symbols for each, at its end, and how many they are.
         """
         rows, n = codes.shape
         h = np.zeros((n + 1, rows), np.uint64)
@@ -231,24 +273,37 @@ class Pieces:
             out[live, n - 1 - k] = last[at[live], live]
             at[live] -= step[at[live], live]
             used[live] += 1
-        return out, (n - used).tolist()
-
-    def symbols(self, texts: set[str]) -> dict[str, np.ndarray]:
-        """Encodings, as symbols, of texts; those of like length advance together."""
-        by_length: dict[int, list[str]] = {}
-        for t in texts:
-            n = len(t)
-            grain = 1 << max(0, n.bit_length() - 4)
-            by_length.setdefault(n if n <= EQUAL else -(-n // grain) * grain, []).append(t)
-        out = {}
-        for n, own in by_length.items():
-            for k in range(0, len(own), max(1, CODES // n)):
-                some = own[k:k + max(1, CODES // n)]
-                lens = np.array([len(t) for t in some])
-                codes = np.frombuffer("".join(t.ljust(n, "\0") for t in some).encode("utf-32-le", "surrogatepass"), np.uint32)
-                rows, at = self.search(codes.reshape(len(some), n), lens)
-                out.update((t, row[i:].copy()) for t, row, i in zip(some, rows, at))
-        return out
+        return out, used
+
+    def symbols(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodings, as symbols, of the parts codes[at[i]:at[i+1]], one after another, and the size of each.
+
+        Parts of like length advance together.
+        """
+        lens = np.diff(at)
+        grain = 1 << np.maximum(np.frexp(lens)[1].astype(np.int64) - 4, 0)
+        padded = np.where(lens <= EQUAL, lens, -(-lens // grain) * grain)
+        order = np.argsort(padded, kind="stable")
+        cut = np.flatnonzero(np.diff(padded[order], prepend=-1, append=-1))
+        size, found = np.zeros(len(lens), np.int64), []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            n = int(padded[order[a]])
+            for k in range(a, b, max(1, CODES // n)):
+                some = order[k:min(b, k + max(1, CODES // n))]
+                inside = np.arange(n) < lens[some, None]
+                block = np.zeros(inside.shape, np.uint32)
+                block[inside] = codes[_ranges(at[some], lens[some])]
+                rows, size[some] = self.search(block, lens[some])
+                found.append(rows[np.arange(n) >= n - size[some, None]])
+        begin = np.empty(len(lens), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([*found, np.zeros(0, np.int32)])[_ranges(begin, size)], size
+
+    def windows(self, texts: set[str]) -> dict[str, np.ndarray]:
+        """Encodings, as symbols, of texts."""
+        own = list(texts)
+        flat, size = self.symbols(_codes("".join(own)), np.cumsum([0, *map(len, own)]))
+        return dict(zip(own, np.split(flat, np.cumsum(size)[:-1])))
 
     def joined(self, text: str, windows: dict[str, np.ndarray]) -> np.ndarray:
         """Symbols of a long part from those of its windows."""
@@ -268,28 +323,40 @@ class Pieces:
             for i in np.flatnonzero((ends >= at) & (ends < at + LAP))[:TRIES]:
                 own = text[ends[i]:ends[i] + SPAN]
                 if own not in windows:
-                    windows |= self.symbols({own})
+                    windows |= self.windows({own})
                 if self.agree(last[i:i + 1], windows[own][:1])[0]:
                     done.append(last[:i + 1])
                     last, last_at = windows[own], int(ends[i])
                     break
             else:
-                return self.symbols({text})[text]
+                return self.windows({text})[text]
         return np.concatenate([*done, last])
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """Code points of symbols."""
         return np.where(symbols == self.unknown, 1, self.length[symbols])
 
-    def parts(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """Piece ids of parts of texts, and more. What was encoded before is remembered, up to ``KEEP`` parts, long ones not."""
-        if len(self.done) > KEEP:
-            self.done = {}
-        new = [t for t in texts if t not in self.done]
-        found = self.symbols({t[k:k + SPAN] if len(t) > LONG else t for t in new for k in _places(t)})
-        self.done.update((t, self.spell(t, found[t])) for t in new if len(t) <= LONG)
-        long = {t: self.spell(t, self.joined(t, found)) for t in new if len(t) > LONG}
-        return ChainMap(long, self.done) if long else self.done
+    def parts(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts codes[at[i]:at[i+1]], one after another, and the size of each."""
+        lens = np.diff(at)
+        long = np.flatnonzero(lens > LONG)
+        texts = {i: _string(codes[at[i]:at[i + 1]]) for i in long.tolist()}
+        found = self.windows({t[k:k + SPAN] for t in texts.values() for k in _places(t)}) if texts else {}
+        other = {i: self.spell(t, self.joined(t, found)) for i, t in texts.items()}
+        short = np.flatnonzero(lens <= LONG)
+        size = np.zeros(len(lens), np.int64)
+        begin = np.cumsum(lens[short]) - lens[short]
+        flat, size[short] = self.symbols(codes[_ranges(at[short], lens[short])] if len(long) else codes, np.append(begin, lens[short].sum()))
+        end = np.cumsum(size)
+        for i in np.unique(np.searchsorted(end, np.flatnonzero(flat >= len(self.table)), "right")).tolist():
+            other[i] = self.spell(_string(codes[at[i]:at[i + 1]]), flat[end[i] - size[i]:end[i]])
+        chunks, last = [], 0
+        for i in sorted(other):
+            chunks += [flat[last:end[i] - size[i]], other[i]]
+            last = end[i]
+        for i, ids in other.items():
+            size[i] = len(ids)
+        return np.concatenate([*chunks, flat[last:]]), size
 
     def spell(self, text: str, symbols: np.ndarray) -> np.ndarray:
         """Ids for symbols; characters without a piece become bytes."""
@@ -305,6 +372,19 @@ class Pieces:
                 at += len(self.text[s])
         return np.array(ids, np.int32)
 
+    @staticmethod
+    def read(data: np.ndarray, first: np.ndarray, end: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the spans data[first:end], with word marks for spaces and before those that lead, and where each begins."""
+        raw = data[_ranges(first, end - first)]
+        inner = _codes(raw.tobytes().decode("utf-8", "surrogatepass"))
+        whole = np.concatenate([[0], np.cumsum(W.FIRST_BYTE[raw])])
+        at = np.concatenate([[0], np.cumsum(np.diff(whole[np.append(0, np.cumsum(end - first))]) + leads)])
+        own = np.ones(at[-1], bool)
+        own[at[:-1][leads]] = False
+        codes = np.full(at[-1], ord(MARK), np.uint32)
+        codes[own] = np.where(inner == 0x20, ord(MARK), inner)
+        return codes, at
+
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of every row."""
         out = []
@@ -325,18 +405,20 @@ class Pieces:
             leads[np.searchsorted(first, filled)] = True
             h = W.span_hashes(d, first, end)
             h[leads] = W.mix(h[leads] ^ np.uint64(0x5851F42D4C957F2D))
-            _, one, back = np.unique(h, return_index=True, return_inverse=True)
-            raw = d.tobytes()
-            texts = [(MARK if leads[i] else "") + raw[first[i]:end[i]].decode("utf-8", "surrogatepass").replace(" ", MARK) for i in one.tolist()]
-            ids = self.parts(list(dict.fromkeys(texts)))
-            own = [ids[x] for x in texts]
-            size = np.array([len(x) for x in own], np.int64)
-            begin = np.concatenate([[0], np.cumsum(size)])
-            every = np.concatenate(own) if own else np.zeros(0, np.int32)
+            key, one, back = np.unique(h, return_index=True, return_inverse=True)
+            row = self.done.find(key)
+            new, old = np.flatnonzero(row < 0), np.flatnonzero(row >= 0)
+            size, begin = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            begin[old], size[old] = self.done.at[row[old]], self.done.at[row[old] + 1] - self.done.at[row[old]]
+            codes, at = self.read(d, first[one[new]], end[one[new]], leads[one[new]])
+            ids, size[new] = self.parts(codes, at)
+            begin[new] = len(self.done.ids) + np.cumsum(size[new]) - size[new]
+            every = np.concatenate([self.done.ids, ids])
+            short = np.diff(at) <= LONG
+            self.done.add(key[new[short]], ids[np.repeat(short, size[new])], size[new[short]])
             lens = size[back]
             total = np.concatenate([[0], np.cumsum(lens)])
-            places = np.repeat(begin[back] - total[:-1], lens) + np.arange(total[-1])
-            flat = every[places]
+            flat = every[_ranges(begin[back], lens)]
             cut = total[np.searchsorted(first, t.at)]
             out += [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
         return out

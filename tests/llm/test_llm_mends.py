@@ -167,6 +167,26 @@ def test_long_parts_without_spaces_are_joined_from_windows():
     assert time.process_time() - begun < 15 and not any(len(t) > pieces.LONG for t in own.done)
 
 
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the vocabulary file is not here")
+def test_parts_of_a_task_are_searched_once(monkeypatch):
+    """A quarter of a million different words, then all again; and with room for few of them."""
+    own, other = pieces.Pieces(pieces.load()), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [" ".join(f"{'É日x'[k % 3]}{n:05x}" for n in range(k, k + 25_000)) for k in range(0, 250_000, 25_000)]
+    texts += ["x" * 600, "\n", " a  b", "", None]
+    expected = [other.encode(t or "") for t in texts]
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == expected
+    with monkeypatch.context() as m:
+        m.setattr(own, "windows", None)
+        m.setattr(own, "search", None)
+        assert [x.tolist() for x in own.encode(pa.array(texts[:10]))] == expected[:10]
+    monkeypatch.setattr(pieces, "KEEP", 1000)
+    few = pieces.Pieces(own.table)
+    for t, ids in zip(texts[:2] + texts[10:], expected[:2] + expected[10:]):
+        for part in (t, t and t[:9000], t):
+            assert few.encode(pa.array([part], pa.string()))[0].tolist() == (ids if part == t else other.encode(part))
+        assert len(list(few.done)) <= 1000
+
+
 def test_long_parts_without_a_common_border_are_searched_whole(monkeypatch):
     table = [("<unk>", 0.0, "other"), *[(t, s, "normal") for t, s in [("a", -9.0), ("b", -8.0), ("aa", -1.0), ("▁", -7.0), ("aaaa", -2.0)]]]
     own = pieces.Pieces(table)
