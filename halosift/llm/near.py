@@ -27,6 +27,7 @@ result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from halosift.llm import words as W
 from halosift.llm.batches import add_struct
-from halosift.llm.graph import components
-from halosift.llm.tables import pin, spread
+from halosift.llm.graph import stars, tidy
+from halosift.llm.tables import fitted, pin, spread
 
 WORDS, PERCENT = 5, 75
 COORDINATES, TREES, SMALL = 64, 10, 8192
@@ -52,6 +53,8 @@ AT_ONCE = 1 << 20
 NAME = "xxhash64(hi, lo, n)"
 #: At most so many ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 IDS_AT_MOST = 1_000_000
+#: Rows of a task where a table is only grouped. Where nodes are compared, rows are no measure of the work; they are dealt over all partitions.
+PER_TASK = 20_000
 
 MARKS = "n bigint, hi bigint, lo bigint, sig array<int>"
 
@@ -153,6 +156,12 @@ def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(every), np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)])
 
 
+def _equal(sig: np.ndarray, rest: np.ndarray, i: int) -> np.ndarray:
+    """In how many coordinates each of the rows ``rest`` (ascending) equals row i."""
+    some = sig[rest] if rest[-1] - rest[0] >= len(rest) else sig[rest[0]:rest[-1] + 1]
+    return np.bitwise_count(np.packbits(some == sig[i], axis=1).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
 def _with_partner(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (node, id, label, sig): the rows with a partner in their node worth confirming."""
     for table in _runs(stream):
@@ -160,10 +169,10 @@ def _with_partner(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(len(label), bool)
         for a, b in _groups(table):
             for i in range(a, b - 1):
-                close = ((sig[i + 1:b] == sig[i]).sum(axis=1) >= AGREEING) & (label[i + 1:b] != label[i])
-                if close.any():
-                    keep[i] = True
-                    keep[i + 1:b] |= close
+                other = label[i + 1:b] != label[i]
+                rest = np.flatnonzero(other & ~keep[i + 1:b] if keep[i] else other) + i + 1  # two rows that stay already need no look
+                if len(rest) and len(close := rest[_equal(sig, rest, i) >= AGREEING]):
+                    keep[i] = keep[close] = True
         yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
@@ -188,10 +197,13 @@ def _confirm(percent: int):
         """Links (i, j) that join different labels; set i is every[at[i]:at[i+1]]. What is connected already is not compared again."""
         own, size = label.copy(), np.diff(at)
         for i in range(len(own) - 1):
-            equal = (sig[i + 1:] == sig[i]).sum(axis=1)
             big, less = np.maximum(size[i + 1:], size[i]), np.minimum(size[i + 1:], size[i])
-            j = np.flatnonzero((equal >= AGREEING) & (own[i + 1:] != own[i]) & (100 * less >= percent * big))
-            j = j[np.argsort(-equal[j], kind="stable")] + i + 1
+            j = np.flatnonzero((own[i + 1:] != own[i]) & (100 * less >= percent * big)) + i + 1
+            if not len(j):
+                continue
+            equal = _equal(sig, j, i)
+            j, equal = j[equal >= AGREEING], equal[equal >= AGREEING]
+            j = j[np.argsort(-equal, kind="stable")]
             step = 2
             while len(j):
                 take = max(1, min(step, int(np.searchsorted(np.cumsum(size[j[:step]]), AT_ONCE, "right"))))
@@ -229,6 +241,11 @@ def _confirm_pairs(percent: int):
     return run
 
 
+def _near(table: DataFrame, rows: int) -> DataFrame:
+    """A table to join with, broadcast if its rows are few."""
+    return F.broadcast(table) if rows <= IDS_AT_MOST // 4 else table
+
+
 class Join:
     """One run of the join over the classes of some documents."""
 
@@ -239,30 +256,42 @@ class Join:
         marked = add_struct(self.texts, "m", MARKS, _marks(size), {"text": "text"}).select("id", "m.*")
         self.marks = pin(marked)
         own = self.marks.filter("n > 0 AND id IS NOT NULL")
-        self.classes = pin(own.groupBy("hi", "lo", "n").agg(
-            F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("name", F.expr(NAME)))
-        #: A document of several sets (a repeated id) has one label and several classes, told apart by the set's
-        #: name; its sets are all compared.
-        self.links = pin(own.join(self.classes.filter("copies > 1").withColumnRenamed("id", "first"), ["hi", "lo", "n"])
-                         .select(F.col("id").alias("a"), F.col("first").alias("b")).filter("a > b").distinct())
-        self.labels = self._no_labels()
-        self.sets: DataFrame | None = None
-
-    def _no_labels(self) -> DataFrame:
-        return self.spark.createDataFrame([], "id bigint, label bigint")
-
-    def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows (node, id, name, n, sig) of nodes that hold more than one label, with label and whether the node is large."""
-        rows = rows.join(self.labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rows = own.count()
+        self.classes = pin(fitted(own.groupBy("hi", "lo", "n").agg(
+            F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("name", F.expr(NAME)), rows, PER_TASK))
+        self.count = self.classes.count()
+        of = self.classes.filter("copies > 1").select("hi", "lo", "n", F.col("id").alias("b"))
+        #: Documents whose set a smaller doc_id has. They need no other links, unless a document has several sets (a repeated id).
+        self.copies = tidy(own.select("hi", "lo", "n", F.col("id").alias("a")).join(_near(of, of.count()), ["hi", "lo", "n"]).select("a", "b"), rows)
+        #: Such a document has one label and several classes, told apart by the set's name; its sets are all compared.
+        firsts = fitted(self.classes.select(F.col("id").alias("a")).distinct(), self.count, PER_TASK)
+        several = self.copies.select("a").unionAll(firsts).groupBy("a").count().filter("count > 1").select("a")
+        several = pin(fitted(several, rows, PER_TASK))
+        self.links, self.labels, self.linked = [], None, 0
+        if found := several.count():
+            self._learn(self.copies.join(_near(several, found), "a", "left_semi"))
+
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        if not self.linked:
+            return rows.withColumn("label", F.col("id"))
+        return rows.join(_near(self.labels, self.linked), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def _live(self, rows: DataFrame, about: int) -> dict[bool, tuple[DataFrame, int]]:
+        """Rows (node, id, name, n, label, sig) of nodes that hold more than one label and their number; by whether the nodes are large."""
+        rows = self._labelled(rows)
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         large = (F.col("size") > self.small) | (F.col("weight") > self.weight)
-        return pin(rows.join(nodes.filter("lo < hi").select("node", large.alias("large")), "node")
-                   .select("node", "id", "name", "n", "label", "sig", "large"))
-
-    def _with_sets(self, rows: DataFrame, *classes: str) -> DataFrame:
-        """``rows`` with the full sets of the classes (structs of id and name) in these columns, as set_<column>."""
+        nodes = pin(fitted(nodes.filter("lo < hi").select("node", "size", large.alias("large")), about, PER_TASK))
+        live = {}
+        for kind, count, size in nodes.groupBy("large").agg(F.count("*"), F.sum("size")).collect():
+            chosen = nodes.filter("large" if kind else "NOT large").select("node")
+            live[kind] = rows.join(_near(chosen, count), "node").select("node", "id", "name", "n", "label", "sig"), size
+        return live
+
+    def _with_sets(self, rows: DataFrame, about: int, *classes: str) -> DataFrame:
+        """About so many ``rows`` with the full sets of the classes (structs of id and name) in these columns, as set_<column>."""
         wanted = rows.select(F.explode(F.array(*[F.col(f"{c}.id") for c in classes])).alias("id")).distinct()
-        wanted = pin(wanted)
+        wanted = pin(fitted(wanted, about, PER_TASK))
         few = wanted.count() <= IDS_AT_MOST
         texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
         size = self.size
@@ -276,7 +305,9 @@ class Join:
             return work
 
         made = add_struct(texts, "x", "s binary, n bigint, hi bigint, lo bigint", make, {"text": "text"}).select("x.*")
-        sets = pin(made.select(F.expr(NAME).alias("name"), "s").dropDuplicates(["name"]))  # an id may have several, and equal ones
+        sets = made.select(F.expr(NAME).alias("name"), "s").dropDuplicates(["name"])  # an id may have several, and equal ones
+        if len(classes) > 1:
+            sets = pin(sets)
         for c in classes:
             own = sets.select(F.col("name").alias("_name"), F.col("s").alias(f"set_{c}"))
             rows = rows.join(own, F.col(f"{c}.name") == F.col("_name")).drop("_name")
@@ -285,15 +316,15 @@ class Join:
     def _by_node(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(self.parts, "node").sortWithinPartitions("node", "id", "name")
 
-    def _small(self, rows: DataFrame) -> DataFrame:
+    def _small(self, rows: DataFrame, about: int) -> DataFrame:
         """Links within nodes that are small enough to compare exhaustively."""
         rows = self._by_node(rows.select("node", "id", "name", "label", "sig"))
         close = pin(rows.mapInArrow(_with_partner, rows.schema))
-        full = self._with_sets(close.withColumn("own", F.struct("id", "name")), "own")
+        full = self._with_sets(close.withColumn("own", F.struct("id", "name")), about, "own")
         full = full.select("node", "id", "name", "label", "sig", F.col("set_own").alias("shingles"))
         return self._by_node(full).mapInArrow(_confirm(self.percent), "a bigint, b bigint")
 
-    def _pivots(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    def _pivots(self, rows: DataFrame, about: int, level: int) -> tuple[DataFrame, DataFrame]:
         """Links of large nodes with their pivots; and the pivots (node, name)."""
         me = F.struct("id", "name", "label", "sig")
         draw = F.xxhash64("node", "id", F.lit(level))
@@ -304,14 +335,13 @@ class Join:
         equal = F.aggregate(F.zip_with("sig", "p.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
         one, two = F.struct("id", "name"), F.struct(F.col("p.id").alias("id"), F.col("p.name").alias("name"))
         pairs = pairs.filter(equal >= AGREEING).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
-        full = self._with_sets(pin(pairs), "a", "b").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "set_a", "set_b")
+        full = self._with_sets(pin(pairs), about, "a", "b").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "set_a", "set_b")
         return full.mapInArrow(_confirm_pairs(self.percent), "a bigint, b bigint"), picked.select("node", "p.name")
 
     def _learn(self, *links: DataFrame) -> None:
-        for more in links:
-            self.links = self.links.unionByName(more)
-        self.links = pin(self.links.distinct())  # its exchange makes few files of many tasks' few links
-        self.labels = components(self.links)
+        self.links = [tidy(reduce(DataFrame.unionByName, [*self.links, *links]), self.count)]  # its exchange makes few files of many tasks' few links
+        ends, self.linked = stars(self.links[0])
+        self.labels = ends.select(F.col("a").alias("id"), F.col("b").alias("label"))  # others are their own label
 
     def roots(self, trees: range) -> DataFrame:
         node = F.xxhash64(F.lit("root"), F.col("tree"), F.element_at("sig", F.col("tree") + 1))
@@ -324,37 +354,42 @@ class Join:
         child = lambda c: F.xxhash64("node", c, F.element_at("sig", (c + 1).cast("int")))
         return rows.select(F.explode(F.array(child(one), child(two))).alias("node"), "id", "name", "n", "sig")
 
-    def _descend(self, rows: DataFrame, levels: int | None) -> None:
+    def _descend(self, rows: DataFrame, about: int, levels: int | None) -> bool:
+        """Whether the levels were enough: then no pair of these trees needs another look."""
         level = 0
-        while True:
-            live = self._live(rows)
-            little, large = live.filter("NOT large"), live.filter("large")
-            if live.isEmpty():
-                return
-            found = [self._small(little)]
-            more = not large.isEmpty()
-            if more:
-                links, pivots = self._pivots(large, level)
+        while live := self._live(rows, about):
+            found = [self._small(*live[False])] if False in live else []
+            if True in live:
+                large, about = pin(live[True][0]), 2 * live[True][1]
+                links, pivots = self._pivots(large, about, level)
                 found.append(links)
             self._learn(*found)
             level += 1
-            if not more or level == levels:
-                return
+            if True not in live:
+                return True
+            if level == levels:
+                return False
             rows = self._children(large.join(pivots, ["node", "name"], "left_anti"))
+        return True
 
-    def run(self) -> DataFrame:
-        """(id, label) of every document with a link."""
-        self._learn()
-        self._descend(self.roots(range(1)), 1)  # the first tree finds most links and so saves the others most work
-        self._descend(self.roots(range(self.trees)), None)
-        return self.labels
+    def run(self) -> tuple[DataFrame, int]:
+        """(id, label) of every document with a link, and how many they are."""
+        done = self._descend(self.roots(range(1)), self.count, 1)  # the first tree finds most links and so saves the others most work
+        self._descend(self.roots(range(int(done), self.trees)), self.trees * self.count, None)
+        copies = self._labelled(self.copies.withColumnRenamed("b", "id"))
+        found = copies.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "label"), F.struct("id", "label"))).alias("x"))
+        if self.linked:
+            ends = F.array(F.struct("id", "label"), F.struct(F.col("label").alias("id"), "label"))
+            found = found.unionByName(self.labels.select(F.explode(ends).alias("x")))
+        labels = pin(fitted(found.select("x.*").groupBy("id").agg(F.min("label").alias("label")), self.count, PER_TASK))
+        return labels, labels.count()
 
 
 def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, trees: int = TREES,
          small: int = SMALL, weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
-    """Marks (id, n, ...) of all rows, and (id, label) of the ids with a link."""
+    """Marks (id, n, ...) of all rows, and (id, label) of the ids with a link, broadcast if they are few."""
     join = Join(docs, size, percent, trees, small, weight)
-    return join.marks, join.run()
+    return join.marks, _near(*join.run())
 
 
 def report(docs: DataFrame, **how) -> DataFrame:

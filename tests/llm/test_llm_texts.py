@@ -223,6 +223,28 @@ def test_batches_of_long_texts_are_bounded_in_bytes(spark):
     assert max(r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()) <= 17
 
 
+def test_near_few_rows_take_few_tasks(spark):
+    """Also where a shuffle has many partitions and none are merged, as on a table with large groups."""
+    base = [prose(k, 60) for k in range(6)]
+    texts = [edited(b, 31 * k + n, s) for k, b in enumerate(base) for n, s in enumerate([0, 0, 0.01, 0.02])]
+    held = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    sc = spark.sparkContext
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        sc.setJobGroup("few rows", "")
+        got = by_id(near.report(frame(spark, texts)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert [tuple(got[k])[1:] for k in range(len(texts))] == plain_near(texts)
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(k) for job in track.getJobIdsForGroup("few rows") for k in track.getJobInfo(job).stageIds]
+    assert 0 < sum(s.numCompletedTasks for s in stages if s) < 2000
+
+
 def test_near_bears_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, prose(1)), (None, prose(1)), (4, prose(1)), (4, prose(1)), (4, prose(2)), (9, prose(2))], "doc_id int, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near.report(df).collect())
