@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from halosift.llm import leaks, near, passages, quality
+from halosift.llm import graph, leaks, near, passages, quality
 from halosift.llm import words as W
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -245,6 +245,14 @@ def test_near_few_rows_take_few_tasks(spark):
     assert 0 < sum(s.numCompletedTasks for s in stages if s) < 2000
 
 
+def test_near_of_tables_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near, "IDS_AT_MOST", 0)
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 0)
+    texts = [edited(prose(k, 60), 31 * k + n, s) for k in range(6) for n, s in enumerate([0, 0, 0.01, 0.02])]
+    got = by_id(near.report(frame(spark, texts)))
+    assert [tuple(got[k])[1:] for k in range(len(texts))] == plain_near(texts)
+
+
 def test_near_bears_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, prose(1)), (None, prose(1)), (4, prose(1)), (4, prose(1)), (4, prose(2)), (9, prose(2))], "doc_id int, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near.report(df).collect())
