@@ -1,5 +1,7 @@
 """Synchronous training: shards against one shard and plain Adam, several nets, early stop, resume; row order."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +191,38 @@ def test_a_large_batch_is_taken_in_parts():
     assert np.allclose(seen.flush(), training.metric_sums(p, y))
 
 
+def test_steps_make_no_arrays_of_their_own(monkeypatch):
+    """From step to step less memory is taken than two layers of a batch need; results are those of plain steps."""
+    rng, net = np.random.default_rng(3), dense_net(4, 3, (64, 64))
+    x, y, at = rng.normal(size=(2050, 4)), rng.integers(0, 3, 2050), np.arange(2050)
+    shard = type("Shard", (), {"x": x, "y": y, "position": at, "held_x": x[:700], "held_y": y[:700], "total": lambda self, v: v})()
+    state, want = sync.Progress(Adam.begin(net.initial(1))), Adam.begin(net.initial(1))
+    taken, held, step = [], [0], Adam.step
+
+    def traced(self, grad):
+        step(self, grad)
+        now, peak = tracemalloc.get_traced_memory()
+        taken.append(peak - held[0])
+        held[0] = now
+        tracemalloc.reset_peak()
+
+    monkeypatch.setattr(Adam, "step", traced)
+    tracemalloc.start()
+    try:
+        sums = sync._epoch(shard, [sync.Model("r", net, 1)], [state], at, 2050, 100)
+    finally:
+        tracemalloc.stop()
+    monkeypatch.undo()
+    assert len(taken) == 21 and max(taken[1:-1]) < 2 * 100 * 64 * 8  # the first and the last have other rows than the batch before
+    seen = training.MetricSums(3)
+    for k in range(0, 2050, 100):
+        p, grad = net.gradient(want.params, x[k:k + 100], y[k:k + 100])
+        seen.add(p, y[k:k + 100])
+        want.step(grad)
+    assert np.allclose(state.adam.params, want.params, atol=1e-12) and np.allclose(sums[0], seen.flush())
+    assert np.allclose(sums[1], training.metric_sums(net.predict(want.params, x[:700]), y[:700]))
+
+
 # --- row order -------------------------------------------------------------------------
 
 
@@ -224,3 +258,11 @@ def test_numbers_in_order_of_a_column(spark):
     assert [r[order.POSITION] for r in rows] == list(range(1000))
     assert [(r["k"], r["id"]) for r in rows] == sorted(((i % 7, i) for i in range(1000)), key=lambda p: (p[0], -p[1]))
     assert order.in_order_of(df.limit(0), [F.col("k")]).count() == 0
+
+
+def test_small_ranges_are_joined(spark):
+    """A small table is sorted and written by one task, not by as many as a shuffle may have; numbers do not depend on it."""
+    df = spark.range(0, 1000).select(F.col("id"), F.xxhash64("id").alias("k")).repartition(5)
+    one, four = order.in_order_of(df, [F.col("k")]), order.in_order_of(df, [F.col("k")], ranges=4)
+    assert len(one.inputFiles()) == 1 and len(four.inputFiles()) == 4
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in four.collect()}
