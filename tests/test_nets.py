@@ -137,3 +137,19 @@ def test_moments_without_gradient_become_zero():
         state.step(np.array([0.0, 0.0, 0.5]))
     assert state.first[0] == 0.0 and state.first[1] == 0.0 and state.first[2] == pytest.approx(0.5)
     assert np.abs(state.first[state.first != 0]).min() > 1e-300
+
+
+@pytest.mark.parametrize("nodes", [(), (5,), (6, 4)])
+def test_batches_of_a_dense_net_equal_its_layers(nodes):
+    """Batches of other rows and parameters one after another; what they hold is that of the layers, each on its own."""
+    net, layers = dense_net(4, 3, nodes), dense_net(4, 3, nodes)
+    layers.__dict__["is_dense"] = False
+    batches, rng, given = net.batches(), np.random.default_rng(6), [net.initial(1), net.initial(2)]
+    kept = []
+    for rows, which in ((7, 0), (7, 1), (3, 1), (7, 0), (1, 0)):
+        x, y = rng.normal(size=(rows, 4)), rng.integers(0, 3, rows)
+        (p, grad), (want_p, want) = batches.gradient(given[which], x, y), layers.gradient(given[which], x, y)
+        assert np.allclose(p, want_p, atol=1e-14) and np.allclose(grad, want, atol=1e-14)
+        assert np.allclose(batches.predict(given[which], x), want_p, atol=1e-14)
+        kept.append((p, want_p))
+    assert all(np.allclose(p, want, atol=1e-14) for p, want in kept)  # probabilities are not overwritten
